@@ -157,7 +157,7 @@ def cooldown_scan(df: DataFrame, keys, cooldown_us: int, need: int = 1, rate_us:
     `df` has event_id and ts_us; ties on ts_us are ordered by event_id. `carry` names non-null long
     columns taken along with each row.
     """
-    slice_us = slice_us or max(60 * SECOND_US, 2 * cooldown_us)
+    slice_us = slice_us or max(60 * SECOND_US, cooldown_us, rate_us)
     if rate_us > slice_us:
         raise ValueError("a slice must be at least as long as the rate window")
     keys, lists = list(keys), ["event_id", *carry]
@@ -226,7 +226,7 @@ def flood(events: DataFrame, key: str = "source_ip", cfg=DEFAULTS, slice_us: int
     """Flood detection per source: dos_flood_detected, then dos_flood_ongoing until the cooldown ends."""
     window, quiet = micros(cfg.flood_window_s), micros(cfg.flood_cooldown_s)
     need = max(1, int(np.ceil(cfg.flood_rate * cfg.flood_window_s - 1e-9)))
-    slice_us = slice_us or max(60 * SECOND_US, 2 * quiet)
+    slice_us = slice_us or max(60 * SECOND_US, quiet, window)
     # A rate window lies in two neighbouring cells, so only slices next to two full enough cells matter.
     cells = (events.groupBy(key, F.floor(F.col("ts_us") / window).alias("cell"))
              .agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo"), F.max("ts_us").alias("hi")))
