@@ -30,32 +30,47 @@ def sniffer_votes(detections: DataFrame, now=None, cfg=DEFAULTS) -> DataFrame:
         F.when(F.max(F.col("predicted_label") == "malicious"), "malicious").otherwise("suspicious").alias("vote"))
 
 
-def consensus(votes: DataFrame, registered: DataFrame = None, cfg=DEFAULTS) -> DataFrame:
-    """(source_ip, malicious_votes, suspicious_votes, total, verdict or null).
+def with_verdict(counted: DataFrame, registered: DataFrame = None, cfg=DEFAULTS) -> DataFrame:
+    """Adds total and verdict to rows holding malicious_votes and suspicious_votes.
 
     The denominator is the number of registered sniffers, or of those voting on the source when none are given.
     """
-    counted = votes.groupBy("source_ip").agg(
-        F.count_if(F.col("vote") == "malicious").alias("malicious_votes"),
-        F.count_if(F.col("vote") == "suspicious").alias("suspicious_votes"))
     voters = F.col("malicious_votes") + F.col("suspicious_votes")
     total = voters
     if registered is not None:
         known = registered.agg(F.countDistinct("sniffer_id")).scalar()
         total = F.when(known > 0, known).otherwise(voters)
     counted = counted.withColumn("total", total)
-    return counted.withColumn("verdict", F.when(
-        F.col("malicious_votes") / F.col("total") >= cfg.consensus, "malicious").when(
-        voters / F.col("total") >= cfg.consensus, "suspicious"))
+    share = F.when(F.col("total") > 0, F.col("malicious_votes") / F.col("total"))
+    either = F.when(F.col("total") > 0, voters / F.col("total"))
+    return counted.withColumn("verdict", F.when(share >= cfg.consensus, "malicious").when(
+        either >= cfg.consensus, "suspicious"))
+
+
+def consensus(votes: DataFrame, registered: DataFrame = None, cfg=DEFAULTS) -> DataFrame:
+    """(source_ip, malicious_votes, suspicious_votes, total, verdict or null)."""
+    counted = votes.groupBy("source_ip").agg(
+        F.count_if(F.col("vote") == "malicious").alias("malicious_votes"),
+        F.count_if(F.col("vote") == "suspicious").alias("suspicious_votes"))
+    return with_verdict(counted, registered, cfg)
 
 
 def active_threats(detections: DataFrame, now=None, registered: DataFrame = None, window_s: float = None,
                    cfg=DEFAULTS) -> DataFrame:
-    """Sources with a verdict: sniffers ever seen voting, recent votes and the latest vote time."""
+    """Sources with a verdict: sniffers ever seen voting, recent votes and the latest recent vote time.
+
+    window_s changes which votes are counted, not which ones decide.
+    """
     now = latest(detections) if now is None else now
-    verdicts = consensus(sniffer_votes(detections, now, cfg), registered, cfg).filter(F.col("verdict").isNotNull())
-    recent = now - F.col("ts_us") <= micros(window_s or cfg.vote_window_s)
-    seen = kept_votes(forwarded_votes(detections, cfg), cfg).groupBy("source_ip").agg(
-        F.countDistinct("sniffer_id").alias("sniffer_count"), F.count_if(recent).alias("cci_count"),
-        F.max(F.when(recent, F.col("ts_us"))).alias("latest_ts_us"))
-    return verdicts.select("source_ip", "verdict").join(seen, "source_ip")
+    age = now - F.col("ts_us")
+    deciding, counted = age <= micros(cfg.vote_window_s), age <= micros(window_s or cfg.vote_window_s)
+    per = kept_votes(forwarded_votes(detections, cfg), cfg).groupBy("source_ip", "sniffer_id").agg(
+        F.count_if(deciding).alias("recent"),
+        F.count_if(deciding & (F.col("predicted_label") == "malicious")).alias("malicious"),
+        F.count_if(counted).alias("n"), F.max(F.when(counted, F.col("ts_us"))).alias("last"))
+    sources = per.groupBy("source_ip").agg(
+        F.count_if(F.col("malicious") > 0).alias("malicious_votes"),
+        F.count_if((F.col("recent") > 0) & (F.col("malicious") == 0)).alias("suspicious_votes"),
+        F.count(F.lit(1)).alias("sniffer_count"), F.sum("n").alias("cci_count"), F.max("last").alias("latest_ts_us"))
+    return with_verdict(sources, registered, cfg).filter(F.col("verdict").isNotNull()).select(
+        "source_ip", "verdict", "sniffer_count", "cci_count", "latest_ts_us")

@@ -214,3 +214,461 @@ def pattern_window_stats(spark, d):
 def dos_flood(spark, d):
     out = cooldown.flood(view(spark, d, "log_events"), cfg=replace(DEFAULTS, flood_rate=1.6))
     return out.select("source_ip", "event_id", "flag")
+
+
+# ---- routing, profiling, gateways -------------------------------------------------------------
+
+from ..operators import (balance, catalog, classify, fusion, gateway, hybrid, immune, metrics, profiler, protocol,  # noqa: E402
+                         routing, trust, votes)
+from ..sources import csv as csv_sources, events as event_sources  # noqa: E402
+
+
+@query
+def label_distribution(spark, d):
+    return catalog.label_distribution(view(spark, d, "raw_labels"), F.col("raw_label"))
+
+
+@query
+def wormhole_pairs(spark, d):
+    return routing.wormhole_claims(view(spark, d, "log_events")).select("source_ip", "parent", "event_id")
+
+
+@query
+def forward_ticks(spark, d):
+    return routing.forward_ticks(view(spark, d, "log_events"), micros(60))
+
+
+@query
+def rolling_baseline(spark, d):
+    out = routing.rolling_baseline(view(spark, d, "node_ticks"), "node")
+    return out.select("node", "tick", "points", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query
+def blackhole(spark, d):
+    out = routing.blackhole(view(spark, d, "node_ticks"), "node", replace(DEFAULTS, blackhole_sigma=1.0))
+    return out.select("node", "tick", "packet_count", F.round("threshold", 6).alias("threshold"))
+
+
+@query
+def amof_slopes(spark, d):
+    out = profiler.slopes(view(spark, d, "node_ticks"), "node")
+    return out.select("node", "tick", (F.round("slope", 6) + 0.0).alias("slope"),
+                      F.round("fluctuation", 6).alias("fluctuation"))
+
+
+AMOF = replace(DEFAULTS, amof_threshold=0.25)
+
+
+@query
+def amof(spark, d):
+    out = profiler.amof(view(spark, d, "node_ticks"), "node", AMOF)
+    return out.select("node", "tick", "first_anomalous_tick")
+
+
+@query
+def amof_state(spark, d):
+    out = profiler.amof_state(view(spark, d, "node_ticks"), "node", AMOF)
+    return out.select("node", "accumulated_fluctuation", "last_slope",
+                      F.col("count_history_len").cast("long").alias("count_history_len"),
+                      F.size("slope_history").cast("long").alias("slopes"))
+
+
+@query
+def gateway_sprt(spark, d):
+    out = gateway.gateway_alerts(view(spark, d, "gateway_obs"))
+    return out.select("gateway_id", "event_id", F.round("sprt_statistic", 6).alias("sprt_statistic"),
+                      F.round("estimated_pdp", 6).alias("estimated_pdp"),
+                      F.col("observation_count").cast("long").alias("observation_count"))
+
+
+@query
+def gateway_status(spark, d):
+    return gateway.gateway_status(view(spark, d, "gateway_obs"))
+
+
+# ---- trust and protocols ----------------------------------------------------------------------
+
+def _user_ips(spark, d):
+    ev = table(spark, d, "events").select("event_id", "user_id")
+    return view(spark, d, "log_events").select("event_id", "source_ip").join(ev, "event_id").select(
+        "user_id", "source_ip").distinct()
+
+
+def _edges(spark, d):
+    users = _user_ips(spark, d)
+    other = users.select((F.col("user_id").bitwiseXOR(F.lit(1))).alias("user_id"), F.col("source_ip").alias("dst"))
+    pairs = users.join(other, "user_id").select(F.col("source_ip").alias("src"), "dst").filter("src <> dst")
+    return trust.both_ways(pairs)
+
+
+def _clusters(spark, d):
+    return _user_ips(spark, d).groupBy(F.col("source_ip").alias("ip")).agg(
+        F.concat(F.lit("c"), (F.min("user_id") % 5).cast("string")).alias("cluster_id"))
+
+
+@query
+def trust_scores(spark, d):
+    return trust.trust_scores(view(spark, d, "detections")).withColumn("score", F.round("score", 6))
+
+
+@query
+def trust_path(spark, d):
+    out = trust.trust_path(view(spark, d, "detections"))
+    return out.select("source_ip", "event_id", F.round("score", 6).alias("score"))
+
+
+def _nodes(spark, d):
+    scores = trust.trust_scores(view(spark, d, "detections")).withColumnRenamed("source_ip", "ip")
+    return scores.join(_clusters(spark, d), "ip")
+
+
+@query
+def trust_round(spark, d):
+    out = trust.disseminate(_nodes(spark, d), _edges(spark, d))
+    return out.select("ip", F.round("score", 6).alias("score"))
+
+
+@query
+def trust_cluster_round(spark, d):
+    out = trust.disseminate(_nodes(spark, d), _edges(spark, d), "cntd")
+    return out.select("ip", F.round("score", 6).alias("score"))
+
+
+@query
+def severity_multiplier(spark, d):
+    det = view(spark, d, "detections")
+    out = trust.severity_multipliers(det, trust.trust_scores(det))
+    return out.select("event_id", "multiplier")
+
+
+@query
+def trust_snapshot(spark, d):
+    clusters = _clusters(spark, d)
+    return trust.trust_snapshot(view(spark, d, "detections"), clusters)
+
+
+@query
+def live_trust_records(spark, d):
+    det = view(spark, d, "detections")
+    now = 1710789000000000 + 4200 * 1_000_000
+    return trust.live_records(det, now).select("source_ip", "score")
+
+
+@query
+def protocol_violations(spark, d):
+    out = protocol.protocol_violations(view(spark, d, "protocol_messages"))
+    return out.select("source_ip", "protocol", "event_id", "from_state", "to_state", "message")
+
+
+# ---- votes and fusion -------------------------------------------------------------------------
+
+@query
+def sniffer_votes(spark, d):
+    return votes.sniffer_votes(view(spark, d, "detections"))
+
+
+@query
+def sniffer_consensus(spark, d):
+    return votes.consensus(votes.sniffer_votes(view(spark, d, "detections")))
+
+
+@query
+def registered_consensus(spark, d):
+    det = view(spark, d, "detections")
+    return votes.consensus(votes.sniffer_votes(det), det.select("sniffer_id")).drop("malicious_votes", "suspicious_votes")
+
+
+@query
+def active_threats(spark, d):
+    return votes.active_threats(view(spark, d, "detections"))
+
+
+def _fused(spark, d):
+    det = detect.with_severity(detect.with_flags(scored(spark, d)))
+    return fusion.fuse(det, view(spark, d, "motion"))
+
+
+@query
+def motion_fusion(spark, d):
+    return _fused(spark, d).select(
+        "event_id", "motion_ts_us", "physical_motion_detected", "effective_severity", "camera_recording_started",
+        "gsm_alert_sent", joined("extra_flags").alias("extra_flags"))
+
+
+@query
+def motion_notices(spark, d):
+    return fusion.notices(_fused(spark, d))
+
+
+@query
+def recording_sessions(spark, d):
+    return fusion.recording_sessions(_fused(spark, d), replace(DEFAULTS, recording_gap_s=120.0))
+
+
+# ---- learned signatures -----------------------------------------------------------------------
+
+DIM = 64
+
+
+def _bits(spark, d, attack):
+    kind = F.col("label") >= 5 if attack else F.col("label") < 5
+    return table(spark, d, "embeddings").filter(kind).select(
+        "vec_id", "label", immune.vector_bits(F.col("embedding")).alias("bits"))
+
+
+def _detectors(spark, d):
+    return _bits(spark, d, True).select(F.col("vec_id").cast("string").alias("detector_id"), "label", "bits")
+
+
+def _antigens(spark, d, attack):
+    return _bits(spark, d, attack).select(F.col("vec_id").alias("antigen_id"), "bits")
+
+
+@query
+def antigen_bits(spark, d):
+    text = immune.antigen_text(*[F.col(c) for c in ("service", "hostname", "source_ip", "message")])
+    bits = immune.antigen_bits(text)
+    return view(spark, d, "log_events").select("event_id", F.size(bits).alias("set_bits"),
+                                               F.array_join(bits.cast("array<string>"), ",").alias("bits"))
+
+
+@query
+def immune_screen(spark, d):
+    out = immune.immune_screen(_antigens(spark, d, False), _detectors(spark, d), DIM, 0.65)
+    return out.select("antigen_id", "detector_id", F.round("affinity", 6).alias("affinity"))
+
+
+@query
+def immune_screen_events(spark, d):
+    """Signatures learned from the malicious messages, matched against every event."""
+    text = immune.antigen_text(*[F.col(c) for c in ("service", "hostname", "source_ip", "message")])
+    ev = view(spark, d, "detections").withColumn("bits", immune.antigen_bits(text, 512))
+    learned = ev.filter("predicted_label = 'malicious'").select("message", "bits").distinct()
+    learned = learned.select(F.substring(F.sha2(F.array_join(F.col("bits").cast("array<string>"), ","), 256), 1, 16)
+                             .alias("detector_id"), "bits").distinct()
+    hits = immune.immune_screen(ev.select(F.col("event_id").alias("antigen_id"), "bits"), learned, 512)
+    return hits.groupBy("antigen_id").agg(F.count(F.lit(1)).alias("matches"), F.round(F.max("affinity"), 6).alias("best"))
+
+
+def _survivors(spark, d):
+    return immune.negative_selection(_detectors(spark, d), _antigens(spark, d, False), DIM, 0.75)
+
+
+@query
+def negative_selection(spark, d):
+    return _survivors(spark, d).select("detector_id", "label")
+
+
+def _memory(spark, d):
+    hits = immune.immune_screen(_antigens(spark, d, True), _detectors(spark, d), DIM, 0.75)
+    return immune.promote(hits, _detectors(spark, d), _antigens(spark, d, True))
+
+
+@query
+def immune_promotion(spark, d):
+    return _memory(spark, d)
+
+
+@query
+def immune_stats(spark, d):
+    return immune.immune_stats(_antigens(spark, d, False), _detectors(spark, d), _memory(spark, d))
+
+
+def _generated(spark, d):
+    seeds = _bits(spark, d, True).select(F.col("vec_id").alias("seed_id"), "label", "bits")
+    return immune.generate_detectors(seeds, 3, DIM, density=0.25)
+
+
+@query
+def detector_generation(spark, d):
+    return _generated(spark, d).select("seed_id", "variant", "detector_id", F.size("bits").cast("long").alias("set_bits"))
+
+
+@query
+def learned_detectors(spark, d):
+    kept = immune.negative_selection(_generated(spark, d), _antigens(spark, d, False), DIM, 0.75)
+    return kept.select("seed_id", "variant", "detector_id")
+
+
+# ---- evaluation -------------------------------------------------------------------------------
+
+def rounded(df, *names):
+    for n in names:
+        df = df.withColumn(n, F.round(n, 6))
+    return df
+
+
+@query
+def confusion(spark, d):
+    return metrics.confusion_matrix(view(spark, d, "eval_pairs")).select("y_true", "y_pred", "n")
+
+
+@query
+def class_metrics(spark, d):
+    return rounded(metrics.class_metrics(view(spark, d, "eval_pairs")), "precision", "recall", "f1", "fpr", "fnr")
+
+
+@query
+def overall_metrics(spark, d):
+    return rounded(metrics.overall_metrics(view(spark, d, "eval_pairs")), "accuracy", "macro_f1", "weighted_f1")
+
+
+@query
+def latency(spark, d):
+    return rounded(metrics.latency_summary(table(spark, d, "events"), "value"), "mean_ms", "p95_ms", "p99_ms", "max_ms")
+
+
+@query
+def interaction(spark, d):
+    out = metrics.interaction_ability(view(spark, d, "log_events"))
+    return out.select("interaction_ability_score", F.array_join(F.col("layers_observed").cast("array<string>"), ",").alias("layers"))
+
+
+# ---- class balance, hybrid model --------------------------------------------------------------
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.when(F.col("label") < 5, "benign").otherwise("malicious").alias("label"),
+        F.col("label").cast("long").alias("group"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def _placed(spark, d):
+    rows = _vectors(spark, d)
+    centers = [(r.cluster, r.center) for r in hybrid.mean_centroids(rows, "group", "vector").orderBy("cluster").collect()]
+    return hybrid.assign_clusters(rows, centers, "vector")
+
+
+ZONES = replace(DEFAULTS, safe_zone_purity=0.55)
+
+
+@query
+def safe_zones(spark, d):
+    out = hybrid.safe_zones(_placed(spark, d), cfg=ZONES)
+    return rounded(out, "benign_fraction")
+
+
+@query
+def hybrid_stage1(spark, d):
+    placed = _placed(spark, d)
+    zones = [r.cluster for r in hybrid.safe_zones(placed, cfg=ZONES).select("cluster").collect()]
+    out = hybrid.stage_one(placed, zones)
+    return rounded(out.select("id", "cluster", "predicted_label", "confidence"), "confidence")
+
+
+def _unbalanced(spark, d):
+    return _vectors(spark, d).select("id", F.when(F.col("group") < 6, "benign").when(
+        F.col("group") < 9, "suspicious").otherwise("malicious").alias("label"), "vector")
+
+
+@query
+def smote_plan(spark, d):
+    return balance.oversample_plan(_unbalanced(spark, d))
+
+
+@query
+def nearest_same_class(spark, d):
+    out = balance.knn_same_class(_unbalanced(spark, d), 3)
+    return out.select("id", "neighbour_id", F.col("rank").cast("long").alias("rank"), F.round("distance", 6).alias("distance"))
+
+
+@query
+def smote_rows(spark, d):
+    out = balance.oversample(_unbalanced(spark, d))
+    return out.select("label", "base_id", "neighbour_id", "copy", F.round("u", 6).alias("u"),
+                      F.round(F.element_at("vector", 1), 6).alias("first"),
+                      F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+# ---- sources ----------------------------------------------------------------------------------
+
+@query
+def text_log_events(spark, d):
+    lines = view(spark, d, "log_events").select("event_id", F.concat(F.lit("  "), "message", F.lit(" \t")).alias("value"))
+    return event_sources.log_lines_to_events(lines).drop("timestamp")
+
+
+def _packets(spark, d):
+    m = F.col("message")
+    return view(spark, d, "log_events").select(
+        "event_id", F.col("timestamp").alias("ts"), F.col("source_ip").alias("src"), X.dst_host(m).alias("dst"),
+        X.token(m, r"ip_proto=(\d+)").cast("int").alias("ip_proto"), F.col("service").alias("l4"),
+        X.token(m, r"src_port=(\d+)").cast("int").alias("sport"), X.dst_port(m).cast("int").alias("dport"),
+        X.token(m, r"tcp_flags=(\S+)").alias("tcp_flags"), X.token(m, r"payload=(.+)").cast("binary").alias("payload"))
+
+
+@query
+def packets_to_events(spark, d):
+    out = event_sources.packets_to_events(_packets(spark, d))
+    return out.select("event_id", "source_ip", "hostname", "service", "message")
+
+
+@query
+def ingest_events(spark, d):
+    cols = ("timestamp", "source_ip", "hostname", "service", "message")
+    sent = view(spark, d, "log_events").select("event_id", F.to_json(F.struct(*cols)).alias("value"))
+    return rounded(event_sources.parse_ingest(sent), "timestamp")
+
+
+def _labelled(spark, d):
+    marks = view(spark, d, "eval_pairs").select("doc_id", F.col("y_true").alias("label"))
+    return table(spark, d, "documents").join(marks, "doc_id").select("text", "label", "source", "lang")
+
+
+@query
+def training_rows(spark, d):
+    return csv_sources.normalize_training(_labelled(spark, d))
+
+
+@query
+def row_text(spark, d):
+    rows = csv_sources.normalize_training(_labelled(spark, d))
+    return rows.select("label", X.row_text(rows).alias("text"))
+
+
+@query
+def class_distribution(spark, d):
+    return balance.class_distribution(csv_sources.normalize_training(_labelled(spark, d)))
+
+
+@query
+def dataset_profile(spark, d):
+    marks = view(spark, d, "eval_pairs").select("doc_id", F.col("y_true").alias("label"))
+    docs = table(spark, d, "documents").join(marks, "doc_id", "left")
+    out = catalog.profile(docs, "source", "doc_id", F.col("label"), ["text", "lang", "n_chars"])
+    dist = F.array_join(F.transform(F.map_entries("label_distribution"), lambda e: F.concat_ws(
+        "=", e["key"], e["value"].cast("string"))), ",")
+    return out.select("source", "rows", F.size("columns").cast("long").alias("n_columns"), dist.alias("labels"),
+                      F.size("sample_rows").cast("long").alias("samples"),
+                      F.get_json_object(F.element_at("sample_rows", 1), "$.text").alias("first_text"),
+                      F.get_json_object(F.element_at("sample_rows", -1), "$.n_chars").alias("last_n_chars"))
+
+
+# ---- models -----------------------------------------------------------------------------------
+
+@query
+def text_classifier(spark, d):
+    rows = csv_sources.normalize_training(_labelled(spark, d))
+    return rounded(classify.holdout_report(rows, dims=2 ** 18, max_iter=10), "value")
+
+
+def _event_training(spark, d):
+    return view(spark, d, "detections").select("event_id", "source_ip", "hostname", "service", "message",
+                                               F.col("predicted_label").alias("label"))
+
+
+@query
+def model_detections(spark, d):
+    """Detection with a model trained on the labelled events."""
+    model = classify.train_text_classifier(_event_training(spark, d), dims=2 ** 16, max_iter=10)
+    det = detect.detect_with_model(view(spark, d, "log_events"), model)
+    return det.groupBy("predicted_label", "severity", "deduplicated").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def hybrid_model(spark, d):
+    rows = _event_training(spark, d)
+    model = hybrid.hybrid_fit(rows, dims=2 ** 10, max_depth=8)
+    texts = classify.training_text(rows)
+    out = hybrid.hybrid_predict(texts, model)
+    return out.groupBy("stage", "label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
