@@ -15,16 +15,26 @@ DEFAULT_TRANSITIONS = (
     ("tcp", "ESTABLISHED", "FIN_WAIT"), ("tcp", "FIN_WAIT", "CLOSED"),
 )
 # Entry states a slice is tried with besides the protocol's own: nothing seen yet, and any state no edge leaves.
-_UNSEEN, _STUCK = "", "\x01"
+UNSEEN, _STUCK = "", "\x01"
 
 
-def _edges(transitions) -> dict:
+def edge_table(transitions) -> dict:
     table: dict = {}
     for proto, a, b in transitions:
         table.setdefault(proto.lower(), set()).add((a.upper(), b.upper()))
     return table
 
 
+def follow(state, cur, nxt, allowed, reset_on_terminal=False):
+    """(state after the message, state it was judged from or None when it is fine)"""
+    if not nxt:
+        return cur, None
+    source = state or cur
+    if allowed and (source, nxt) not in allowed:
+        return state, source
+    return (UNSEEN if reset_on_terminal and nxt == "TERMINAL" else nxt), None
+
+
 def protocol_violations(messages: DataFrame, transitions=DEFAULT_TRANSITIONS, slice_us: int = sliced.SLICE_US,
                         reset_on_terminal: bool = False) -> DataFrame:
     """(source_ip, protocol, event_id, ts_us, from_state, to_state, message) for every disallowed transition.
@@ -32,28 +42,17 @@ def protocol_violations(messages: DataFrame, transitions=DEFAULT_TRANSITIONS, sl
     messages(source_ip, protocol, event_state, next_state or null, ts_us, event_id). A message without a next state
     sets the state; a disallowed one leaves it as it was; a protocol without edges allows everything.
     """
-    edges = _edges(transitions)
-
-    def follow(state, cur, nxt, allowed):
-        """(state after the message, state it was judged from or None when it is fine)"""
-        if not nxt:
-            return cur, None
-        source = state or cur
-        if allowed and (source, nxt) not in allowed:
-            return state, source
-        if reset_on_terminal and nxt == "TERMINAL":
-            return _UNSEEN, None
-        return nxt, None
+    edges = edge_table(transitions)
 
     def summarise(protocol: pa.Array, cur: pa.Array, nxt: pa.Array) -> pa.Array:
         out = []
         for proto, row_cur, row_nxt in zip(protocol.to_pylist(), cur.to_pylist(), nxt.to_pylist()):
             allowed = edges.get(proto, set())
             ends = {}
-            for entry in {a for a, _ in allowed} | {_UNSEEN, _STUCK}:
+            for entry in {a for a, _ in allowed} | {UNSEEN, _STUCK}:
                 state = entry
                 for c, n in zip(row_cur, row_nxt):
-                    state, _ = follow(state, c, n, allowed)
+                    state, _ = follow(state, c, n, allowed, reset_on_terminal)
                 ends[entry] = state
             out.append([{"entry": k, "end": v} for k, v in sorted(ends.items())])
         return pa.array(out, pa.list_(pa.struct([("entry", pa.string()), ("end", pa.string())])))
@@ -61,7 +60,7 @@ def protocol_violations(messages: DataFrame, transitions=DEFAULT_TRANSITIONS, sl
     def entries(functions: pa.Array) -> pa.Array:
         out = []
         for key_functions in functions.to_pylist():
-            state, seen = _UNSEEN, []
+            state, seen = UNSEEN, []
             for f in key_functions:
                 seen.append(state)
                 ends = {e["entry"]: e["end"] for e in f}
@@ -75,7 +74,7 @@ def protocol_violations(messages: DataFrame, transitions=DEFAULT_TRANSITIONS, sl
         for proto, state, row_cur, row_nxt in zip(*[a.to_pylist() for a in (protocol, entry, cur, nxt)]):
             allowed, path = edges.get(proto, set()), []
             for c, n in zip(row_cur, row_nxt):
-                state, bad = follow(state, c, n, allowed)
+                state, bad = follow(state, c, n, allowed, reset_on_terminal)
                 path.append(bad)
             out.append(path)
         return pa.array(out, pa.list_(pa.string()))

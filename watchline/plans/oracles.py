@@ -225,7 +225,7 @@ sa as (select node, tick, rn, slope, case when 0 >= 0.25 then 0.0::double else 0
 oracle("amof_slopes", ["node_ticks"],
        "select node, tick, round(slope, 6) + 0.0::double as slope, round(fluctuation, 6) as fluctuation from sd", SLOPES)
 oracle("amof", ["node_ticks"], "select node, tick, min(tick) over (partition by node) as first_anomalous_tick from sa where bad", SLOPES)
-oracle("amof_state", ["node_ticks"], """select n.node, round(coalesce(s.a, 0), 4) as accumulated_fluctuation, round(coalesce(s.slope, 0), 4) as last_slope,
+oracle("amof_state", ["node_ticks"], """select n.node, round(coalesce(s.a, 0), 4) as accumulated_fluctuation, round(coalesce(s.slope, 0), 4) + 0.0::double as last_slope,
  n.c as count_history_len, least(coalesce(s.rn, 0), 10) as slopes
  from (select node, least(count(*), 60) as c from node_ticks group by 1) n
  left join (select * from sa qualify row_number() over (partition by node order by rn desc) = 1) s on n.node = s.node""", SLOPES)

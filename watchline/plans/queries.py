@@ -269,7 +269,7 @@ def amof(spark, d):
 @query
 def amof_state(spark, d):
     out = profiler.amof_state(view(spark, d, "node_ticks"), "node", AMOF)
-    return out.select("node", "accumulated_fluctuation", "last_slope",
+    return out.select("node", "accumulated_fluctuation", (F.col("last_slope") + 0.0).alias("last_slope"),
                       F.col("count_history_len").cast("long").alias("count_history_len"),
                       F.size("slope_history").cast("long").alias("slopes"))
 
