@@ -1,9 +1,9 @@
 """Classify a stream of events and keep its alerts."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..config import DEFAULTS
+from ..config import DEFAULTS, micros
 from ..functions.verdicts import explanation
 from ..operators import detect
 from ..operators.classify import score_events
@@ -26,18 +26,18 @@ def detections_stream(scored: DataFrame, cfg=DEFAULTS, delay: str = "10 minutes"
     text = explanation(F.col("predicted_label"), F.col("confidence"), F.col("rule_flags"), F.col("allowlisted"))
     done = flagged.withColumn("explanation", text)
     keys = list(detect.DEDUP_KEY) + ["allowlisted"]
-    window = folds.micros(cfg.dedup_window_s) + 1
+    window = micros(cfg.dedup_window_s) + 1
     rest = [f for f in done.schema.fields if f.name not in keys]
 
     def step(memory, key, peers):
         out = []
         for r in peers:
-            repeat = False if key[-1] else not folds._quiet(memory, "until", r["ts_us"], window)
+            repeat = False if key[-1] else not folds.may_fire(memory, "until", r["ts_us"], window)
             out.append((*key, *[r[f.name] for f in rest], repeat))
         return out
 
-    schema = folds.T.StructType([done.schema[k] for k in keys] + rest
-                                + [folds.T.StructField("deduplicated", folds.T.BooleanType())])
+    schema = T.StructType([done.schema[k] for k in keys] + rest
+                                + [T.StructField("deduplicated", T.BooleanType())])
     return folds.fold(done, keys, schema, dict, step, cfg.dedup_window_s, delay)
 
 

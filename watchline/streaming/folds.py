@@ -51,7 +51,7 @@ def _typed(df_schema, keys, more):
     return T.StructType([df_schema[k] for k in keys] + T._parse_datatype_string(more).fields)
 
 
-def _quiet(memory, name, ts, quiet_us):
+def may_fire(memory, name, ts, quiet_us):
     """True when `name` may fire at ts; then its quiet period starts."""
     until = memory.get(name)
     if until is not None and ts < until:
@@ -65,7 +65,7 @@ def dedup(stream: DataFrame, keys=("source_ip", "hostname", "service", "message"
     window = micros(cfg.dedup_window_s) + 1
 
     def step(memory, key, peers):
-        return [(*key, r["event_id"], r["ts_us"], not _quiet(memory, "until", r["ts_us"], window)) for r in peers]
+        return [(*key, r["event_id"], r["ts_us"], not may_fire(memory, "until", r["ts_us"], window)) for r in peers]
 
     schema = _typed(stream.schema, keys, "event_id long, ts_us long, deduplicated boolean")
     return fold(stream, keys, schema, dict, step, cfg.dedup_window_s, **kw)
@@ -98,7 +98,7 @@ def patterns(stream: DataFrame, specs, key: str = "source_ip", cfg=DEFAULTS, **k
             for i in order:
                 name, width, least, severity, distinct, needs = spec[i]
                 ready = all(memory.get(f"fired:{n}") is not None and now - memory[f"fired:{n}"] <= width for n in needs)
-                if counts[i] >= least and ready and _quiet(memory, f"until:{name}", now, quiet):
+                if counts[i] >= least and ready and may_fire(memory, f"until:{name}", now, quiet):
                     memory[f"fired:{name}"] = now
                     out.append((*k, name, r["event_id"], now, counts[i], severity))
         return out

@@ -16,11 +16,11 @@ def tick_counts(stream: DataFrame, tick_s: float, key: str = "source_ip", delay:
     return counted.select(key, F.floor(start / F.lit(int(tick_s * 1_000_000))).alias("tick"), "packet_count")
 
 
-def on_ticks(detector, path: str, key: str = "source_ip"):
+def on_ticks(detector, path: str, key: str = "source_ip", lookback: int = None):
     """foreachBatch body: adds closed ticks to a table and runs a batch detector over the nodes that got new ones.
 
-    `detector(ticks, key)` is blackhole, amof or amof_state with their settings bound; its rows for the new ticks are
-    written under path/alerts. Batch ids name the partitions, so a repeated batch replaces its own output.
+    `detector(ticks, key)` is blackhole or amof with its settings bound; its rows for the new ticks are written under
+    path/alerts. `lookback` is the number of earlier ticks it needs (all when None). Batch ids name the partitions, so a repeated batch replaces its own output.
     """
     def run(ticks: DataFrame, batch_id: int) -> None:
         spark = ticks.sparkSession
@@ -29,6 +29,9 @@ def on_ticks(detector, path: str, key: str = "source_ip"):
         stored = spark.read.parquet(f"{path}/ticks").filter(F.col("batch_id") <= batch_id)
         new = stored.filter(F.col("batch_id") == batch_id).select(key, "tick")
         history = stored.drop("batch_id").join(new.select(key).distinct(), key, "left_semi")
+        if lookback is not None:
+            oldest = new.agg(F.min("tick")).first()[0]
+            history = history.filter(F.col("tick") >= (0 if oldest is None else oldest) - lookback)
         found = detector(history, key).join(new, [key, "tick"], "left_semi")
         (found.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/alerts"))
@@ -36,7 +39,7 @@ def on_ticks(detector, path: str, key: str = "source_ip"):
 
 
 def blackhole_on_ticks(path: str, key: str = "source_ip", cfg=DEFAULTS):
-    return on_ticks(lambda ticks, k: routing.blackhole(ticks, k, cfg), path, key)
+    return on_ticks(lambda ticks, k: routing.blackhole(ticks, k, cfg), path, key, cfg.blackhole_history)
 
 
 def amof_on_ticks(path: str, key: str = "source_ip", cfg=DEFAULTS):
