@@ -87,14 +87,14 @@ def with_row_index(df: DataFrame, columns, name: str = "row_idx") -> DataFrame:
 
 
 def pair_by_row_index(left: DataFrame, right: DataFrame, name: str = "row_idx") -> DataFrame:
-    """Row i beside row i; a row without partner is an error when the result is read."""
-    l = left.withColumn("_l", F.lit(True))
-    r = right.withColumn("_r", F.lit(True))
-    both = l.join(r, name, "full")
-    ok = F.col("_l").isNotNull() & F.col("_r").isNotNull()
-    return (both.withColumn(name, F.when(ok, F.col(name)).otherwise(
-        F.raise_error("features and labels have different numbers of rows").cast("bigint")))
-        .filter(F.col(name).isNotNull()).drop("_l", "_r"))
+    """Row i beside row i; sides of different length are an error when the result is read.
+
+    Both sides are numbered 0, 1, 2 …, so equal counts mean every row has its partner. The check sits in a filter
+    that raises, below anything that could drop unmatched rows first.
+    """
+    n_left, n_right = [df.agg(F.count(F.lit(1))).scalar() for df in (left, right)]
+    same = F.assert_true(n_left == n_right, "features and labels have different numbers of rows").isNull()
+    return left.filter(same).join(right.filter(same), name)
 
 
 def read_paired_csv(spark: SparkSession, features, labels, multiline: bool = False) -> DataFrame:
