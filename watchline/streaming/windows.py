@@ -23,6 +23,8 @@ def on_ticks(detector, path: str, key: str = "source_ip", lookback: int = None):
     path/alerts. `lookback` is the number of earlier ticks it needs (all when None). Batch ids name the partitions, so a repeated batch replaces its own output.
     """
     def run(ticks: DataFrame, batch_id: int) -> None:
+        if ticks.isEmpty():
+            return
         spark = ticks.sparkSession
         (ticks.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{path}/ticks"))
@@ -58,9 +60,12 @@ def consensus(stream: DataFrame, cfg=DEFAULTS, slide_s: float = 30.0, delay: str
     return votes.with_verdict(per_source, None, cfg)
 
 
-def recording_sessions(starts: DataFrame, cfg=DEFAULTS, delay: str = "10 minutes") -> DataFrame:
-    """(start_us, end_us, starts) of closed camera sessions from a stream of camera starts."""
+def recording_sessions(starts: DataFrame, camera: str = "camera", cfg=DEFAULTS, delay: str = "10 minutes") -> DataFrame:
+    """(camera, start_us, end_us, starts) of closed sessions from a stream of camera starts.
+
+    A stream needs a key beside the session; the camera is it, one constant where there is a single camera.
+    """
     timed = starts if "event_time" in starts.columns else event_timed(starts, delay)
     session = F.session_window("event_time", f"{cfg.recording_gap_s:g} seconds")
-    merged = timed.groupBy(session.alias("s")).agg(F.count(F.lit(1)).alias("starts"))
-    return merged.select(F.unix_micros("s.start").alias("start_us"), F.unix_micros("s.end").alias("end_us"), "starts")
+    merged = timed.groupBy(session.alias("s"), camera).agg(F.count(F.lit(1)).alias("starts"))
+    return merged.select(camera, F.unix_micros("s.start").alias("start_us"), F.unix_micros("s.end").alias("end_us"), "starts")
