@@ -61,7 +61,7 @@ class _Slices:
         return np.searchsorted(self.axis, self.axis[fired] + self.cooldown, "left")
 
 
-def _step_tables(slice_us, cooldown, need, rate, keys):
+def _step_tables(slice_us, cooldown, need, rate):
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
@@ -86,12 +86,11 @@ def _step_tables(slice_us, cooldown, need, rate, keys):
                 last[:-1] = (leave[1:] != leave[:-1]) | (group[1:] != group[:-1])
             counts = np.bincount(group[last], minlength=s.groups)
             offs = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-            cols = [batch.column(batch.schema.get_field_index(k)) for k in keys]
             yield pa.RecordBatch.from_arrays(
-                cols + [batch.column(batch.schema.get_field_index("slice")),
-                        pa.ListArray.from_arrays(offs, pa.array(s.ts[entry[last]], pa.int64())),
-                        pa.ListArray.from_arrays(offs, pa.array(leave[last], pa.int64()))],
-                names=list(keys) + ["slice", "upto", "leave"])
+                [batch.column(batch.schema.get_field_index("key")), batch.column(batch.schema.get_field_index("slice")),
+                 pa.ListArray.from_arrays(offs, pa.array(s.ts[entry[last]], pa.int64())),
+                 pa.ListArray.from_arrays(offs, pa.array(leave[last], pa.int64()))],
+                names=["key", "slice", "upto", "leave"])
     return run
 
 
@@ -110,7 +109,7 @@ def _entries(steps: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def _replay(slice_us, cooldown, need, rate, keys, lists, marks_quiet):
+def _replay(slice_us, cooldown, need, rate, lists, marks_quiet):
     def run(batches):
         for batch in batches:
             if batch.num_rows == 0:
@@ -143,10 +142,10 @@ def _replay(slice_us, cooldown, need, rate, keys, lists, marks_quiet):
                 offs = values.offsets.to_numpy()
                 flat.append(pa.array(values.values.to_numpy(zero_copy_only=False)[offs[0]:offs[-1]][rows], pa.int64()))
             owner = pa.array(s.group[rows])
-            cols = [batch.column(batch.schema.get_field_index(k)).take(owner) for k in keys]
+            key = batch.column(batch.schema.get_field_index("key")).take(owner)
             yield pa.RecordBatch.from_arrays(
-                cols + flat + [pa.array(s.ts[rows], pa.int64()), pa.array(mark[rows].astype(np.int32))],
-                names=list(keys) + list(lists) + ["ts_us", "mark"])
+                [key, *flat, pa.array(s.ts[rows], pa.int64()), pa.array(mark[rows].astype(np.int32))],
+                names=["key", *lists, "ts_us", "mark"])
     return run
 
 
@@ -160,56 +159,45 @@ def cooldown_scan(df: DataFrame, keys, cooldown_us: int, need: int = 1, rate_us:
     slice_us = slice_us or max(60 * SECOND_US, cooldown_us, rate_us)
     if rate_us > slice_us:
         raise ValueError("a slice must be at least as long as the rate window")
-    keys, lists = list(keys), ["event_id", *carry]
-    rows = df.select(*keys, *lists, "ts_us").withColumn("slice", F.floor(F.col("ts_us") / slice_us))
+    lists = ["event_id", *carry]
+    # One struct as the key: null fields compare equal, and every step below shares its hash partitioning.
+    rows = df.select(F.struct(*keys).alias("key"), F.floor(F.col("ts_us") / slice_us).alias("slice"), *lists, "ts_us")
     if need > 1:
         # The rate window of a slice's first rows reaches back into the slice before.
         late = F.col("ts_us") >= (F.col("slice") + 1) * slice_us - rate_us
         rows = rows.withColumn("slice", F.explode(
             F.when(late, F.array("slice", F.col("slice") + 1)).otherwise(F.array("slice"))))
-    rows = rows.repartition(*keys, "slice")
+    rows = rows.repartition("key", "slice")
     row = F.struct(*lists)
     if need == 1:
         # Copies at one instant act as one row; both groupings reuse the partitioning above.
-        rows = rows.groupBy(*keys, "slice", "ts_us").agg(F.min(row).alias("row"))
-        row = F.col("row")
-    packed = (rows.groupBy(*keys, "slice")
+        first = F.min(row) if carry else F.min("event_id")
+        rows = rows.groupBy("key", "slice", "ts_us").agg(first.alias("row"))
+        row = F.col("row") if carry else F.struct(F.col("row").alias("event_id"))
+    packed = (rows.groupBy("key", "slice")
               .agg(F.sort_array(F.collect_list(F.struct(F.col("ts_us"), row.alias("row")))).alias("rows"))
-              .select(*keys, "slice", F.col("rows.ts_us").alias("times"),
+              .select("key", "slice", F.col("rows.ts_us").alias("times"),
                       *[F.col(f"rows.row.{c}").alias(c) for c in lists]))
-    key_fields = [df.schema[k] for k in keys]
-    longs = T.ArrayType(T.LongType())
-    args = (slice_us, cooldown_us, need, rate_us, keys)
+    key_field, longs = packed.schema["key"], T.ArrayType(T.LongType())
+    args = (slice_us, cooldown_us, need, rate_us)
 
-    steps = packed.drop(*lists).mapInArrow(
+    # Both passes read all of `packed`, so the shuffle under it is done once and reused.
+    steps = packed.mapInArrow(
         _step_tables(*args),
-        T.StructType(key_fields + [T.StructField("slice", T.LongType()), T.StructField("upto", longs),
-                                   T.StructField("leave", longs)]))
-    per_key = (steps.groupBy(*keys)
+        T.StructType([key_field, T.StructField("slice", T.LongType()), T.StructField("upto", longs),
+                      T.StructField("leave", longs)]))
+    per_key = (steps.groupBy("key")
                .agg(F.sort_array(F.collect_list(F.struct("slice", "upto", "leave"))).alias("steps"))
                .filter(F.size("steps") > 1))
     chain = F.arrow_udf(_entries, longs)
-    entries = (per_key.select(*keys, F.explode(F.arrays_zip(
-        F.col("steps.slice").alias("slice"), chain("steps").alias("quiet"))).alias("e"))
-        .select(*keys, F.col("e.slice").alias("slice"), F.col("e.quiet").alias("quiet_until"))
-        .filter(F.col("quiet_until").isNotNull()))
-    ready = packed.join(_null_safe(entries, keys), _null_safe_on(packed, keys), "left").select(
-        *[packed[k] for k in keys], packed["slice"], "times", *[packed[c] for c in lists], "quiet_until")
-    return ready.mapInArrow(
+    entries = (per_key.select("key", F.explode(F.arrays_zip(
+        F.col("steps.slice").alias("slice"), chain("steps").alias("quiet_until"))).alias("e"))
+        .select("key", "e.slice", "e.quiet_until").filter(F.col("quiet_until").isNotNull()))
+    marked = packed.join(entries, ["key", "slice"], "left").mapInArrow(
         _replay(*args, lists, marks_quiet),
-        T.StructType(key_fields + [T.StructField(c, T.LongType()) for c in lists]
+        T.StructType([key_field] + [T.StructField(c, T.LongType()) for c in lists]
                      + [T.StructField("ts_us", T.LongType()), T.StructField("mark", T.IntegerType())]))
-
-
-def _null_safe(entries: DataFrame, keys) -> DataFrame:
-    return entries.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("slice").alias("_slice"), "quiet_until")
-
-
-def _null_safe_on(packed: DataFrame, keys):
-    cond = packed["slice"] == F.col("_slice")
-    for k in keys:
-        cond = cond & packed[k].eqNullSafe(F.col(f"_{k}"))
-    return cond
+    return marked.select("key.*", *lists, "ts_us", "mark")
 
 
 def first_per_window(df: DataFrame, keys, window_us: int, inclusive: bool, slice_us: int = None,

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULTS, SECOND_US, micros
 from ..functions import text as X
+from ..storage import checkpointed
 from .cooldown import first_per_window
 from .sliding import Sliding, sliding_counts
 
@@ -70,6 +71,9 @@ class PatternSet:
                 break
             waiting = [p for p in waiting if p not in ready]
             fired = self._stage(events, ready, done, key)
+            if any(r in {p.name for p in ready} for w in waiting for r in w.requires):
+                # Later patterns read these few alerts too; without a checkpoint the events would be scanned again.
+                fired = checkpointed(fired)
             for p in ready:
                 done[p.name] = fired.filter(F.col("pattern_name") == p.name)
             out.append(fired)

@@ -29,9 +29,7 @@ def _slice_functions(packed: DataFrame) -> DataFrame:
     def clamp(x):
         return F.least(F.greatest(x, F.lit(0).cast("long")), F.lit(UNIT).cast("long"))
 
-    start = F.struct(F.lit(0).cast("long").alias("shift"), F.lit(-_UNBOUNDED).cast("long").alias("low"),
-                     F.lit(_UNBOUNDED).cast("long").alias("high"))
-    return packed.withColumn("f", F.aggregate("rows.move", start, lambda acc, m: F.struct(
+    return packed.withColumn("f", F.aggregate("rows.move", _identity(), lambda acc, m: F.struct(
         (acc["shift"] + m).alias("shift"), clamp(acc["low"] + m).alias("low"), clamp(acc["high"] + m).alias("high"))))
 
 
@@ -39,25 +37,21 @@ def _enter(x, f):
     return F.least(f["high"], F.greatest(f["low"], x + f["shift"]))
 
 
-def trust_scores(detections: DataFrame, cfg=DEFAULTS, key: str = "source_ip", start: DataFrame = None) -> DataFrame:
-    """(key, score): every event moves the score, clamped to [0, 1] after each move.
+def _then(f, g):
+    """The function that applies f, then g."""
+    return F.struct((f["shift"] + g["shift"]).alias("shift"), _enter(f["low"], g).alias("low"),
+                    _enter(f["high"], g).alias("high"))
 
-    `start` (key, score) gives scores to continue from; others begin at the initial score.
-    """
+
+def _identity():
+    return F.struct(F.lit(0).cast("long").alias("shift"), F.lit(-_UNBOUNDED).cast("long").alias("low"),
+                    F.lit(_UNBOUNDED).cast("long").alias("high"))
+
+
+def trust_scores(detections: DataFrame, cfg=DEFAULTS, key: str = "source_ip") -> DataFrame:
+    """(key, score): every event moves the score, clamped to [0, 1] after each move."""
     summaries = _slice_functions(sliced.pack(_moves(detections, key, cfg), [key], ["move"])).drop("rows")
     initial = F.lit(_units(cfg.trust_initial)).cast("long")
-    if start is not None:
-        whole = sliced.final(summaries, [key], "f", F.struct(
-            F.lit(0).cast("long").alias("shift"), F.lit(-_UNBOUNDED).cast("long").alias("low"),
-            F.lit(_UNBOUNDED).cast("long").alias("high")),
-            lambda a, f: F.struct((a["shift"] + f["shift"]).alias("shift"),
-                                  F.least(f["high"], F.greatest(f["low"], a["low"] + f["shift"])).alias("low"),
-                                  F.least(f["high"], F.greatest(f["low"], a["high"] + f["shift"])).alias("high")))
-        known = start.select(F.col(key), F.round(F.col("score") * UNIT).cast("long").alias("_x"))
-        both = whole.join(known, key, "full")
-        x = F.coalesce("_x", initial)
-        return both.select(key, (F.when(F.col("state").isNull(), x).otherwise(
-            _enter(x, F.col("state"))) / F.lit(float(UNIT))).alias("score"))
     last = sliced.final(summaries, [key], "f", initial, _enter)
     return last.select(key, (F.col("state") / F.lit(float(UNIT))).alias("score"))
 
@@ -131,21 +125,26 @@ def trust_rounds(detections: DataFrame, edges: DataFrame, tick_us: int, strategy
 
     Within a round each source applies its own events, then the sources seen in the round push once. With at most
     one event per neighbourhood and tick this equals pushing after every event; coarser ticks trade that order for
-    parallel rounds. Scores are checkpointed between rounds.
+    parallel rounds. The events are read once, into one function per source and tick; rounds work on those and on the
+    scores, which are checkpointed between rounds.
     """
-    spark = detections.sparkSession
-    ips = (detections.select(F.col("source_ip").alias("ip")).union(edges.select("src")).union(edges.select("dst"))
-           .distinct())
+    slice_us = sliced.SLICE_US if tick_us % sliced.SLICE_US == 0 else tick_us
+    moved = _slice_functions(sliced.pack(_moves(detections, "source_ip", cfg), ["source_ip"], ["move"], slice_us))
+    steps = moved.groupBy(F.col("source_ip").alias("ip"), F.floor(F.col("slice") * slice_us / tick_us).alias("tick")).agg(
+        F.sort_array(F.collect_list(F.struct("slice", "f"))).alias("fs"))
+    steps = checkpointed(steps.select("ip", "tick", F.aggregate("fs.f", _identity(), _then).alias("f")))
+    ips = steps.select("ip").union(edges.select("src")).union(edges.select("dst")).distinct()
     nodes = ips.withColumn("score", F.lit(cfg.trust_initial))
     nodes = nodes.join(clusters, "ip", "left") if clusters is not None else nodes.withColumn("cluster_id", F.lit(""))
-    nodes = checkpointed(nodes)
-    ticks = detections.select(F.floor(F.col("ts_us") / tick_us).alias("t")).distinct().orderBy("t")
-    for row in ticks.toLocalIterator():
-        part = detections.filter(F.floor(F.col("ts_us") / tick_us) == row.t)
-        direct = trust_scores(part, cfg, start=nodes.select(F.col("ip").alias("source_ip"), "score"))
-        seen = part.select(F.col("source_ip").alias("src")).distinct()
-        moved = nodes.drop("score").join(direct.withColumnRenamed("source_ip", "ip"), "ip")
-        nodes = checkpointed(disseminate(moved, edges.join(seen, "src", "left_semi"), strategy, cfg))
+    nodes, edges = checkpointed(nodes), checkpointed(edges)
+    scale = F.lit(float(UNIT))
+    score = F.least(F.col("f.high") / scale, F.greatest(F.col("f.low") / scale, F.col("score") + F.col("f.shift") / scale))
+    for row in steps.select("tick").distinct().orderBy("tick").toLocalIterator():
+        part = steps.filter(F.col("tick") == row.tick).drop("tick")
+        direct = nodes.join(part, "ip", "left").withColumn(
+            "score", F.when(F.col("f").isNull(), F.col("score")).otherwise(score)).drop("f")
+        seen = edges.join(part.select(F.col("ip").alias("src")), "src", "left_semi")
+        nodes = checkpointed(disseminate(direct, seen, strategy, cfg))
     return nodes
 
 

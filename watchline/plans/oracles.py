@@ -411,3 +411,15 @@ oracle("dataset_profile", ["eval_pairs"], """select c.source, c.rows, 3::bigint
  join (select source, max(case when r = 1 then case when length(text) > 120 then substring(text, 1, 117) || '...' else text end end) as first_text,
   max(case when r = least(m, 5) then n_chars::varchar end) as last_n_chars from
   (select *, row_number() over (partition by source order by doc_id) as r, count(*) over (partition by source) as m from documents) group by 1) s on s.source = c.source""")
+
+# ---- streams: the same answers as their batch twins ----
+SQL["stream_dedup"] = SQL["dedup_anchors"]
+SQL["stream_brute_force"] = SQL["cep_brute_force"]
+SQL["stream_login_after_scan"] = SQL["cep_login_after_scan"]
+SQL["stream_flood"] = SQL["dos_flood"]
+SQL["stream_gateway_sprt"] = SQL["gateway_sprt"]
+SQL["stream_trust_path"] = SQL["trust_path"]
+SQL["stream_protocol_violations"] = f"select * exclude (message) from ({SQL['protocol_violations']})"
+SQL["stream_motion"] = f"select event_id, motion_ts_us from ({SQL['motion_fusion']})"
+oracle("stream_ticks", ["log_events"], """select source_ip, cast(floor(ts_us / 60000000) as bigint) as tick, count(*) as packet_count
+ from log_events group by all having (max(floor(ts_us / 60000000)) + 1) * 60000000 <= (select floor(max(ts_us) / 1000) * 1000 from log_events)""")

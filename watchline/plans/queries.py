@@ -335,6 +335,13 @@ def trust_cluster_round(spark, d):
     return out.select("ip", F.round("score", 6).alias("score"))
 
 
+@query
+def trust_rounds(spark, d):
+    """Direct updates and dissemination in five-minute rounds."""
+    out = trust.trust_rounds(view(spark, d, "detections"), _edges(spark, d), micros(300), "cntd", clusters=_clusters(spark, d))
+    return out.select("ip", F.round("score", 6).alias("score"))
+
+
 @query
 def severity_multiplier(spark, d):
     det = view(spark, d, "detections")
@@ -672,3 +679,76 @@ def hybrid_model(spark, d):
     texts = classify.training_text(rows)
     out = hybrid.hybrid_predict(texts, model)
     return out.groupBy("stage", "label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- streams: the table read as a stream, run to its end, and what it wrote ---------------------
+
+from ..storage import new_folder  # noqa: E402
+from ..streaming import folds, windows  # noqa: E402
+
+
+def drained(spark, stream):
+    """Run a stream over everything there is, into a table in the shared folder; returns the table."""
+    out = new_folder(spark, "stream")
+    query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/_checkpoint")
+             .trigger(availableNow=True).start(f"{out}/rows"))
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+@query
+def stream_dedup(spark, d):
+    rows = view(spark, d, "detections", streaming=True).filter("allowlisted = 0")
+    return drained(spark, folds.dedup(rows)).filter("not deduplicated").select("event_id", "ts_us")
+
+
+@query
+def stream_brute_force(spark, d):
+    out = folds.patterns(view(spark, d, "log_events", streaming=True), P.builtin_patterns()[:1])
+    return drained(spark, out).select("source_ip", "event_id", "ts_us", "matched_count")
+
+
+@query
+def stream_login_after_scan(spark, d):
+    pair = [p for p in P.builtin_patterns() if p.name in ("port_scan", "login_after_scan")]
+    out = drained(spark, folds.patterns(view(spark, d, "log_events", streaming=True), pair))
+    return out.filter("pattern_name = 'login_after_scan'").select("source_ip", "event_id", "ts_us", "matched_count")
+
+
+@query
+def stream_flood(spark, d):
+    out = folds.flood(view(spark, d, "log_events", streaming=True), cfg=replace(DEFAULTS, flood_rate=1.6))
+    return drained(spark, out).select("source_ip", "event_id", "flag")
+
+
+@query
+def stream_gateway_sprt(spark, d):
+    out = drained(spark, folds.gateway_sprt(view(spark, d, "gateway_obs", streaming=True)))
+    return rounded(out.drop("ts_us"), "sprt_statistic", "estimated_pdp")
+
+
+@query
+def stream_trust_path(spark, d):
+    out = drained(spark, folds.trust_path(view(spark, d, "detections", streaming=True)))
+    return rounded(out.drop("ts_us"), "score")
+
+
+@query
+def stream_protocol_violations(spark, d):
+    out = drained(spark, folds.protocol_violations(view(spark, d, "protocol_messages", streaming=True)))
+    return out.select("source_ip", "protocol", "event_id", "from_state", "to_state")
+
+
+@query
+def stream_motion(spark, d):
+    moved = view(spark, d, "motion").select("event_id", F.lit(True).alias("moved"))
+    both = view(spark, d, "log_events", streaming=True).join(moved, "event_id", "left")
+    out = folds.with_last_motion(both, both.filter("moved"))
+    return drained(spark, out).select("event_id", "motion_ts_us")
+
+
+@query
+def stream_ticks(spark, d):
+    """Closed one-minute ticks; the watermark follows the newest event, so the last minutes stay open."""
+    out = windows.tick_counts(view(spark, d, "log_events", streaming=True), 60.0, delay="0 seconds")
+    return drained(spark, out).select("source_ip", "tick", "packet_count")

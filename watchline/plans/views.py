@@ -71,9 +71,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, streaming: bool = False) -> DataFrame:
     """One of the input views as a DataFrame (a driver table when the name is not a view)."""
     if name not in _VIEWS:
+        if streaming:
+            schema = table(spark, sf_dir, name).schema
+            return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
         return table(spark, sf_dir, name)
     inputs, sql = _VIEWS[name]
     sql = sql.replace("{ELAPSED_US}", ELAPSED_SPARK)
@@ -81,7 +84,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for i in inputs:
         for word in ("from", "join"):
             body = body.replace(f"{word} {i}", f"{word} {{{i}}}")
-    rows = spark.sql(body, **{i: view(spark, sf_dir, i) for i in inputs})
+    rows = spark.sql(body, **{i: view(spark, sf_dir, i, streaming) for i in inputs})
     if name in ("log_events", "detections"):
         # These columns are long CASE expressions. Passing them through a generator makes Spark compute them once
         # per row instead of repeating them inside every later filter and projection.

@@ -1,6 +1,7 @@
-"""Reliable checkpoints for iterative operators."""
+"""Reliable checkpoints for iterative operators, and folders beside them for stream output."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,3 +20,9 @@ def checkpoint_dir(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the shared checkpoint folder."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
