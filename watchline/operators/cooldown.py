@@ -12,10 +12,9 @@ in one task:
 Work per task is bounded by rows per slice, not by rows per key, and nothing is approximated.
 """
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..config import DEFAULTS, SECOND_US, micros
@@ -94,19 +93,38 @@ def _step_tables(slice_us, cooldown, need, rate):
     return run
 
 
-def _entries(steps: pa.Array) -> pa.Array:
-    """Walk each key's step functions in slice order: the quiet-until every slice starts with."""
-    out = []
-    for key_steps in steps.to_pylist():
-        quiet, entries = None, []
-        for step in key_steps:
-            entries.append(quiet)
-            upto, leave = step["upto"], step["leave"]
-            at = 0 if quiet is None else bisect_left(upto, quiet)
-            if at < len(upto) and leave[at] >= 0:
-                quiet = leave[at]
-        out.append(entries)
-    return pa.array(out, pa.list_(pa.int64()))
+_NEVER = -2 ** 62
+
+
+def _entry_states(slice_us, cooldown, rate):
+    stride = slice_us + 2 * rate + 2 * cooldown + 10
+
+    def run(steps: pa.Array) -> pa.Array:
+        """Walk the step functions of all keys of a batch side by side, one slice per round."""
+        lens = pc.list_value_length(steps).to_numpy(zero_copy_only=False).astype(np.int64)
+        slices, upto, leave = steps.flatten().flatten()
+        start = slices.to_numpy(zero_copy_only=False) * slice_us
+        sizes = pc.list_value_length(upto).to_numpy(zero_copy_only=False).astype(np.int64)
+        end = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(start)), sizes)
+        axis = upto.flatten().to_numpy(zero_copy_only=False) - start[owner] + owner * stride
+        exits = np.append(leave.flatten().to_numpy(zero_copy_only=False), -1)
+        # Keys with most slices first, so the keys still walking are always a prefix.
+        order = np.argsort(-lens, kind="stable")
+        first = (np.cumsum(lens) - lens)[order]
+        walking = len(lens) - np.searchsorted(np.sort(lens), np.arange(lens.max(initial=0)), "right")
+        quiet = np.full(len(lens), _NEVER, dtype=np.int64)
+        entry = np.full(len(start), _NEVER, dtype=np.int64)
+        for j, m in enumerate(walking):
+            at = first[:m] + j
+            entry[at] = quiet[:m]
+            own = np.clip(quiet[:m] - start[at], -rate - 1, slice_us + cooldown + 1)
+            step = np.searchsorted(axis, own + at * stride, "left")
+            left = exits[np.where(step < end[at], step, len(axis))]
+            quiet[:m] = np.where(left >= 0, left, quiet[:m])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(entry, pa.int64(), mask=entry == _NEVER))
+    return F.arrow_udf(run, T.ArrayType(T.LongType()))
 
 
 def _replay(slice_us, cooldown, need, rate, lists, marks_quiet):
@@ -189,7 +207,7 @@ def cooldown_scan(df: DataFrame, keys, cooldown_us: int, need: int = 1, rate_us:
     per_key = (steps.groupBy("key")
                .agg(F.sort_array(F.collect_list(F.struct("slice", "upto", "leave"))).alias("steps"))
                .filter(F.size("steps") > 1))
-    chain = F.arrow_udf(_entries, longs)
+    chain = _entry_states(slice_us, cooldown_us, rate_us)
     entries = (per_key.select("key", F.explode(F.arrays_zip(
         F.col("steps.slice").alias("slice"), chain("steps").alias("quiet_until"))).alias("e"))
         .select("key", "e.slice", "e.quiet_until").filter(F.col("quiet_until").isNotNull()))

@@ -31,8 +31,14 @@ def with_severity(scored: DataFrame, cfg=DEFAULTS) -> DataFrame:
 
 
 def dedup_anchors(events: DataFrame, cfg=DEFAULTS) -> DataFrame:
-    """Events that open a dedup window. The flags follow from the message, so the key omits them."""
-    return first_per_window(events, list(DEDUP_KEY), micros(cfg.dedup_window_s), inclusive=True)
+    """(event_id, ts_us) of events that open a dedup window.
+
+    An event is known by the SHA-256 of its text fields, so texts of any length shuffle as 32 bytes. The rule flags
+    follow from the message and need not be part of it.
+    """
+    digest = F.unhex(F.sha2(F.concat_ws("|", *DEDUP_KEY), 256))
+    keyed = events.select(digest.alias("digest"), "event_id", "ts_us")
+    return first_per_window(keyed, ["digest"], micros(cfg.dedup_window_s), inclusive=True).drop("digest")
 
 
 def mark_duplicates(events: DataFrame, cfg=DEFAULTS) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import DEFAULTS, micros
+from ..functions.text import names_where
 from ..functions.verdicts import escalate
 
 
@@ -40,10 +41,9 @@ def fuse(detections: DataFrame, motion: DataFrame, cfg=DEFAULTS) -> DataFrame:
     critical = F.col("effective_severity") == "critical"
     out = (out.withColumn("camera_recording_started", critical | (F.col("predicted_label") == "malicious"))
            .withColumn("gsm_alert_sent", critical & moved))
-    flags = (("physical_motion_detected", "physical_motion_corroborated"),
-             ("camera_recording_started", "camera_recording_started"), ("gsm_alert_sent", "gsm_alert_sent"))
-    return out.withColumn("extra_flags", F.array_compact(F.array(
-        *[F.when(F.col(c), F.lit(name)) for c, name in flags])))
+    return out.withColumn("extra_flags", names_where({
+        "physical_motion_corroborated": F.col("physical_motion_detected"),
+        "camera_recording_started": F.col("camera_recording_started"), "gsm_alert_sent": F.col("gsm_alert_sent")}))
 
 
 def notices(fused: DataFrame) -> DataFrame:

@@ -107,8 +107,8 @@ class PatternSet:
                 ok = ok & (F.col(f"`{p.name}~{r}`") > 0)
             hits.append(F.when(ok, F.struct(F.lit(p.name).alias("pattern_name"),
                                             F.col(f"`{p.name}`").alias("matched_count"))))
-        long = (counted.select(key, "event_id", "ts_us", F.explode(F.array_compact(F.array(*hits))).alias("h"))
-                .select(key, "event_id", "ts_us", "h.*"))
+        long = (counted.select(key, "event_id", "ts_us", F.explode(F.array(*hits)).alias("h"))
+                .filter("h is not null").select(key, "event_id", "ts_us", "h.*"))
         return first_per_window(long, [key, "pattern_name"], micros(self.cfg.pattern_cooldown_s),
                                 inclusive=False, carry=("matched_count",))
 

@@ -30,11 +30,11 @@ def flag_conditions(m="m"):
         "failed_login": has_any(m, X.FAILED_LOGIN),
         "invalid_user": has_any(m, [X.INVALID_USER]),
         "privilege_escalation": f"({has_any(m, ['sudo'])} and {has_any(m, X.SUDO_FAILURES)})",
-        "recon_tool": re(m, X.RECON_TOOL),
+        "recon_tool": has_any(m, X.RECON_TOOLS),
         "remote_download": re(m, X.REMOTE_DOWNLOAD),
-        "suspicious_command": re(m, X.SUSPICIOUS_COMMAND),
-        "scan_like_tcp": re(m, X.SCAN_LIKE_TCP),
-        "high_risk_port": re(m, X.HIGH_RISK_PORT),
+        "suspicious_command": has_any(m, X.SUSPICIOUS_COMMANDS),
+        "scan_like_tcp": has_any(m, X.SCAN_LIKE_TCP),
+        "high_risk_port": has_any(m, X.HIGH_RISK_PORTS),
         "sql_injection_like": re(m, X.SQL_INJECTION),
     }
 
@@ -172,7 +172,7 @@ oracle("cep_all_patterns", ["log_events"], "\nunion all ".join(
        COUNTS + ",\n" + ",\n".join(pattern_ctes(p, n) for p, n in LEAST.items()) + ",\n" + SEQUENCE)
 oracle("custom_pattern", ["log_events"], """select source_ip, event_id, matched_count, 'medium' as severity,
  '3+ recon tool messages within 20 seconds' as description from a_recon""",
-       f"""c as (select source_ip, event_id, ts_us, cast(sum(case when {re('lower(message)', X.RECON_TOOL)} then 1 else 0 end) over {frame(20)} as bigint) as recon from log_events),
+       f"""c as (select source_ip, event_id, ts_us, cast(sum(case when {has_any('lower(message)', X.RECON_TOOLS)} then 1 else 0 end) over {frame(20)} as bigint) as recon from log_events),
 q as (select source_ip, event_id, ts_us, recon as matched_count from c where recon >= 3),
 """ + thin("a_recon", "q", ["source_ip"], COOLDOWN, "matched_count"))
 oracle("recent_matches", ["log_events"], """select alert_id, count(*) as n, string_agg(event_id::varchar, ',' order by ts_us, event_id) as ids from m where r <= 10 group by alert_id""",
