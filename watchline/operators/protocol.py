@@ -48,12 +48,15 @@ def protocol_violations(messages: DataFrame, transitions=DEFAULT_TRANSITIONS, sl
         out = []
         for proto, row_cur, row_nxt in zip(protocol.to_pylist(), cur.to_pylist(), nxt.to_pylist()):
             allowed = edges.get(proto, set())
-            ends = {}
-            for entry in {a for a, _ in allowed} | {UNSEEN, _STUCK}:
-                state = entry
-                for c, n in zip(row_cur, row_nxt):
-                    state, _ = follow(state, c, n, allowed, reset_on_terminal)
-                ends[entry] = state
+            # Entry states that reach the same state go on together.
+            runs = {entry: [entry] for entry in {a for a, _ in allowed} | {UNSEEN, _STUCK}}
+            for c, n in zip(row_cur, row_nxt):
+                after = {}
+                for state, entered in runs.items():
+                    end, _ = follow(state, c, n, allowed, reset_on_terminal)
+                    after.setdefault(end, []).extend(entered)
+                runs = after
+            ends = {entry: end for end, entered in runs.items() for entry in entered}
             out.append([{"entry": k, "end": v} for k, v in sorted(ends.items())])
         return pa.array(out, pa.list_(pa.struct([("entry", pa.string()), ("end", pa.string())])))
 

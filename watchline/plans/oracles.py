@@ -412,6 +412,10 @@ oracle("dataset_profile", ["eval_pairs"], """select c.source, c.rows, 3::bigint
   max(case when r = least(m, 5) then n_chars::varchar end) as last_n_chars from
   (select *, row_number() over (partition by source order by doc_id) as r, count(*) over (partition by source) as m from documents) group by 1) s on s.source = c.source""")
 
+oracle("paired_rows", [], "select row_number() over (order by event_id) - 1 as row_idx, event_id, event_type, user_id from events")
+oracle("live_sources", ["log_events"], """select source_ip, count(*) as events from log_events group by 1
+ having 1710789000000000 + 1540000000 - max(ts_us) <= 30000000""")
+
 # ---- streams: the same answers as their batch twins ----
 SQL["stream_dedup"] = SQL["dedup_anchors"]
 SQL["stream_brute_force"] = SQL["cep_brute_force"]

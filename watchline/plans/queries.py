@@ -617,6 +617,22 @@ def ingest_events(spark, d):
     return rounded(event_sources.parse_ingest(sent), "timestamp")
 
 
+@query
+def paired_rows(spark, d):
+    """Two column sets of one table, numbered apart and put together again by row position."""
+    ev = table(spark, d, "events")
+    left = csv_sources.with_row_index(ev, ["event_id", "event_type"])
+    right = csv_sources.with_row_index(ev, ["user_id"])
+    return csv_sources.pair_by_row_index(left, right)
+
+
+@query
+def live_sources(spark, d):
+    ev = view(spark, d, "log_events")
+    live = A.evict_idle(ev, "source_ip", "ts_us", 1710789000000000 + micros(1540), 30.0)
+    return live.groupBy("source_ip").agg(F.count(F.lit(1)).alias("events"))
+
+
 def _labelled(spark, d):
     marks = view(spark, d, "eval_pairs").select("doc_id", F.col("y_true").alias("label"))
     return table(spark, d, "documents").join(marks, "doc_id").select("text", "label", "source", "lang")
