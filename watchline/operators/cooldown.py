@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..config import DEFAULTS, SECOND_US, micros
+from ..ship import ship
 
 FIRED, QUIET = 1, 2
 
@@ -174,6 +175,7 @@ def cooldown_scan(df: DataFrame, keys, cooldown_us: int, need: int = 1, rate_us:
     `df` has event_id and ts_us; ties on ts_us are ordered by event_id. `carry` names non-null long
     columns taken along with each row.
     """
+    ship(df.sparkSession)
     slice_us = slice_us or max(60 * SECOND_US, cooldown_us, rate_us)
     if rate_us > slice_us:
         raise ValueError("a slice must be at least as long as the rate window")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import DEFAULTS, SECOND_US, micros
 from ..storage import checkpointed
+from ..ship import ship
 
 KEY = "gateway_id"
 _SLOT_US = 60 * SECOND_US
@@ -89,6 +90,7 @@ def _resolved(obs: DataFrame, cfg, chunk_rows: int) -> DataFrame:
     end until nothing changes. Resets make runs from different starts meet quickly, so few chunks are run twice.
     A gateway that fits one chunk needs none of this.
     """
+    ship(obs.sparkSession)
     start = (F.lit(0.0).alias("in_stat"), F.lit(None).cast("long").alias("in_last"))
     chunks = _chunked(obs, chunk_rows)
     largest = obs.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0

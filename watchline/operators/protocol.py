@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import sliced
+from ..ship import ship
 
 # Allowed transitions per protocol.
 DEFAULT_TRANSITIONS = (
@@ -42,6 +43,7 @@ def protocol_violations(messages: DataFrame, transitions=DEFAULT_TRANSITIONS, sl
     messages(source_ip, protocol, event_state, next_state or null, ts_us, event_id). A message without a next state
     sets the state; a disallowed one leaves it as it was; a protocol without edges allows everything.
     """
+    ship(messages.sparkSession)
     edges = edge_table(transitions)
 
     def summarise(protocol: pa.Array, cur: pa.Array, nxt: pa.Array) -> pa.Array:

@@ -7,6 +7,7 @@ from ..config import DEFAULTS, micros
 from ..functions.verdicts import trust_multiplier
 from ..storage import checkpointed
 from . import sliced
+from ..ship import ship
 
 # Scores are counted in millionths, so clamped sums are exact and can be regrouped freely.
 UNIT = 1_000_000
@@ -59,6 +60,7 @@ def trust_scores(detections: DataFrame, cfg=DEFAULTS, key: str = "source_ip") ->
 def trust_path(detections: DataFrame, cfg=DEFAULTS, key: str = "source_ip",
                slice_us: int = sliced.SLICE_US) -> DataFrame:
     """(key, event_id, ts_us, score): the score after every event."""
+    ship(detections.sparkSession)
     packed = sliced.pack(_moves(detections, key, cfg), [key], ["move"], slice_us)
     first = _units(cfg.trust_initial)
 

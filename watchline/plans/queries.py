@@ -454,8 +454,7 @@ def immune_screen_events(spark, d):
     learned = ev.filter("predicted_label = 'malicious'").select("message", "bits").distinct()
     learned = learned.select(F.substring(F.sha2(F.array_join(F.col("bits").cast("array<string>"), ","), 256), 1, 16)
                              .alias("detector_id"), "bits").distinct()
-    hits = immune.immune_screen(ev.select(F.col("event_id").alias("antigen_id"), "bits"), learned, 512)
-    return hits.groupBy("antigen_id").agg(F.count(F.lit(1)).alias("matches"), F.round(F.max("affinity"), 6).alias("best"))
+    return rounded(immune.immune_totals(ev.select(F.col("event_id").alias("antigen_id"), "bits"), learned, 512), "best")
 
 
 def _survivors(spark, d):

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..config import DEFAULTS, micros
 from ..operators import gateway, protocol, trust
+from ..ship import ship
 
 _STATE = T.StructType([T.StructField("json", T.StringType())])
 
@@ -25,6 +26,7 @@ def fold(stream: DataFrame, keys, schema: str, init, step, idle_s: float, delay:
 
     A key idle for idle_s (event time) is forgotten.
     """
+    ship(stream.sparkSession)
     timed = stream if "event_time" in stream.columns else event_timed(stream, delay)
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     names = fields.names
