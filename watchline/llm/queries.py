@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, rules
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -13,6 +13,52 @@ def query(fn):
     return fn
 
 
+@query
+def op2_quality_rules(spark, d):
+    entries = rules.ledger(table(spark, d, "documents"))
+    base = F.col("failed").bitwiseAND(F.lit(rules.bits(rules.BASE))) != 0
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                          base.alias("base_failed"), rules.judge(entries, rules.POLICIES[rules.CURRENT]).alias("kept"),
+                          "failed")
+
+
+SQL["op2_quality_rules"] = r"""
+with d as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from documents),
+windows as (
+  select rid, i, count(*) over (partition by rid, w) as times
+  from (select rid, i, array_to_string(words[i:i + 4], ' ') as w
+        from (select rid, words, unnest(range(1, len(words) - 3)) as i from d))),
+covered as (
+  select rid, count(distinct p) as n from (select rid, unnest(range(i, i + 5)) as p from windows where times > 1)
+  group by rid),
+lines as (
+  select rid, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+  from (select rid, unnest(string_split(text, chr(10))) as line from d)
+  where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid),
+m as (
+  select d.doc_id, len(words)::bigint as n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+         coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dup_lines, 0)::bigint as n_dup_lines,
+         coalesce(c.n, 0)::bigint as n_repeat_words,
+         len(list_filter(words, lambda x: regexp_matches(x, '\p{Lu}') and not regexp_matches(x, '\p{Ll}'))) as n_caps_words
+  from d left join covered c using (rid) left join lines l using (rid)),
+b as (
+  select *, (case when n_words < 10 then 1 else 0 end) + (case when 100 * n_repeat_words > 20 * n_words then 2 else 0 end)
+    + (case when 100 * n_symbols > 10 * n_words then 4 else 0 end)
+    + (case when 100 * word_chars < 200 * n_words or 100 * word_chars > 1500 * n_words then 8 else 0 end)
+    + (case when 100 * n_dup_lines > 30 * n_lines then 16 else 0 end)
+    + (case when 100 * n_caps_words > 40 * n_words then 32 else 0 end) as failed
+  from m)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 as base_failed,
+       (failed & 47) = 0 as kept, failed::bigint as failed
+from b
+"""
+
+
 @query
 def op6_mix_sources(spark, d):
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
