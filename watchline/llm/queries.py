@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import mixing, rules
+from . import mixing, rules, sharding
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -103,3 +103,10 @@ select l.doc_id, l.size, p.source_size, p.target,
 from light l join plans p on l.source is not distinct from p.source
 join cuts c on l.source is not distinct from c.source
 """
+
+
+@query
+def op9_shard_documents(spark, d):
+    return sharding.assign(table(spark, d, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
