@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import mixing, rules, sharding
+from . import mixing, rules, sharding, urls
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -59,6 +59,54 @@ from b
 """
 
 
+@query
+def op3_url_filter(spark, d):
+    pages = table(spark, d, "pages")
+    return urls.verdicts(urls.page_captures(pages), urls.page_lists(pages))
+
+
+def _number(text, modulus):
+    return f"(('0x' || substr(md5({text}), 1, 6))::bigint % {modulus})"
+
+
+SQL["op3_url_filter"] = rf"""
+with c as (
+  select page_id, url, {_number("'f' || page_id", 366)} as day,
+         nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') as h,
+         rtrim(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/') as path
+  from pages),
+captures as (select row_number() over () as rid, page_id, url, day, rtrim(h, '.') as host, path from c),
+patterns as (
+  select distinct 'domain' as kind, host as pattern from captures where host is not null
+  union select distinct 'prefix', host || regexp_extract(path, '^/[^/]+') from captures
+  where host is not null and regexp_extract(path, '^/[^/]+') <> ''),
+drawn as (
+  select *, {_number("pattern", 366)} as added, {_number("'g' || pattern", 90)} + 1 as gone,
+         {_number("'a' || pattern", 60)} + 1 as again, {_number("'k' || pattern", 9)} as what,
+         case when kind = 'prefix' and {_number("'l' || pattern", 2)} = 0 then 'allow' else 'deny' end as list
+  from patterns),
+held as (
+  select list, kind, pattern, added as since, case when what < 3 then 1000000 else added + gone end as until from drawn
+  union all select list, kind, pattern, added + gone + again, 1000000 from drawn where what >= 7),
+met as (
+  select c.*, h.list, h.pattern, h.since
+  from captures c join held h on h.kind = 'domain' and (c.host = h.pattern or ends_with(c.host, '.' || h.pattern))
+    and c.day >= since and c.day < until and contains(h.pattern, '.')
+  union all
+  select c.*, h.list, h.pattern, h.since
+  from captures c join held h on h.kind = 'prefix'
+    and (c.host || c.path = h.pattern or starts_with(c.host || c.path, h.pattern || '/'))
+    and c.day >= since and c.day < until),
+best as (
+  select rid, count(*) as n,
+         max(struct_pack(a := length(pattern), b := list = 'deny', c := pattern, d := since)) as m
+  from met group by rid)
+select page_id, url, day, host, coalesce(n, 0) as n_active, m.c as pattern, m.d as since,
+       case when m.b then 'drop' else 'keep' end as verdict
+from captures left join best using (rid)
+"""
+
+
 @query
 def op6_mix_sources(spark, d):
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
