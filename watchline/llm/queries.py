@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import mixing, rules, sharding, urls
+from . import langid, mixing, rules, sharding, urls
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -13,6 +13,18 @@ def query(fn):
     return fn
 
 
+def remainder(modulus):
+    """crc32 of doc_id as text, for splits into parts to learn from and parts held out; a null doc_id counts as ''."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+@query
+def op1_language_id(spark, d):
+    docs = table(spark, d, "documents")
+    model = langid.train(docs.where(remainder(4) != 2))
+    return langid.predict(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op2_quality_rules(spark, d):
     entries = rules.ledger(table(spark, d, "documents"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..ship import ship
 from .words import mixed, record_batch, slices, window_hashes, word_ids
 
 WINDOW = 5
@@ -132,6 +133,8 @@ def measure(docs: DataFrame) -> DataFrame:
     """doc_id and the MEASURES of every text."""
     schema = pa.schema([("doc_id", pa.int64())] + [(m, pa.int64()) for m in MEASURES])
 
+    ship(docs.sparkSession)
+
     def run(batches):
         for batch in batches:
             for part in slices(batch):
