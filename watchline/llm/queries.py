@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, rules, sharding, urls
+from . import langid, mixing, quality, rules, sharding, urls
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -119,6 +119,13 @@ from captures left join best using (rid)
 """
 
 
+@query
+def op5_quality_classifier(spark, d):
+    docs = table(spark, d, "documents")
+    model = quality.train(docs, table(spark, d, "labels").where(remainder(3) != 1))
+    return quality.scores(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
 @query
 def op6_mix_sources(spark, d):
     return mixing.mix(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
