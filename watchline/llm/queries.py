@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, rules, sharding, urls
+from . import decontaminate, langid, mixing, quality, rules, sharding, urls
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -172,6 +172,11 @@ join cuts c on l.source is not distinct from c.source
 """
 
 
+@query
+def op7_decontaminate(spark, d):
+    return decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 @query
 def op9_shard_documents(spark, d):
     return sharding.assign(table(spark, d, "documents")).select(
