@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, rules, sharding, urls
+from . import decontaminate, jaccard, langid, mixing, quality, rules, sharding, urls
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -182,3 +182,31 @@ def op9_shard_documents(spark, d):
     return sharding.assign(table(spark, d, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_jaccard_join(spark, d):
+    return jaccard.groups(table(spark, d, "documents"))
+
+
+SQL["op10_jaccard_join"] = r"""
+with recursive d as (
+  select row_number() over () as rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct rid, array_to_string(w[i:i + 4], ' ') as g
+  from (select rid, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+n as (select rid, count(*) as n from s group by rid),
+links as (
+  select a.rid as a, b.rid as b
+  from s a join s b on a.g = b.g and a.rid <> b.rid join n x on x.rid = a.rid join n y on y.rid = b.rid
+  group by a.rid, b.rid, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach as (
+  select rid as a, rid as b from n
+  union select r.a, l.b from reach r join links l on l.a = r.b)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(m.low, d.doc_id) as component_id
+from d left join n using (rid)
+left join (select r.a as rid, min(e.doc_id) as low from reach r join d e on e.rid = r.b group by r.a) m using (rid)
+"""
