@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, mixing, quality, rules, sharding, urls
+from . import decontaminate, html, jaccard, langid, mixing, quality, rules, sharding, urls
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -177,6 +177,12 @@ def op7_decontaminate(spark, d):
     return decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+@query
+def op8_html_extraction(spark, d):
+    pages = table(spark, d, "pages")
+    return html.extract(pages, html.train(pages))
+
+
 @query
 def op9_shard_documents(spark, d):
     return sharding.assign(table(spark, d, "documents")).select(
