@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, langid, mixing, quality, rules, sharding, urls
+from . import decontaminate, html, jaccard, langid, lines, mixing, quality, rules, sharding, urls
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -119,6 +119,39 @@ from captures left join best using (rid)
 """
 
 
+@query
+def op4_line_dedup(spark, d):
+    return lines.copies(table(spark, d, "documents"))
+
+
+SQL["op4_line_dedup"] = r"""
+with line as (
+  select doc_id, unnest(range(len(l))) as line, unnest(l) as text
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)),
+worded as (
+  select distinct doc_id, line, w, array_to_string(w, ' ') as key
+  from (select doc_id, line, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from line) where len(w) >= 5),
+texts as (
+  select key, any_value(w) as w, min(struct_pack(doc_id, line)) as first,
+         row_number() over (order by key) as id from worded group by key),
+gaps as (
+  select id, key as variant, 0 as place from texts
+  union all
+  select id, array_to_string(w[1:i - 1] || w[i + 1:len(w)], ' '), i
+  from (select id, w, unnest(range(1, len(w) + 1)) as i from texts)),
+near as (
+  select a.id, b.id as other from gaps a join gaps b
+  on a.variant = b.variant and a.id <> b.id and (a.place = b.place or a.place = 0 or b.place = 0)),
+keeps as (
+  select t.key, t.first, min(o.first) as near
+  from texts t left join near n on n.id = t.id left join texts o on o.id = n.other group by t.key, t.first),
+final as (select key, first, case when near < first then near else first end as keep from keeps)
+select w.doc_id, w.line, keep.doc_id as first_doc, keep.line as first_line,
+       case when keep = first then 0 else 1 end as distance
+from worded w join final using (key) where struct_pack(w.doc_id, w.line) <> keep
+"""
+
+
 @query
 def op5_quality_classifier(spark, d):
     docs = table(spark, d, "documents")
