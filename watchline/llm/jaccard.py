@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..ship import ship
 from .decontaminate import bloom, may_contain
 from .graph import components
-from .tables import partitions, stored
+from .tables import join_small, partitions, stored
 from .words import hash_words, record_batch, signed, slices, window_hashes, word_ids
 
 SHINGLE = 5
@@ -357,3 +357,19 @@ def groups(docs: DataFrame) -> DataFrame:
     out = own.join(reps, (F.col("k") == F.col("sk")) & (F.col("k2") == F.col("sk2")), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each group, the one with the smallest doc_id, with all its columns.
+
+    Rows that share a doc_id are one document here: it goes if none of its texts heads a group, and its equal rows become
+    one. Rows without a doc_id cannot be named by a link, so only equal ones among them become one.
+    """
+    found = stored(groups(docs).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("heads")), "heads")
+    gone = found.where("doc_id is not null and not heads").select(F.col("doc_id").alias("_gone"))
+    again = found.where("rows > 1").select(F.col("doc_id").alias("_again"))
+    left = join_small(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti", 1_000_000)
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    once = join_small(left, again, same, "left_anti", 1_000_000)
+    return once.unionByName(join_small(left, again, same, "left_semi", 1_000_000).dropDuplicates(["doc_id", "text"]))
