@@ -91,6 +91,8 @@ def test_vote_depth(spark):
     rows = [(i, "a", "s", "malicious" if i == 0 else "suspicious", 0.9, i * SECOND) for i in range(51)]
     df = spark.createDataFrame(rows, "event_id long, source_ip string, sniffer_id string, predicted_label string, confidence double, ts_us long")
     vote, = votes.sniffer_votes(df).collect()
+    assert vote.vote == "malicious"
+    vote, = votes.sniffer_votes(df, cfg=replace(DEFAULTS, vote_depth=50)).collect()
     assert vote.vote == "suspicious"
 
 

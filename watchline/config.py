@@ -16,7 +16,7 @@ class ThreatConfig:
     critical_confidence: float = 0.85
 
     pattern_cooldown_s: float = 30.0
-    pattern_buffer: int = 500
+    pattern_buffer: int | None = None  # report at most this many buffered events
     pattern_idle_s: float = 600.0
 
     flood_rate: float = 100.0
@@ -35,7 +35,7 @@ class ThreatConfig:
 
     vote_confidence: float = 0.75
     vote_window_s: float = 300.0
-    vote_depth: int = 50
+    vote_depth: int | None = None  # keep at most this many votes of each (source, sniffer)
     consensus: float = 0.6
 
     sprt_p0: float = 0.01
@@ -44,7 +44,7 @@ class ThreatConfig:
     sprt_beta: float = 0.10
     sprt_min_observations: int = 20
     sprt_cooldown_s: float = 120.0
-    sprt_window: int = 200
+    sprt_window: int | None = None  # report at most this many observations
 
     trust_initial: float = 0.7
     trust_malicious: float = -0.25
@@ -59,8 +59,7 @@ class ThreatConfig:
 
     affinity: float = 0.65
     clone_threshold: int = 3
-    max_memory: int = 10_000
-    detector_pool: int = 500
+    max_memory: int | None = None  # keep at most this many memory detectors
     antigen_dim: int = 512
 
     motion_window_s: float = 30.0

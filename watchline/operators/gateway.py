@@ -121,7 +121,7 @@ def gateway_alerts(obs: DataFrame, cfg=DEFAULTS, chunk_rows: int = 200_000) -> D
         f"Gateway %s packet-drop probability %.1f%% exceeds SPRT threshold (normal={normal}, attack={attack})",
         F.col(KEY), F.col("estimated_pdp") * 100)
     return (hits.withColumn("estimated_pdp", pdp)
-            .withColumn("observation_count", F.least("seen", F.lit(cfg.sprt_window)))
+            .withColumn("observation_count", F.least("seen", F.lit(cfg.sprt_window).cast("long")))
             .withColumn("message", text)
             .select(KEY, "event_id", "ts_us", "sprt_statistic", "estimated_pdp", "observation_count", "message"))
 
@@ -129,7 +129,7 @@ def gateway_alerts(obs: DataFrame, cfg=DEFAULTS, chunk_rows: int = 200_000) -> D
 def gateway_status(obs: DataFrame, cfg=DEFAULTS, chunk_rows: int = 200_000) -> DataFrame:
     """Totals, drop estimate, current statistic and observation count per gateway."""
     totals = obs.groupBy(KEY).agg(F.sum("forwarded").alias("total_forwarded"), F.sum("dropped").alias("total_dropped"),
-                                  F.least(F.count(F.lit(1)), F.lit(cfg.sprt_window)).alias("observation_count"))
+                                  F.least(F.count(F.lit(1)), F.lit(cfg.sprt_window).cast("long")).alias("observation_count"))
     total = F.col("total_forwarded") + F.col("total_dropped")
     now = _resolved(obs, cfg, chunk_rows).groupBy(KEY).agg(F.max_by("r.stat", "chunk").alias("_s"))
     return totals.join(now, KEY).select(

@@ -136,8 +136,10 @@ def recent_matches(events: DataFrame, alerts: DataFrame, pattern: Pattern, k: in
 
 
 def pattern_window_stats(events: DataFrame, alerts: DataFrame, cfg=DEFAULTS, key: str = "source_ip") -> DataFrame:
-    """Per source: buffered events (capped at the buffer size) and the last alert time of each pattern."""
-    buffered = events.groupBy(key).agg(F.least(F.count(F.lit(1)), F.lit(cfg.pattern_buffer)).alias("buffered_events"))
+    """Per source: its events (at most pattern_buffer, where that is set) and the last alert time of each pattern."""
+    # least() skips a null limit
+    buffered = events.groupBy(key).agg(
+        F.least(F.count(F.lit(1)), F.lit(cfg.pattern_buffer).cast("long")).alias("buffered_events"))
     last = alerts.groupBy(key, "pattern_name").agg(F.max("ts_us").alias("last_us"))
     fired = last.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(
         "pattern_name", F.round(F.col("last_us") / 1e6, 1))))).alias("fired_patterns"))

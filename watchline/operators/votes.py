@@ -12,7 +12,9 @@ def forwarded_votes(detections: DataFrame, cfg=DEFAULTS) -> DataFrame:
 
 
 def kept_votes(votes: DataFrame, cfg=DEFAULTS) -> DataFrame:
-    """The last `vote_depth` votes of each (source, sniffer)."""
+    """All votes; with `vote_depth` set, the last that many of each (source, sniffer)."""
+    if cfg.vote_depth is None:
+        return votes
     newest = Window.partitionBy("source_ip", "sniffer_id").orderBy(F.col("ts_us").desc(), F.col("event_id").desc())
     return votes.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= cfg.vote_depth).drop("_r")
 

@@ -179,7 +179,7 @@ oracle("recent_matches", ["log_events"], """select alert_id, count(*) as n, stri
        COUNTS + ",\n" + pattern_ctes("brute_force", 5) + f""",
 m as (select a.event_id as alert_id, l.event_id, l.ts_us, row_number() over (partition by a.event_id order by l.ts_us desc, l.event_id desc) as r
  from a_brute_force a join log_events l on l.source_ip = a.source_ip and l.ts_us between a.ts_us - 60000000 and a.ts_us and {FAILED.replace('message', 'l.message')})""")
-oracle("pattern_window_stats", ["log_events"], """select e.source_ip, least(e.n, 500) as buffered_events, b.t as brute_force, p.t as port_scan
+oracle("pattern_window_stats", ["log_events"], """select e.source_ip, e.n as buffered_events, b.t as brute_force, p.t as port_scan
  from (select source_ip, count(*) as n from log_events group by 1) e
  left join (select source_ip, round(max(ts_us) / 1000000.0::double, 1) as t from a_brute_force group by 1) b on e.source_ip = b.source_ip
  left join (select source_ip, round(max(ts_us) / 1000000.0::double, 1) as t from a_port_scan group by 1) p on e.source_ip = p.source_ip""",
@@ -241,9 +241,9 @@ gw as (select gateway_id, cast(0 as bigint) as rn, cast(null as bigint) as event
  union all select r.gateway_id, r.rn, r.event_id, case when {ALERT} then 0.0::double else {MOVED} end, case when {ALERT} then r.ts_us else w.last end, {ALERT}, {MOVED}, r.f, r.d
  from gw w join gr r on r.gateway_id = w.gateway_id and r.rn = w.rn + 1)"""
 oracle("gateway_sprt", ["gateway_obs"], """select gateway_id, event_id, round(stat, 6) as sprt_statistic, round(d::double / (f + d), 6) as estimated_pdp,
- least(rn, 200) as observation_count from gw where hit""", SPRT)
+ rn as observation_count from gw where hit""", SPRT)
 oracle("gateway_status", ["gateway_obs"], f"""select gateway_id, f as total_forwarded, d as total_dropped, case when f + d > 0 then round(d::double / (f + d), 4) else 0 end as estimated_pdp,
- round(s, 4) as sprt_stat, round({HIGH}, 4) as upper_threshold, least(rn, 200) as observation_count
+ round(s, 4) as sprt_stat, round({HIGH}, 4) as upper_threshold, rn as observation_count
  from gw qualify row_number() over (partition by gateway_id order by rn desc) = 1""", SPRT)
 
 # ---- trust and protocols ----
@@ -271,7 +271,7 @@ oracle("trust_snapshot", ["detections"], """select t.source_ip, round(t.score, 4
   count(*) filter (predicted_label = 'benign') as benign_count, max(ts_us) as last_updated_us from detections group by 1) c on c.source_ip = t.source_ip
  left join clusters k on k.source_ip = t.source_ip""", TRUST)
 oracle("live_trust_records", ["detections"], """select t.source_ip, round(t.score, 4) as score from ts t join (select source_ip, max(ts_us) as m from detections group by 1) l
- on l.source_ip = t.source_ip where 1710789000000000 + 4200000000 - l.m <= 3600000000""", TRUST)
+ on l.source_ip = t.source_ip where 1710789000000000 + 5118500000 - l.m <= 3600000000""", TRUST)
 from ..operators.protocol import DEFAULT_TRANSITIONS  # noqa: E402
 
 EDGE_ROWS = ", ".join(f"({lit(p)}, {lit(a)}, {lit(b)})" for p, a, b in DEFAULT_TRANSITIONS)
@@ -289,8 +289,7 @@ pw as (select source_ip, protocol, cast(0 as bigint) as rn, cast(null as bigint)
  left join pe e on e.protocol = r.protocol and e.a = coalesce(w.state, r.cur) and e.b = r.nxt)""")
 
 # ---- votes and fusion ----
-VOTES = """kept as (select * from detections where predicted_label <> 'benign' and confidence >= 0.75
- qualify row_number() over (partition by source_ip, sniffer_id order by ts_us desc, event_id desc) <= 50),
+VOTES = """kept as (select * from detections where predicted_label <> 'benign' and confidence >= 0.75),
 cut as (select max(ts_us) - 300000000 as t from detections),
 sv as (select source_ip, sniffer_id, case when max(case when predicted_label = 'malicious' then 1 else 0 end) = 1 then 'malicious' else 'suspicious' end as vote
  from kept where ts_us >= (select t from cut) group by all),
@@ -398,7 +397,7 @@ oracle("packets_to_events", ["log_events"], r"""select event_id, source_ip, 'pca
   case when service in ('tcp', 'udp') then 'src_port=' || nullif(regexp_extract(message, 'src_port=(\d+)', 1), '') end,
   case when service in ('tcp', 'udp') then 'dst_port=' || nullif(regexp_extract(message, 'dst_port=(\d+)', 1), '') end,
   case when service = 'tcp' then 'tcp_flags=' || nullif(regexp_extract(message, 'tcp_flags=(\S+)', 1), '') end,
-  'payload=' || nullif(regexp_extract(message, 'payload=(.+)', 1), '')) as m from log_events) where m <> ''""")
+  'payload=' || repeat('filler ', 40) || nullif(regexp_extract(message, 'payload=(.+)', 1), '')) as m from log_events) where m <> ''""")
 oracle("ingest_events", ["log_events"], "select event_id, round(timestamp, 6) as timestamp, source_ip, hostname, service, message from log_events")
 TRAIN = """tr as (select d.text, e.y_true as label, d.source as source_ip, 'unknown' as hostname, 'unknown' as service, lower(d.text) as m from documents d join eval_pairs e on e.doc_id = d.doc_id)"""
 oracle("training_rows", ["eval_pairs"], "select text, label, source_ip, hostname, service from tr", TRAIN)
@@ -414,7 +413,7 @@ oracle("dataset_profile", ["eval_pairs"], """select c.source, c.rows, 3::bigint
 
 oracle("paired_rows", [], "select row_number() over (order by event_id) - 1 as row_idx, event_id, event_type, user_id from events")
 oracle("live_sources", ["log_events"], """select source_ip, count(*) as events from log_events group by 1
- having 1710789000000000 + 1540000000 - max(ts_us) <= 30000000""")
+ having 1710789000000000 + 1520000000 - max(ts_us) <= 1500000""")
 
 # ---- streams: the same answers as their batch twins ----
 SQL["stream_dedup"] = SQL["dedup_anchors"]

@@ -358,7 +358,7 @@ def trust_snapshot(spark, d):
 @query
 def live_trust_records(spark, d):
     det = view(spark, d, "detections")
-    now = 1710789000000000 + 4200 * 1_000_000
+    now = 1710789000000000 + micros(5118.5)
     return trust.live_records(det, now).select("source_ip", "score")
 
 
@@ -600,7 +600,7 @@ def _packets(spark, d):
         "event_id", F.col("timestamp").alias("ts"), F.col("source_ip").alias("src"), X.dst_host(m).alias("dst"),
         X.token(m, r"ip_proto=(\d+)").cast("int").alias("ip_proto"), F.col("service").alias("l4"),
         X.token(m, r"src_port=(\d+)").cast("int").alias("sport"), X.dst_port(m).cast("int").alias("dport"),
-        X.token(m, r"tcp_flags=(\S+)").alias("tcp_flags"), X.token(m, r"payload=(.+)").cast("binary").alias("payload"))
+        X.token(m, r"tcp_flags=(\S+)").alias("tcp_flags"), F.concat(F.repeat(F.lit("filler "), 40), X.token(m, r"payload=(.+)")).cast("binary").alias("payload"))
 
 
 @query
@@ -628,7 +628,7 @@ def paired_rows(spark, d):
 @query
 def live_sources(spark, d):
     ev = view(spark, d, "log_events")
-    live = A.evict_idle(ev, "source_ip", "ts_us", 1710789000000000 + micros(1540), 30.0)
+    live = A.evict_idle(ev, "source_ip", "ts_us", 1710789000000000 + micros(1520), 1.5)
     return live.groupBy("source_ip").agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -671,7 +671,7 @@ def dataset_profile(spark, d):
 @query
 def text_classifier(spark, d):
     rows = csv_sources.normalize_training(_labelled(spark, d))
-    return rounded(classify.holdout_report(rows, dims=2 ** 18, max_iter=10), "value")
+    return rounded(classify.holdout_report(rows), "value")
 
 
 def _event_training(spark, d):
@@ -682,7 +682,7 @@ def _event_training(spark, d):
 @query
 def model_detections(spark, d):
     """Detection with a model trained on the labelled events."""
-    model = classify.train_text_classifier(_event_training(spark, d), dims=2 ** 16, max_iter=10)
+    model = classify.train_text_classifier(_event_training(spark, d))
     det = detect.detect_with_model(view(spark, d, "log_events"), model)
     return det.groupBy("predicted_label", "severity", "deduplicated").agg(F.count(F.lit(1)).alias("n"))
 

@@ -23,9 +23,14 @@ def find_column(columns, names):
     return next((by_name[n] for n in names if n in by_name), None)
 
 
-def read_raw_csv(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
-    """All columns as strings, so 1 stays "1" and labels keep their spelling."""
-    return spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
+def read_raw_csv(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
+    """All columns as strings, so 1 stays "1" and labels keep their spelling.
+
+    Quoted fields may hold newlines; pass multiline=False for large files known to hold none, which Spark can then split.
+    A row with more or fewer fields than the header fails the read instead of moving values into other columns.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+    return reader.option("mode", "FAILFAST").csv(path)
 
 
 def normalize_training(df: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def normalize_training(df: DataFrame) -> DataFrame:
     return out.filter(F.col("label").isNotNull())
 
 
-def read_labeled_csv(spark: SparkSession, path, multiline: bool = False) -> DataFrame:
+def read_labeled_csv(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
     return normalize_training(read_raw_csv(spark, path, multiline))
 
 
@@ -97,7 +102,7 @@ def pair_by_row_index(left: DataFrame, right: DataFrame, name: str = "row_idx")
     return left.filter(same).join(right.filter(same), name)
 
 
-def read_paired_csv(spark: SparkSession, features, labels, multiline: bool = False) -> DataFrame:
+def read_paired_csv(spark: SparkSession, features, labels, multiline: bool = True) -> DataFrame:
     feats, labs = read_raw_csv(spark, features, multiline), read_raw_csv(spark, labels, multiline)
     label = paired_label_column(labs.columns)
     left = with_row_index(feats, [c for c in feats.columns if c.lower() != "label"])

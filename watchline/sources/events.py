@@ -22,19 +22,21 @@ def read_text_log(spark: SparkSession, path, time_pattern: str = None, streaming
     return log_lines_to_events(reader.text(path), "value", time_pattern)
 
 
-def payload_text(payload: Column) -> Column:
-    """The first 200 bytes as text, invalid bytes left out."""
-    return F.replace(F.make_valid_utf8(F.substring(payload, 1, 200).cast("string")), F.lit("�"), F.lit(""))
+def payload_text(payload: Column, limit: int = None) -> Column:
+    """The bytes (the first `limit`, where that is set) as text, invalid ones left out."""
+    if limit is not None:
+        payload = F.substring(payload, 1, limit)
+    return F.replace(F.make_valid_utf8(payload.cast("string")), F.lit("�"), F.lit(""))
 
 
-def packets_to_events(packets: DataFrame) -> DataFrame:
+def packets_to_events(packets: DataFrame, payload_limit: int = None) -> DataFrame:
     """Decoded packets -> events with key=value messages; packets that say nothing are dropped."""
     def part(key, col):
         return F.when(col.isNotNull(), F.concat(F.lit(f"{key}="), col.cast("string")))
 
     l4 = F.lower(F.coalesce(F.col("l4"), F.lit("")))
     ported, tcp = l4.isin("tcp", "udp"), l4 == "tcp"
-    text = payload_text(F.col("payload"))
+    text = payload_text(F.col("payload"), payload_limit)
     message = F.concat_ws(
         " ", part("dst_ip", F.col("dst")), part("ip_proto", F.col("ip_proto")),
         F.when(ported, part("src_port", F.col("sport"))), F.when(ported, part("dst_port", F.col("dport"))),

@@ -80,8 +80,14 @@ def patterns(stream: DataFrame, specs, key: str = "source_ip", cfg=DEFAULTS, **k
         marked = marked.withColumn(f"_c{i}", F.coalesce(p.candidate, F.lit(False))).withColumn(
             f"_v{i}", (p.distinct if p.distinct is not None else F.lit(None)).cast("string"))
     spec = [(p.name, micros(p.window_s), p.min_count, p.severity, p.distinct is not None, tuple(p.requires)) for p in specs]
-    # Patterns that others need are evaluated before them, so one event can complete both.
-    order = sorted(range(len(spec)), key=lambda i: bool(spec[i][5]))
+    # Patterns that others need are evaluated before them, so one event can complete a whole chain.
+    order, placed = [], set()
+    while len(order) < len(spec):
+        ready = [i for i, s in enumerate(spec) if i not in order and not {n for n in s[5] if n != s[0]} - placed
+                 & {t[0] for t in spec}]
+        ready = ready or [i for i in range(len(spec)) if i not in order]  # a circle, or a pattern that is not here
+        order += ready
+        placed |= {spec[i][0] for i in ready}
     quiet = micros(cfg.pattern_cooldown_s)
 
     def step(memory, k, peers):
@@ -146,7 +152,7 @@ def gateway_sprt(stream: DataFrame, cfg=DEFAULTS, idle_s: float = 30 * 86400.0,
             if hit is not None:
                 total = m["f"] + m["d"]
                 out.append((*k, r["event_id"], r["ts_us"], hit, m["d"] / total if total else 0.0,
-                            min(m["n"], cfg.sprt_window)))
+                            m["n"] if cfg.sprt_window is None else min(m["n"], cfg.sprt_window)))
         return out
 
     schema = _typed(stream.schema, [gateway.KEY],
