@@ -335,6 +335,16 @@ oracle("immune_stats", [], """select 'self' as kind, 'all' as name, count(*) as
  union all select 'candidate', 'all', (select count(*) from embeddings where label >= 5) - (select count(*) from memory)
  union all select 'memory', 'all', count(*) from memory
  union all select 'memory_label', label::varchar, count(*) from memory group by label""", MEMORY)
+ANTIGENS = """ag as (select *, regexp_extract_all(lower('service=' || service || ' host=' || hostname || ' ip=' || source_ip || ' message=' || message), '\\b\\w\\w+\\b') as w from detections),
+ab as (select event_id, predicted_label, list_sort(list_distinct(list_transform(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+ lambda t: ('0x' || substr(md5(t), 1, 6))::int % 512))) as bits from ag)"""
+oracle("antigen_bits", ["detections"], """select event_id, len(bits)::int as set_bits, array_to_string(bits, ',') as bits from ab""", ANTIGENS)
+oracle("immune_screen_events", ["detections"], """select event_id as antigen_id, matches, round(best, 6) as best from ab join totals using (bits)""", ANTIGENS + """,
+pat as (select bits, row_number() over (order by bits) as a from (select distinct bits from ab)),
+gen as (select bits, len(bits) as n, row_number() over (order by bits) as g from (select distinct bits from ab where predicted_label = 'malicious')),
+hit as (select a, g, count(*)::double / any_value(n) as affinity from (select a, unnest(bits) as b from pat) x
+ join (select g, n, unnest(bits) as b from gen) y using (b) group by a, g having count(*)::double / any_value(n) >= 0.65::double),
+totals as (select bits, count(*) as matches, max(affinity) as best from hit join pat using (a) group by bits)""")
 GENERATED = GENES + """,
 seeds as (select distinct vec_id, label, v as variant, 'w|' || vec_id::varchar || '|' || v::varchar as seed from sizes, (values (1), (2), (3)) t(v) where label >= 5),
 noise as (select s.vec_id, s.variant, b.bit from seeds s, (select unnest(range(0, 64)) as bit) b
