@@ -11,8 +11,8 @@ every linked pair lies within one block. Large blocks are cut into pieces by has
 task holds at most about 2 * PIECE shingles.
 
 Search. Inside a block, sets are looked up one by one in inverted lists: with T = required overlap, the L longest of the
-query's lists are put aside, the others are merged on a heap, and candidates with T - L or more occurrences are counted on
-by binary probes of the long lists (DivideSkip). Lists hold leaders only: a set within Jaccard distance 0.05 of a leader
+query's lists are put aside, the others are merged on a heap (by counting where they are long), and candidates with T - L or
+more occurrences are counted on by binary probes of the long lists (DivideSkip). Lists hold leaders only: a set within Jaccard distance 0.05 of a leader
 joins it and is not indexed, searches go to distance 0.25, and by the triangle inequality a set linked to such a
 follower finds its leader; followers are compared one by one where the leader itself is not linked. No link is lost and
 a group of near copies costs about one lookup each instead of a comparison of every pair.
@@ -22,6 +22,7 @@ rows that share a doc_id are linked by their own texts; a null doc_id joins grou
 are null; ties go to the smaller doc_id; empty tables give empty results; other columns are ignored by `groups`.
 """
 
+from array import array
 from bisect import bisect_left
 from heapq import merge
 from itertools import groupby
@@ -44,6 +45,8 @@ LINK, NEAR, REACH = 80, 95, 75  # per cent of the union: linked; followers of a
 QUARTER = np.uint64(1 << 62)  # hashes below are ordered first
 HOT_SHARE, HOT_LIMIT = 0.01, 65_536  # very frequent shingles: share of a task's documents; length of the list
 ROWS, PIECE = 1_500_000, 2_000_000  # rows of a task; shingles of a piece of a block
+HEAP = 512  # entries of short lists that a heap merges; more are merged by counting
+FEW = 8  # candidates probed one by one
 SKIP = 0.0085  # weight of the longest list in the number of lists put aside
 
 
@@ -185,7 +188,7 @@ def prefix_rows(shared: DataFrame, hot: np.ndarray, tasks: int) -> DataFrame:
 
 
 def block_edges(prefixes: DataFrame, tasks: int) -> DataFrame:
-    """(a, b): the smallest set of each shingle with every other one that has it in its prefix."""
+    """(a, b): every set with the smallest one that this task's shingles connect it to, over prefixes they share."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -196,10 +199,20 @@ def block_edges(prefixes: DataFrame, tasks: int) -> DataFrame:
         token, k = token[at], k[at]
         head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         leader = np.repeat(k[head], np.diff(np.append(head, len(k))))
-        pairs = np.unique(np.stack([leader, k])[:, leader != k], axis=1)
-        yield record_batch(schema, [pairs[0], pairs[1]])
+        up = {}
 
-    return prefixes.repartition(tasks, "token").mapInArrow(run, "a long, b long").distinct()
+        def root(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for a, b in np.unique(np.stack([leader, k])[:, leader != k], axis=1).T.tolist():
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+        if up:
+            yield record_batch(schema, [[root(x) for x in up], list(up)])
+
+    return prefixes.repartition(tasks, "token").mapInArrow(run, "a long, b long")
 
 
 def set_rows(docs: DataFrame, ids: np.ndarray) -> DataFrame:
@@ -222,74 +235,101 @@ def set_rows(docs: DataFrame, ids: np.ndarray) -> DataFrame:
     return _texts(docs).withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "k long, k2 long, tokens array<long>")
 
 
-class Forest:
-    def __init__(self, n):
-        self.up = list(range(n))
-
-    def root(self, i):
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, a, b):
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def occurrences(lists, needed):
-    """{leader: occurrences} of those on at least `needed` of the sorted lists (DivideSkip)."""
-    if needed < 1 or len(lists) < needed:
-        return {}
+def merged(lists, needed):
+    """DivideSkip, first half: the leaders on enough of the short lists, their occurrences, and the long lists put aside."""
     lists = sorted(lists, key=len, reverse=True)
     aside = min(needed - 1, int(needed / (SKIP * log2(max(2, len(lists[0]))) + 1)))
     long, short = lists[:aside], lists[aside:]
-    found = {}
-    for leader, run in groupby(merge(*short)):
-        times = sum(1 for _ in run)
-        if times < needed - aside:
-            continue
-        for i in range(len(long) - 1, -1, -1):  # the shorter of the long ones first
-            if times + i + 1 < needed:
+    if sum(map(len, short)) <= HEAP:
+        runs = [(leader, sum(1 for _ in run)) for leader, run in groupby(merge(*short))]
+        leaders, times = np.array([r[0] for r in runs], np.int64), np.array([r[1] for r in runs], np.int64)
+        enough = times >= needed - aside
+        return leaders[enough], times[enough], long
+    # Many entries: leaders are small numbers, so the runs are merged by counting.
+    times = np.bincount(np.concatenate([np.frombuffer(x, np.int64) for x in short]))
+    leaders = np.flatnonzero(times >= needed - aside)
+    return leaders, times[leaders], long
+
+
+def probed(leaders, times, long, needed):
+    """DivideSkip, second half: occurrences of those leaders that reach `needed` with binary probes of the long lists."""
+    if len(leaders) <= FEW:
+        kept = []
+        for leader, n in zip(leaders.tolist(), times.tolist()):
+            left = len(long)
+            for run in reversed(long):  # the shorter of the long ones first
+                if n + left < needed:
+                    break
+                place = bisect_left(run, leader)
+                n += place < len(run) and run[place] == leader
+                left -= 1
+            if n >= needed:
+                kept.append((leader, n))
+        return (np.array([k[i] for k in kept], np.int64) for i in (0, 1))
+    if long and 8 * len(leaders) > len(long[0]):  # most of the lists' leaders are candidates: merging beats probing
+        more = np.bincount(np.concatenate([np.frombuffer(x, np.int64) for x in long]), minlength=int(leaders[-1]) + 1)
+        times, long = times + more[leaders], []
+    for i in range(len(long) - 1, -1, -1):
+        run = np.frombuffer(long[i], np.int64)
+        times = times + (run.take(run.searchsorted(leaders), mode="clip") == leaders)
+        if i % 8 == 0:
+            reach = times + i >= needed
+            leaders, times = leaders[reach], times[reach]
+            if not len(leaders):
                 break
-            place = bisect_left(long[i], leader)
-            times += place < len(long[i]) and long[i][place] == leader
-        if times >= needed:
-            found[leader] = times
-    return found
+    reach = times >= needed
+    return leaders[reach], times[reach]
 
 
 def linked(sets):
-    """The root of each of the sorted arrays under the links among them."""
-    forest, lists, followers = Forest(len(sets)), {}, {}
-    every = np.concatenate(sets)
-    value, times = np.unique(every, return_counts=True)
-    value = value[times > 1]  # the others belong to one set only
-    for q in sorted(range(len(sets)), key=lambda i: len(sets[i])):
-        size = len(sets[q])
-        own = np.intersect1d(sets[q], value, assume_unique=True).tolist()
-        found = occurrences([lists[t] for t in own if t in lists], (REACH * size + 99) // 100)
-        near = None
-        for leader, both in sorted(found.items()):
-            union = size + len(sets[leader]) - both
-            if 100 * both >= NEAR * union and near is None:
-                near = leader
-            if 100 * both >= LINK * union:
-                forest.join(q, leader)
-            elif 100 * both >= REACH * union:
-                for f in followers.get(leader, ()):
-                    if forest.root(f) != forest.root(q):
-                        common = len(np.intersect1d(sets[q], sets[f], assume_unique=True))
-                        if 100 * common >= LINK * (size + len(sets[f]) - common):
-                            forest.join(q, f)
+    """The root (smallest index) of each of the sorted arrays under the links among them."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sets = [sets[i] for i in order]  # by size; a leader's number is its place, so lists grow in order
+    size = np.array([len(s) for s in sets])
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum(size)
+    label, lists, followers = np.arange(len(sets)), {}, {}
+
+    def join(a, b):
+        low, high = sorted((label[a], label[b]))
+        if low != high:
+            label[label == high] = low
+
+    for q in range(len(sets)):
+        own = token[ends[q] - size[q]:ends[q]]
+        own = own[count[own] > 1].tolist()  # the others belong to one set only
+        here = [lists[t] for t in own if t in lists]
+        needed, near = int(REACH * size[q] + 99) // 100, None
+        if len(here) >= needed:
+            leaders, times, long = merged(here, needed)
+            best = times.argmax() if len(times) else 0
+            for part in (slice(best, best + 1), slice(None)):
+                # The likeliest leader first; after it, groups that the set has joined need no more looking at.
+                other = label[leaders[part]] != label[q]
+                found, both = probed(leaders[part][other], times[part][other], long, needed)
+                union = size[q] + size[found] - both
+                for leader, share in zip(found.tolist(), (100 * both / union).tolist()):
+                    if share >= LINK:
+                        join(q, leader)
+                        near = leader if near is None and share >= NEAR else near
+                    elif share >= REACH and label[leader] != label[q]:
+                        for f in followers.get(leader, ()):
+                            common = len(np.intersect1d(sets[q], sets[f], assume_unique=True))
+                            if 100 * common >= LINK * (size[q] + size[f] - common):
+                                join(q, f)
+                                break
         if near is None:
             for t in own:
-                # Leaders are numbered by place; sets come by size, so a list is kept in order by insertion.
-                at = lists.setdefault(t, [])
-                at.insert(bisect_left(at, q), q)
+                lists.setdefault(t, array("q")).append(q)
         else:
             followers.setdefault(near, []).append(q)
-    return [forest.root(i) for i in range(len(sets))]
+    least = {}
+    for i, x in enumerate(label.tolist()):
+        least[x] = min(least.get(x, order[i]), order[i])
+    out = [0] * len(sets)
+    for i, x in enumerate(label.tolist()):
+        out[order[i]] = least[x]
+    return out
 
 
 def block_links(rows: DataFrame, tasks: int) -> DataFrame:
@@ -327,14 +367,14 @@ def groups(docs: DataFrame) -> DataFrame:
     hot = np.sort(np.array([r["k"] for r in often.collect()], np.int64).view(np.uint64))
     own = named.where("hot = 0").drop("hot")
     sets = own.where("n > 0").groupBy("k", "k2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    total = own.agg(F.sum("n")).first()[0] or 0
+    total, rows = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tasks = partitions(spark, total // 4, ROWS)
     shared = shared_rows(order_rows(docs, hot), tasks)
     edges = block_edges(prefix_rows(shared, hot, tasks), tasks)
-    blocks = components(edges)
+    blocks = components(edges, 4 * rows)
     blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct())
     inside = stored(sets.join(blocks, F.col("k") == F.col("node")).select("k", "k2", "rep", "n", F.col("root").alias("block")),
-                    "blocks")
+                    "blocks", rows)
     weight = inside.groupBy("block").agg(F.ceil(F.sum("n") / PIECE).alias("pieces"))
     moved = inside.join(weight.withColumnRenamed("block", "_b"), F.col("block") == F.col("_b")).select(
         "k", "block", "pieces").distinct()
@@ -346,7 +386,7 @@ def groups(docs: DataFrame) -> DataFrame:
         F.least(o, F.col("piece")).alias("i"), F.greatest(o, F.col("piece")).alias("j"))))
     spread = held.withColumn("piece", piece).withColumn("_m", meet).select("block", "_m.i", "_m.j", "k", "k2", "tokens")
     size = inside.agg(F.sum("n")).first()[0] or 0
-    found_links = components(block_links(spread, partitions(spark, size, 2 * ROWS)))
+    found_links = components(block_links(spread, partitions(spark, size, 2 * ROWS)), 4 * rows)
     root = found_links.select(F.col("node.k").alias("nk"), F.col("node.k2").alias("nk2"), "root")
     tree = inside.join(root, (F.col("k") == F.col("nk")) & (F.col("k2") == F.col("nk2")), "left").select(
         F.col("k").alias("gk"), F.col("k2").alias("gk2"), "rep", F.coalesce("root", F.struct("k", "k2")).alias("group"))

@@ -13,9 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and keeps column pruning."""
+FILE_ROWS = 500_000
+
+
+def stored(df: DataFrame, kind: str, rows: int = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage and keeps column pruning.
+
+    A bound on the number of rows saves a small table from being written as many small files.
+    """
     path = new_folder(df.sparkSession, kind)
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
