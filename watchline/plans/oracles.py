@@ -205,8 +205,10 @@ CLAIMS = r"""claims as (select source_ip, lower(source_ip) as child, nullif(rege
  from log_events where position('rpl_parent=' in lower(message)) > 0)"""
 oracle("wormhole_pairs", ["log_events"], """select distinct a.source_ip, a.parent, a.event_id from claims a join claims b
  on b.child = a.parent and b.parent = a.child and (b.ts_us, b.event_id) <= (a.ts_us, a.event_id)""", CLAIMS)
-oracle("forward_ticks", ["log_events"], """select source_ip, cast(floor(ts_us / 60000000) as bigint) as tick, count(*) as packet_count
- from log_events group by all""")
+oracle("forward_ticks", ["log_events"], """select source_ip, tick, coalesce(max(n) filter (spot = final) + count(*) filter (spot > final), count(*)) as packet_count
+ from (select *, max(spot) filter (n is not null) over (partition by source_ip, tick) as final from
+  (select source_ip, cast(floor(ts_us / 60000000) as bigint) as tick, struct_pack(ts_us, event_id) as spot,
+   cast(nullif(regexp_extract(message, 'fwd_count=([0-9]+)', 1), '') as bigint) as n from log_events)) group by source_ip, tick""")
 BASELINE = """base as (select *, count(*) over w as points, avg(packet_count) over w as mean,
  case when count(*) over w >= 2 then stddev_samp(packet_count) over w else 0 end as std from node_ticks
  window w as (partition by node order by tick rows between 60 preceding and 1 preceding))"""
@@ -434,5 +436,19 @@ SQL["stream_gateway_sprt"] = SQL["gateway_sprt"]
 SQL["stream_trust_path"] = SQL["trust_path"]
 SQL["stream_protocol_violations"] = f"select * exclude (message) from ({SQL['protocol_violations']})"
 SQL["stream_motion"] = f"select event_id, motion_ts_us from ({SQL['motion_fusion']})"
+for q, twin in (("stream_port_scan", "cep_port_scan"), ("stream_lateral", "cep_lateral"), ("stream_exfil", "cep_exfil"),
+                ("stream_sessions", "recording_sessions"), ("stream_alerts", "stored_alerts")):
+    SQL[q] = SQL[twin]
 oracle("stream_ticks", ["log_events"], """select source_ip, cast(floor(ts_us / 60000000) as bigint) as tick, count(*) as packet_count
- from log_events group by all having (max(floor(ts_us / 60000000)) + 1) * 60000000 <= (select floor(max(ts_us) / 1000) * 1000 from log_events)""")
+ from log_events group by all""")
+oracle("stream_blackhole", ["log_events"], """select source_ip, tick, packet_count, round(mean - std, 6) as threshold from base
+ where points >= 5 and std > 0 and packet_count < mean - std""",
+       """ticks as (select source_ip, cast(floor(ts_us / 60000000) as bigint) as tick, count(*) as packet_count from log_events group by all),
+base as (select *, count(*) over w as points, avg(packet_count) over w as mean,
+ case when count(*) over w >= 2 then stddev_samp(packet_count) over w else 0 end as std from ticks
+ window w as (partition by source_ip order by tick rows between 60 preceding and 1 preceding))""")
+oracle("stream_consensus", ["detections"], """select start_us, source_ip, malicious_votes, suspicious_votes,
+ case when malicious_votes::double / (malicious_votes + suspicious_votes) >= 0.6 then 'malicious' else 'suspicious' end as verdict
+ from (select start_us, source_ip, count(*) filter (bad) as malicious_votes, count(*) filter (not bad) as suspicious_votes from per group by all)""",
+       """sent as (select *, unnest(range(0, 10)) as k from detections where predicted_label <> 'benign' and confidence >= 0.75),
+per as (select (cast(floor(ts_us / 30000000) as bigint) - k) * 30000000 as start_us, source_ip, sniffer_id, bool_or(predicted_label = 'malicious') as bad from sent group by all)""")

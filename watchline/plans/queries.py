@@ -696,74 +696,160 @@ def hybrid_model(spark, d):
     return out.groupBy("stage", "label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-# ---- streams: the table read as a stream, run to its end, and what it wrote ---------------------
+# ---- streams: a table replayed as files in time order, and what the stream wrote ----------------
 
+from ..sources import sinks  # noqa: E402
 from ..storage import new_folder  # noqa: E402
-from ..streaming import folds, windows  # noqa: E402
+from ..streaming import alerting, folds, windows  # noqa: E402
 
+END = "end-of-replay"
 
-def drained(spark, stream):
-    """Run a stream over everything there is, into a table in the shared folder; returns the table."""
-    out = new_folder(spark, "stream")
-    query = (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/_checkpoint")
-             .trigger(availableNow=True).start(f"{out}/rows"))
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+def replay(spark, rows, start, parts=3, closing=None):
+    """Append the rows in `parts` stretches of time to a folder, and run the stream to its end after each.
+
+    start(stream) starts the query; its checkpoint carries the state from one stretch to the next. `closing` makes one last
+    row of any row, a day later, so that every window closes; its values mark it for removal.
+    """
+    folder = new_folder(spark, "replay")
+    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    part = F.floor((F.col("ts_us") - F.lit(low)) * parts / F.lit(high - low + 1))
+    stretches = [rows.filter(part == i) for i in range(parts)]
+    if closing is not None:
+        last = rows.limit(1).withColumn("ts_us", F.lit(high + micros(86400)))
+        stretches.append(last.withColumns({c: F.lit(v).cast(rows.schema[c].dataType) for c, v in closing.items()}))
+    for stretch in stretches:
+        stretch.write.mode("append").parquet(folder)
+        start(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
+
+
+def drained(spark, rows, build, **how):
+    """Everything that the stream built over the replayed rows wrote."""
+    out, schema = new_folder(spark, "stream"), []
+
+    def start(stream):
+        made = build(stream)
+        schema[:] = [made.schema]
+        return (made.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/_checkpoint")
+                .trigger(availableNow=True).start(f"{out}/rows"))
+
+    replay(spark, rows, start, **how)
+    return spark.read.schema(schema[0]).parquet(f"{out}/rows")
 
 
 @query
 def stream_dedup(spark, d):
-    rows = view(spark, d, "detections", streaming=True).filter("allowlisted = 0")
-    return drained(spark, folds.dedup(rows)).filter("not deduplicated").select("event_id", "ts_us")
+    rows = view(spark, d, "detections").filter("allowlisted = 0")
+    return drained(spark, rows, folds.dedup).filter("not deduplicated").select("event_id", "ts_us")
+
+
+def _pattern_stream(spark, d, *names):
+    wanted = [p for p in P.builtin_patterns() if p.name in names]
+    out = drained(spark, view(spark, d, "log_events"), lambda s: folds.patterns(s, wanted))
+    return out.filter(F.col("pattern_name") == names[-1]).select("source_ip", "event_id", "ts_us", "matched_count")
 
 
 @query
 def stream_brute_force(spark, d):
-    out = folds.patterns(view(spark, d, "log_events", streaming=True), P.builtin_patterns()[:1])
-    return drained(spark, out).select("source_ip", "event_id", "ts_us", "matched_count")
+    return _pattern_stream(spark, d, "brute_force")
+
+
+@query
+def stream_port_scan(spark, d):
+    return _pattern_stream(spark, d, "port_scan")
+
+
+@query
+def stream_lateral(spark, d):
+    return _pattern_stream(spark, d, "lateral_movement")
+
+
+@query
+def stream_exfil(spark, d):
+    return _pattern_stream(spark, d, "data_exfil_burst")
 
 
 @query
 def stream_login_after_scan(spark, d):
-    pair = [p for p in P.builtin_patterns() if p.name in ("port_scan", "login_after_scan")]
-    out = drained(spark, folds.patterns(view(spark, d, "log_events", streaming=True), pair))
-    return out.filter("pattern_name = 'login_after_scan'").select("source_ip", "event_id", "ts_us", "matched_count")
+    return _pattern_stream(spark, d, "port_scan", "login_after_scan")
 
 
 @query
 def stream_flood(spark, d):
-    out = folds.flood(view(spark, d, "log_events", streaming=True), cfg=replace(DEFAULTS, flood_rate=1.6))
-    return drained(spark, out).select("source_ip", "event_id", "flag")
+    out = drained(spark, view(spark, d, "log_events"), lambda s: folds.flood(s, cfg=replace(DEFAULTS, flood_rate=1.6)))
+    return out.select("source_ip", "event_id", "flag")
 
 
 @query
 def stream_gateway_sprt(spark, d):
-    out = drained(spark, folds.gateway_sprt(view(spark, d, "gateway_obs", streaming=True)))
+    out = drained(spark, view(spark, d, "gateway_obs"), folds.gateway_sprt)
     return rounded(out.drop("ts_us"), "sprt_statistic", "estimated_pdp")
 
 
 @query
 def stream_trust_path(spark, d):
-    out = drained(spark, folds.trust_path(view(spark, d, "detections", streaming=True)))
-    return rounded(out.drop("ts_us"), "score")
+    return rounded(drained(spark, view(spark, d, "detections"), folds.trust_path).drop("ts_us"), "score")
 
 
 @query
 def stream_protocol_violations(spark, d):
-    out = drained(spark, folds.protocol_violations(view(spark, d, "protocol_messages", streaming=True)))
+    out = drained(spark, view(spark, d, "protocol_messages"), folds.protocol_violations)
     return out.select("source_ip", "protocol", "event_id", "from_state", "to_state")
 
 
 @query
 def stream_motion(spark, d):
     moved = view(spark, d, "motion").select("event_id", F.lit(True).alias("moved"))
-    both = view(spark, d, "log_events", streaming=True).join(moved, "event_id", "left")
-    out = folds.with_last_motion(both, both.filter("moved"))
-    return drained(spark, out).select("event_id", "motion_ts_us")
+    both = view(spark, d, "log_events").join(moved, "event_id", "left").select("event_id", "ts_us", "moved")
+    out = drained(spark, both, lambda s: folds.with_last_motion(s, s.filter("moved")))
+    return out.select("event_id", "motion_ts_us")
 
 
 @query
 def stream_ticks(spark, d):
-    """Closed one-minute ticks; the watermark follows the newest event, so the last minutes stay open."""
-    out = windows.tick_counts(view(spark, d, "log_events", streaming=True), 60.0, delay="0 seconds")
-    return drained(spark, out).select("source_ip", "tick", "packet_count")
+    """One-minute ticks of every source."""
+    out = drained(spark, view(spark, d, "log_events"), lambda s: windows.tick_counts(s, 60.0, delay="0 seconds"),
+                  closing={"source_ip": END})
+    return out.filter(F.col("source_ip") != END).select("source_ip", "tick", "packet_count")
+
+
+@query
+def stream_blackhole(spark, d):
+    """The drop detector on closed ticks, batch by batch."""
+    out = new_folder(spark, "blackhole")
+    body = windows.blackhole_on_ticks(out, cfg=replace(DEFAULTS, blackhole_sigma=1.0))
+
+    def start(stream):
+        ticks = windows.tick_counts(stream, 60.0, delay="0 seconds")
+        return (ticks.writeStream.option("checkpointLocation", f"{out}/_checkpoint").foreachBatch(body)
+                .trigger(availableNow=True).start())
+
+    replay(spark, view(spark, d, "log_events"), start, closing={"source_ip": END})
+    found = spark.read.parquet(f"{out}/alerts").filter(F.col("source_ip") != END)
+    return found.select("source_ip", "tick", "packet_count", F.round("threshold", 6).alias("threshold"))
+
+
+@query
+def stream_consensus(spark, d):
+    """Votes in windows of 300 s that start every 30 s."""
+    out = drained(spark, view(spark, d, "detections"), lambda s: windows.consensus(s, delay="0 seconds"),
+                  closing={"source_ip": END, "predicted_label": "malicious", "confidence": 1.0})
+    return out.filter(F.col("source_ip") != END).select(
+        F.unix_micros("w.start").alias("start_us"), "source_ip", "malicious_votes", "suspicious_votes", "verdict")
+
+
+@query
+def stream_sessions(spark, d):
+    starts = _fused(spark, d).filter("camera_recording_started").select("event_id", "ts_us", F.lit("yard").alias("camera"))
+    cfg = replace(DEFAULTS, recording_gap_s=120.0)
+    out = drained(spark, starts, lambda s: windows.recording_sessions(s, cfg=cfg, delay="0 seconds"), closing={"camera": END})
+    return out.filter(F.col("camera") != END).drop("camera")
+
+
+@query
+def stream_alerts(spark, d):
+    """Scored events classified, marked and stored as alerts, batch by batch."""
+    out = new_folder(spark, "alerts")
+    replay(spark, scored(spark, d), lambda s: alerting.run_alerts(
+        alerting.detections_stream(s), f"{out}/alerts", f"{out}/_checkpoint", available_now=True))
+    return sinks.read_alerts(spark, f"{out}/alerts").select("event_id", "severity", "honeypot_sent")

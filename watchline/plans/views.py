@@ -31,7 +31,7 @@ select event_id, ts_us, cast(ts_us as double) / 1000000 as timestamp, source_ip,
   when prof = 3 and k < 30 then 'nmap probe of the lab network'
   when prof = 3 then 'portal visit by rosa'
   when event_type = 'signup' then concat('rpl_parent=10.0.', cast(cast(floor(pu / 256) as bigint) as varchar(20)), '.', cast(pu % 256 as varchar(20)))
-  else concat('bytes=', cast(k as varchar(20)), ' seq=', cast(k as varchar(20))) end as message
+  else concat(case when k % 9 = 0 then concat('fwd_count=', cast(k as varchar(20)), ' ') else '' end, 'bytes=', cast(k as varchar(20)), ' seq=', cast(k as varchar(20))) end as message
 from c"""),
     "detections": (("log_events",), """
 with a as (select *, lower(message) as m from log_events),
