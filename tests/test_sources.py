@@ -191,3 +191,15 @@ def test_catalogue(spark, tmp_path):
     sample = json.loads(got["w"].sample_rows[0])
     assert list(sample) == wide[:11] + ["c19"] and sample["c0"] == "z" * 117 + "..." and len(got["w"].sample_rows) == 5
     assert (got["n"].kind, got["n"].rows) == ("log", 2)
+
+
+def test_release_deletes_only_own_folders(spark, tmp_path):
+    from watchline import storage
+    other = f"{spark.sparkContext.getCheckpointDir()}/other"
+    spark.range(3).write.parquet(other)
+    mine = storage.new_folder(spark, "mine")
+    spark.range(3).write.parquet(mine)
+    assert spark.read.parquet(mine).count() == 3 and storage.release(spark) >= 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(mine)
+    assert spark.read.parquet(other).count() == 3

@@ -5,6 +5,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made = {}  # application -> folders
+
 
 def checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the session names; fall back to a temporary one in local mode only."""
@@ -25,4 +27,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh path in the shared checkpoint folder."""
     checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders that new_folder made for this session's application; tables read from them are gone then."""
+    made = _made.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in made:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return len(made)
