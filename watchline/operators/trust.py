@@ -1,6 +1,8 @@
 """Trust scores per source, their spread to neighbours, and protocol automata."""
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULTS, micros
@@ -57,6 +59,23 @@ def trust_scores(detections: DataFrame, cfg=DEFAULTS, key: str = "source_ip") ->
     return last.select(key, (F.col("state") / F.lit(float(UNIT))).alias("score"))
 
 
+def _clamped_sums(moves, lengths, entry):
+    """Running sums of the moves of each slice from its entry score, clamped to [0, UNIT] after each move.
+
+    Every move is a function min(high, max(low, x + shift)); prefixes of them are composed in steps of doubling length.
+    """
+    shift, low, high = moves.copy(), np.zeros(len(moves), np.int64), np.full(len(moves), UNIT, np.int64)
+    place = np.arange(len(moves)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    step = 1
+    while step <= place.max(initial=0):
+        at = np.flatnonzero(place >= step)
+        before, s, lo, hi = at - step, shift[at], low[at], high[at]
+        low[at], high[at], shift[at] = (np.minimum(hi, np.maximum(lo, low[before] + s)),
+                                        np.minimum(hi, np.maximum(lo, high[before] + s)), shift[before] + s)
+        step *= 2
+    return np.minimum(high, np.maximum(low, np.repeat(entry, lengths) + shift))
+
+
 def trust_path(detections: DataFrame, cfg=DEFAULTS, key: str = "source_ip",
                slice_us: int = sliced.SLICE_US) -> DataFrame:
     """(key, event_id, ts_us, score): the score after every event."""
@@ -75,14 +94,10 @@ def trust_path(detections: DataFrame, cfg=DEFAULTS, key: str = "source_ip",
         return pa.array(out, pa.list_(pa.int64()))
 
     def scores(moves: pa.Array, entry: pa.Array) -> pa.Array:
-        out = []
-        for row, x in zip(moves.to_pylist(), entry.to_pylist()):
-            path = []
-            for m in row:
-                x = min(UNIT, max(0, x + m))
-                path.append(x / UNIT)
-            out.append(path)
-        return pa.array(out, pa.list_(pa.float64()))
+        lengths = pc.list_value_length(moves).to_numpy(zero_copy_only=False).astype(np.int64)
+        path = _clamped_sums(moves.flatten().to_numpy(zero_copy_only=False), lengths, entry.to_numpy(zero_copy_only=False))
+        ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(path / UNIT))
 
     entry = sliced.walk(_slice_functions(packed).drop("rows"), [key], "f", F.arrow_udf(entries, "array<long>"))
     replay = F.arrow_udf(scores, "array<double>")
