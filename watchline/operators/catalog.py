@@ -99,9 +99,3 @@ def scan_datasets(spark: SparkSession, root: str) -> DataFrame:
         F.lit(None).cast("string").alias("label_column"), "label_distribution", "sample_rows",
         F.array().cast("array<string>").alias("notes"))
     return log_part if out is None else out.unionByName(log_part)
-
-
-def profile_packets(packets: DataFrame, by: str, order: str) -> DataFrame:
-    """Catalogue rows for decoded packet tables; they are summarised, not used for training."""
-    return profile(packets, by, order).withColumn(
-        "notes", F.array(F.lit("Packet tables are summarised only; they are not used for training.")))
