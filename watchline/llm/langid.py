@@ -1,10 +1,11 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 Texts are cut into windows of 64 bytes. A forward and a backward recurrent layer read each window, every position gets a
-distribution over the languages, and a document's probabilities are the mean over all its letter positions, so whole
-texts count however long they are. The network is trained in NumPy by backpropagation through time with Adam, on at most
-PIECES pieces a language: the documents that come first in a hash order, from each a piece of at most PIECE characters at
-a hashed place (the bound on the fitting sample).
+distribution over the languages, and these are pooled over all letter positions of the whole text: means over its eighths,
+then a weighted mean of the eighths. The network is trained in NumPy by backpropagation through time with Adam; the eight
+weights are fitted after it by expectation maximisation, so the labels say which parts of mixed texts they go by. The
+fitting sample is bounded: at most PIECES documents a language, those that come first in a hash order; the network sees
+from each a piece of at most PIECE characters at a hashed place, the weights see the documents' pooled eighths.
 
 Edge cases: `und` with score 0 if the text is null, empty or has no letter, or if there was nothing to learn from; rows
 are predicted one by one, so repeated rows and ids give equal results; a null doc_id stays null; null languages are never
@@ -22,17 +23,22 @@ from .words import record_batch, slices
 WINDOW, HIDDEN = 64, 8
 PIECES, PIECE = 1500, 256
 STEPS, BATCH, RATE = 300, 256, 0.02
+PARTS = 8  # of a text, for pooling
 CHUNK = 4096  # windows run side by side
 
 
+def _order():
+    return F.xxhash64("doc_id", F.length("text"))
+
+
 def sample(labelled: DataFrame, pieces: int = PIECES) -> DataFrame:
-    """lang, piece: the bounded fitting sample of (doc_id, text, lang)."""
-    h = F.xxhash64("doc_id", F.length("text"))
+    """lang, h, piece: the bounded fitting sample of (doc_id, text, lang); h is the place in the hash order."""
+    h = _order()
     room = F.greatest(F.length("text") - PIECE, F.lit(0)) + 1
     rows = labelled.where("lang is not null and length(text) > 0").select(
         "lang", h.alias("h"), F.substr("text", (F.pmod(F.xxhash64(h), room) + 1).cast("int"), F.lit(PIECE)).alias("piece"))
     n = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
-    return rows.withColumn("n", n).where(F.col("n") <= pieces).select("lang", "piece")
+    return rows.withColumn("n", n).where(F.col("n") <= pieces).select("lang", "h", "piece")
 
 
 def windows(data: np.ndarray, lengths: np.ndarray):
@@ -55,81 +61,106 @@ def _letters(grid):
     return (grid >= 128) | ((low >= 97) & (low <= 122))
 
 
+GATES = "zrn"  # update, reset, candidate
+
+
 def init(classes: int, seed: int = 7) -> dict:
+    """Per direction and gate a byte table E and a state matrix U; output weights W per direction, and c."""
     rng = np.random.default_rng(seed)
-    p = {}
+    p = {"c": np.zeros((classes, 1))}
     for way in "fb":
-        p["E" + way] = rng.normal(0, 0.3, (3 * HIDDEN, 256))
-        p["U" + way] = rng.normal(0, 1 / np.sqrt(HIDDEN), (3 * HIDDEN, HIDDEN))
         p["W" + way] = rng.normal(0, 0.3, (classes, HIDDEN))
-    p["c"] = np.zeros((classes, 1))
+        for gate in GATES:
+            p["E" + way + gate] = rng.normal(0, 0.3, (256, HIDDEN))
+            p["U" + way + gate] = rng.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, HIDDEN))
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
-def _sigmoid(x):
-    np.negative(x, x)
-    np.exp(x, x)
-    x += 1
-    np.reciprocal(x, x)
-    return x
+def _gate(p, name, x, h, u):
+    """The gate's input from bytes x and state h; u is room for the product."""
+    out = p["E" + name].take(x, axis=0)
+    np.matmul(h, p["U" + name], out=u)
+    return out
+
+
+def _closing(a):
+    """1 / (1 + exp(a)), in place."""
+    np.exp(a, a)
+    a += 1
+    return np.reciprocal(a, a)
 
 
 def _layer(p, way, grid, keep=None):
-    """States after every position, [WINDOW, HIDDEN, windows]. Gates: update z, reset r, candidate n."""
-    E, U = p["E" + way], p["U" + way]
-    h = np.zeros((HIDDEN, grid.shape[1]), np.float32)
-    states = np.empty((WINDOW, *h.shape), np.float32)
+    """States after every position, [WINDOW, windows, HIDDEN], of bytes [WINDOW, windows]."""
+    h = np.zeros((grid.shape[1], HIDDEN), np.float32)
+    u, states = np.empty_like(h), np.empty((WINDOW, *h.shape), np.float32)
     for t in (range(WINDOW) if way == "f" else range(WINDOW - 1, -1, -1)):
-        a, u = np.take(E, grid[t], axis=1), U @ h
-        zr = _sigmoid(a[:2 * HIDDEN] + u[:2 * HIDDEN])
-        z, r, un = zr[:HIDDEN], zr[HIDDEN:], u[2 * HIDDEN:]
-        n = np.tanh(a[2 * HIDDEN:] + r * un)
+        x = grid[t]
+        z = _gate(p, way + "z", x, h, u)
+        z += u
+        _closing(z)
+        r = _gate(p, way + "r", x, h, u)
+        r += u
+        _closing(r)
+        n = _gate(p, way + "n", x, h, u)
         if keep is not None:
-            keep.append((t, h, z, r, n, un))
-        h = n + z * (h - n)
-        states[t] = h
+            keep.append((t, h, z, r, n, u.copy()))
+        u *= r
+        n += u
+        np.tanh(n, n)
+        now = states[t]
+        np.subtract(h, n, out=now)
+        now *= z
+        now += n
+        h = now
     return states
 
 
+def _softmax(p, f, b):
+    """[classes, WINDOW * windows] from the states of both directions."""
+    out = p["Wf"] @ f.reshape(-1, HIDDEN).T
+    out += p["Wb"] @ b.reshape(-1, HIDDEN).T
+    out += p["c"]
+    out -= out.max(axis=0)
+    np.exp(out, out)
+    out /= out.sum(axis=0)
+    return out
+
+
 def probabilities(p, grid):
     """Softmax at every position of windows given as [WINDOW, windows]: [classes, WINDOW, windows]."""
-    f, b = _layer(p, "f", grid), _layer(p, "b", grid)
-    logits = np.einsum("ch,thw->ctw", p["Wf"], f, optimize=True) + np.einsum("ch,thw->ctw", p["Wb"], b, optimize=True)
-    logits += p["c"][:, :, None]
-    logits -= logits.max(axis=0)
-    np.exp(logits, logits)
-    logits /= logits.sum(axis=0)
-    return logits
+    grid = grid.astype(np.intp)
+    return _softmax(p, _layer(p, "f", grid), _layer(p, "b", grid)).reshape(-1, *grid.shape)
 
 
 def _gradients(p, grid, target):
     """Backpropagation through time of the mean cross-entropy over letter positions."""
+    letters, grid = _letters(grid), grid.astype(np.intp)
     trace = {"f": [], "b": []}
     states = {way: _layer(p, way, grid, trace[way]) for way in "fb"}
-    logits = sum(np.einsum("ch,thw->ctw", p["W" + w], states[w], optimize=True) for w in "fb") + p["c"][:, :, None]
-    logits -= logits.max(axis=0)
-    d = np.exp(logits)
-    d /= d.sum(axis=0)
+    d = _softmax(p, states["f"], states["b"]).reshape(-1, *grid.shape)
     d[target, :, np.arange(grid.shape[1])] -= 1
-    d *= _letters(grid)
-    d /= max(1, _letters(grid).sum())
+    d *= letters / np.float32(max(1, letters.sum()))
+    flat = d.reshape(len(d), -1)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    g["c"] = d.sum(axis=(1, 2))[:, None]
+    g["c"] = flat.sum(axis=1, keepdims=True)
     hot = np.eye(256, dtype=np.float32)
     for way in "fb":
-        g["W" + way] = np.einsum("ctw,thw->ch", d, states[way], optimize=True)
-        into = np.einsum("ch,ctw->thw", p["W" + way], d, optimize=True)
-        U, dh = p["U" + way], np.zeros((HIDDEN, grid.shape[1]), np.float32)
+        g["W" + way] = flat @ states[way].reshape(-1, HIDDEN)
+        into = (flat.T @ p["W" + way]).reshape(states[way].shape)
+        dh = np.zeros((grid.shape[1], HIDDEN), np.float32)
         for t, h, z, r, n, un in reversed(trace[way]):
             dh = dh + into[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            da = np.concatenate([dz, dr, dn])
-            du = np.concatenate([dz, dr, dn * r])
-            g["E" + way] += da @ hot[grid[t]]
-            g["U" + way] += du @ h.T
-            dh = dh * z + U.T @ du
+            da = {"n": dh * (1 - z) * (1 - n * n)}
+            da["z"] = -dh * (h - n) * z * (1 - z)
+            da["r"] = -da["n"] * un * r * (1 - r)
+            dh = dh * z
+            seen = hot[grid[t]].T
+            for gate in GATES:
+                g["E" + way + gate] += seen @ da[gate]
+                through = da[gate] * r if gate == "n" else da[gate]
+                g["U" + way + gate] += h.T @ through
+                dh = dh + through @ p["U" + way + gate].T
     return g
 
 
@@ -164,23 +195,51 @@ def fit(pieces: list[tuple[str, str]], steps: int = STEPS, seed: int = 7) -> tup
 
 
 def _pool(p, classes, data, lengths):
-    """Mean distribution over the letter positions of each text, and their number."""
+    """[texts, PARTS, classes]: mean distribution over the letter positions of each part, and [texts, PARTS] their share
+    of 1 or 0 (a part without letters)."""
     grid, owner, _ = windows(data, lengths)
-    total, seen = np.zeros((len(lengths), classes)), np.zeros(len(lengths))
+    counts = -(-lengths // WINDOW)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    cell = owner * PARTS + place * PARTS // np.maximum(counts[owner], 1)
+    total, seen = np.zeros((len(lengths) * PARTS, classes)), np.zeros(len(lengths) * PARTS)
     for i in range(0, len(grid), CHUNK):
         part = np.ascontiguousarray(grid[i:i + CHUNK].T)
         use = _letters(part)
-        prob = probabilities(p, part)
-        np.add.at(total, owner[i:i + CHUNK], np.einsum("ctw,tw->wc", prob, use.astype(np.float32), optimize=True))
-        np.add.at(seen, owner[i:i + CHUNK], use.sum(axis=0))
-    return total, seen
+        prob = np.einsum("ctw,tw->wc", probabilities(p, part), use.astype(np.float32), optimize=True)
+        here = cell[i:i + CHUNK]
+        for c in range(classes):
+            total[:, c] += np.bincount(here, prob[:, c], len(total))
+        seen += np.bincount(here, use.sum(axis=0), len(total))
+    mean = total / np.maximum(seen, 1)[:, None]
+    return mean.reshape(-1, PARTS, classes), (seen > 0).reshape(-1, PARTS)
+
+
+def _weigh(mean, there, weight):
+    """[texts, classes]: the weighted mean of the parts that have letters."""
+    w = there * weight
+    return (mean * w[:, :, None]).sum(axis=1) / np.maximum(w.sum(axis=1), 1e-12)[:, None]
+
+
+def fit_weights(mean, there, label, rounds: int = 30):
+    """Weights of the parts that make the labels likeliest, by expectation maximisation; no weight falls to zero."""
+    weight = np.full(PARTS, 1 / PARTS)
+    chance = mean[np.arange(len(label)), :, label] * there
+    for _ in range(rounds if len(label) else 0):
+        joint = chance * weight + 1e-9
+        share = (joint / joint.sum(axis=1, keepdims=True)).sum(axis=0)
+        weight = (share + 0.01 * len(label)) / (share + 0.01 * len(label)).sum()
+    return weight
+
+
+def _pooled(texts: pa.Array, p, classes):
+    lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    return _pool(p, classes, np.frombuffer(b"".join(texts.cast(pa.binary()).to_pylist()), np.uint8), lengths)
 
 
 def predict(docs: DataFrame, model) -> DataFrame:
     """doc_id, lang_pred, score for every document."""
-    langs, p = model
+    langs, p, weight = model
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
     ship(docs.sparkSession)
 
     def run(batches):
@@ -188,20 +247,39 @@ def predict(docs: DataFrame, model) -> DataFrame:
             for part in slices(batch, limit=4 << 20):
                 texts = pc.fill_null(part.column("text"), "")
                 lettered = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
-                lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-                joined = b"".join(texts.cast(pa.binary()).to_pylist())
                 names, score = np.full(len(texts), "und", object), np.zeros(len(texts))
                 if langs:
-                    total, seen = _pool(p, len(langs), np.frombuffer(joined, np.uint8), lengths)
-                    mean = total / np.maximum(seen, 1)[:, None]
-                    best = mean.argmax(axis=1)
-                    names = np.where(lettered, np.array(langs, object)[best], "und")
-                    score = np.where(lettered, np.minimum(mean.max(axis=1), 1.0), 0.0)
+                    mean = _weigh(*_pooled(texts, p, len(langs)), weight)
+                    names = np.where(lettered, np.array(langs, object)[mean.argmax(axis=1)], "und")
+                    score = np.where(lettered, np.minimum(mean.max(axis=1), 1.0), 0.0).round(6)
                 yield record_batch(schema, [part.column("doc_id"), pa.array(names, pa.string()), score])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def train(labelled: DataFrame, **how):
-    """Fit on the bounded sample of (doc_id, text, lang)."""
-    return fit([(r.lang, r.piece) for r in sample(labelled).collect()], **how)
+    """(languages, network, weights of the parts) from the bounded sample of (doc_id, text, lang)."""
+    labelled = labelled.select("doc_id", "text", "lang")
+    rows = sample(labelled).collect()
+    langs, p = fit([(r.lang, r.piece) for r in rows], **how)
+    if not langs:
+        return langs, p, np.full(PARTS, 1 / PARTS)
+    spark = labelled.sparkSession
+    ship(spark)
+    # One row of the bounded sample for each chosen document; the join reads the whole texts where they are.
+    chosen = spark.createDataFrame([(r.lang, r.h) for r in rows], "l string, h long").distinct()
+    whole = labelled.withColumn("_h", _order()).join(F.broadcast(chosen), (F.col("_h") == F.col("h")) & (F.col("lang") == F.col("l")))
+    schema = pa.schema([("lang", pa.string()), ("_h", pa.int64()), ("mean", pa.binary()), ("there", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, limit=4 << 20):
+                mean, there = _pooled(part.column("text"), p, len(langs))
+                yield record_batch(schema, [part.column("lang"), part.column("_h"), [m.astype(np.float32).tobytes() for m in mean],
+                                            [t.tobytes() for t in there]])
+
+    found = whole.select("lang", "_h", "text").mapInArrow(run, "lang string, _h long, mean binary, there binary")
+    found = found.groupBy("lang", "_h").agg(F.min(F.struct("mean", "there")).alias("m")).select("lang", "m.*").collect()
+    mean = np.stack([np.frombuffer(r.mean, np.float32).reshape(PARTS, -1) for r in found])
+    there = np.stack([np.frombuffer(r.there, bool) for r in found])
+    return langs, p, fit_weights(mean, there, np.array([langs.index(r.lang) for r in found]))
