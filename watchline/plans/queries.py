@@ -450,11 +450,15 @@ def immune_screen(spark, d):
 def immune_screen_events(spark, d):
     """Signatures learned from the malicious messages, matched against every event."""
     text = immune.antigen_text(*[F.col(c) for c in ("service", "hostname", "source_ip", "message")])
-    ev = view(spark, d, "detections").withColumn("bits", immune.antigen_bits(text, 512))
-    learned = ev.filter("predicted_label = 'malicious'").select("message", "bits").distinct()
-    learned = learned.select(F.substring(F.sha2(F.array_join(F.col("bits").cast("array<string>"), ","), 256), 1, 16)
-                             .alias("detector_id"), "bits").distinct()
-    return rounded(immune.immune_totals(ev.select(F.col("event_id").alias("antigen_id"), "bits"), learned, 512), "best")
+    ev = view(spark, d, "detections").select("event_id", "predicted_label", text.alias("text"))
+    # Words are taken and hashed once for each distinct text, after the shuffle that finds them.
+    texts = ev.groupBy("text").agg(F.bool_or(F.col("predicted_label") == "malicious").alias("bad"))
+    sets = texts.select(F.col("text").alias("antigen_id"), "bad", immune.antigen_bits(F.col("text"), 512).alias("bits"))
+    learned = sets.filter("bad").select("bits").distinct().select(F.lit("learned").alias("detector_id"), "bits")
+    totals = immune.immune_totals(sets.select("antigen_id", "bits"), learned, 512)
+    out = ev.join(totals, F.col("text") == F.col("antigen_id")).select(
+        F.col("event_id").alias("antigen_id"), "matches", "best")
+    return rounded(out, "best")
 
 
 def _survivors(spark, d):
