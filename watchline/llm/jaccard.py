@@ -87,7 +87,7 @@ def named_sets(docs: DataFrame) -> DataFrame:
                 names = [_names(s) if len(s) else (None, None) for s in sets]
                 yield record_batch(schema, [np.zeros(len(sets), np.int32), part.column("doc_id"), [len(s) for s in sets],
                                             [a for a, _ in names], [b for _, b in names]])
-                if len(sets) >= 100:
+                if len(sets) >= 50:
                     every = np.sort(np.concatenate(sets))
                     first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else []
                     times = np.diff(np.append(first, len(every)))

@@ -6,7 +6,7 @@ policy the documents that come back without it. Both can be rerun over a stored
 
 Words are `[^\\x20\\x09-\\x0D]+`. Edge cases: a null or empty text has measurements 0 and fails `few_words`; rows are
 judged one by one, so repeated rows and ids give repeated results; empty tables give empty results (an ablation has
-counts 0); further columns of the input are ignored. Texts are measured in pieces of about 8 MB, one long text at once.
+counts 0); further columns of the input are ignored. Texts are measured in pieces of about 2 MB, one long text at once.
 """
 
 from dataclasses import dataclass

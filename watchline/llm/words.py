@@ -6,7 +6,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def slices(batch, column="text", limit=SLICE_BYTES):
