@@ -209,8 +209,9 @@ def block_edges(prefixes: DataFrame, tasks: int) -> DataFrame:
         for a, b in np.unique(np.stack([leader, k])[:, leader != k], axis=1).T.tolist():
             a, b = root(a), root(b)
             up[max(a, b)] = min(a, b)
-        if up:
-            yield record_batch(schema, [[root(x) for x in up], list(up)])
+        pairs = [(r, x) for x in up if (r := root(x)) != x]
+        if pairs:
+            yield record_batch(schema, [list(c) for c in zip(*pairs)])
 
     return prefixes.repartition(tasks, "token").mapInArrow(run, "a long, b long")
 
@@ -370,7 +371,9 @@ def groups(docs: DataFrame) -> DataFrame:
     total, rows = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tasks = partitions(spark, total // 4, ROWS)
     shared = shared_rows(order_rows(docs, hot), tasks)
-    edges = block_edges(prefix_rows(shared, hot, tasks), tasks)
+    # Every task names each of its sets once, so the edges grow with the tasks: no more of them than the rows need.
+    few = max(spark.sparkContext.defaultParallelism, -(-(total // 4) // ROWS))
+    edges = block_edges(prefix_rows(shared, hot, tasks), few)
     blocks = components(edges, 4 * rows)
     blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct())
     inside = stored(sets.join(blocks, F.col("k") == F.col("node")).select("k", "k2", "rep", "n", F.col("root").alias("block")),
