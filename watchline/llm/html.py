@@ -310,7 +310,10 @@ def decode(parent, score):
 
 def train(pages: DataFrame, limit: int = PAGES):
     """Boosted trees from the bounded sample of (page_id, html), or None if nothing in it is marked."""
-    rows = pages.where("html is not null").select("html").orderBy(F.xxhash64("html"), "html").limit(limit).collect()
+    hashed = pages.where("html is not null").select("html", F.xxhash64("html").alias("_h"))
+    # Hashes first, so that tasks send numbers and not pages; then the pages up to the last of them.
+    last = hashed.select("_h").distinct().orderBy("_h").limit(limit).agg(F.max("_h")).first()[0]
+    rows = hashed.where(F.col("_h") <= F.lit(last)).select("html").distinct().orderBy("html").collect() if last is not None else []
     x, y, rng = [], [], random.Random(11)
     for html in (r.html for r in rows):
         for form in (html, varied(html, rng), varied(html, rng)):
@@ -345,7 +348,7 @@ def extract(pages: DataFrame, model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "html", 2 << 20):
+            for part in slices(batch, "html"):
                 texts = extract_texts(part.column("html").to_pylist(), model)
                 yield record_batch(schema, [part.column("page_id"), part.column("url"), texts, [len(t) for t in texts]])
 
