@@ -197,6 +197,36 @@ def test_line_copies(spark):
     assert got == want
 
 
+def test_short_lines_are_copies_of_equal_ones(spark):
+    docs = [(1, "All rights reserved.\nHome\none two three four"), (2, "All  rights\treserved.\none two three five\n"),
+            (3, "Home\n \nseen once\none two three four five"), (4, "one two three four\none two three six five\nHome page")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(tuple(r) for r in lines.all_copies(df).collect())
+    assert got == [(2, 0, 1, 0, 0), (3, 0, 1, 1, 0), (4, 0, 1, 2, 0), (4, 1, 3, 3, 1)]
+    kept = {r.doc_id: r.text for r in lines.deduplicated(df).collect()}
+    assert kept == {1: docs[0][1], 2: "one two three five\n", 3: " \nseen once\none two three four five", 4: "Home page"}
+
+
+@needs_tables
+def test_lines_are_those_of_the_sql_and_repeats_of_shorter_ones(spark):
+    """The SQL compares lines of five words or more; the query also names the first of equal shorter ones."""
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    short = con.execute(r"""
+      with line as (
+        select doc_id, unnest(range(len(l))) as line, unnest(l) as text
+        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)),
+      worded as (
+        select distinct doc_id, line, w from (select doc_id, line, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from line)
+        where len(w) between 1 and 4),
+      firsts as (select w, min(struct_pack(doc_id, line)) as f from worded group by w)
+      select doc_id, line, f.doc_id, f.line, 0 from worded join firsts using (w) where struct_pack(doc_id, line) <> f
+    """).fetchall()
+    df = queries.QUERIES["op4_line_dedup"](spark, SF)
+    long = con.execute(f"select doc_id, line, first_doc, first_line, distance from ({queries.SQL['op4_line_dedup']})").fetchall()
+    assert short and sorted(map(tuple, df.collect())) == sorted(long + short)
+
+
 def test_within_one():
     rng = random.Random(2)
     for _ in range(3000):

@@ -1,8 +1,10 @@
 """Line deduplication by deletion neighbourhoods: lines within one word of each other (insertion, deletion, substitution)
 or equal to each other are copies, and a line stays only if no copy of it comes earlier.
 
-Lines are the \\n-split parts of a text with at least MIN_WORDS words `[^\\x20\\x09-\\x0D]+`; they compare by their words,
-so white space does not matter. Order is (doc_id, line number). Only neighbours count, not neighbours of neighbours: a
+Lines are the \\n-split parts of a text with a word `[^\\x20\\x09-\\x0D]+`; they compare by their words, so white space does
+not matter. Lines of fewer than MIN_WORDS words are copies only of equal lines: with one word of four changed, most of a
+short line can say something else. Two lines within one word both have MIN_WORDS words. `all_copies` compares every line,
+`copies` only those of MIN_WORDS words or more. Order is (doc_id, line number). Only neighbours count, not neighbours of neighbours: a
 dropped line names the earliest line within the bound, kept or not.
 
 Two lines at distance one share a variant with a word left out: the same place is left out of both (substitution), or one
@@ -11,9 +13,9 @@ the earliest line of its groups: work and rows are linear in the variants, howev
 verified by the edit distance of the two word lists. Before variants are made, lines are narrowed to those that share half
 their words, their first or their last ones, with another line; any two lines at distance one do, so none is lost.
 
-Edge cases: null and empty texts have no lines; shorter lines are never dropped and never counted; repeated rows of one
+Edge cases: null and empty texts have no lines; lines without a word are never dropped and never counted; repeated rows of one
 doc_id and line number are one occurrence; a null doc_id comes first; empty tables give empty results; other columns are
-ignored by `copies` and kept by `deduplicated`.
+ignored by `all_copies` and kept by `deduplicated`.
 """
 
 import numpy as np
@@ -30,8 +32,8 @@ MIN_WORDS = 5
 BASE = np.uint64(0x9DDFEA08EB382D69)
 
 
-def split_lines(texts):
-    """(owner, number, word hashes, word ends) of every line with at least MIN_WORDS words."""
+def split_lines(texts, shortest=MIN_WORDS):
+    """(owner, number, word hashes, word starts, word ends) of every line with at least `shortest` words."""
     lists = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), counts)
@@ -39,7 +41,7 @@ def split_lines(texts):
     ids, ends, words = word_ids(lists.flatten())
     hashes = hash_words(words)[ids]
     starts = np.concatenate([[0], ends])[:-1]
-    long = np.flatnonzero(ends - starts >= MIN_WORDS)
+    long = np.flatnonzero(ends - starts >= shortest)
     return owner[long], number[long], hashes, starts[long], ends[long]
 
 
@@ -74,8 +76,8 @@ def _inverse_power(at):
     return _powers(_INVERSE, int(at.max()) if len(at) else 0)[at]
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, line, h, h2 (the line's 128-bit name) and the hashes of its halves."""
+def line_rows(docs: DataFrame, shortest: int = MIN_WORDS) -> DataFrame:
+    """doc_id, line, h, h2 (the line's 128-bit name) and the hashes of its halves, null below MIN_WORDS words."""
     ship(docs.sparkSession)
     names = ("doc_id", "line", "h", "h2", "a0", "a1", "b0", "b1")
     schema = pa.schema([(c, pa.int64()) for c in names])
@@ -83,16 +85,17 @@ def line_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                owner, number, hashes, start, end = split_lines(part.column("text"))
+                owner, number, hashes, start, end = split_lines(part.column("text"), shortest)
                 if not len(owner):
                     continue
                 one, two = Prefixes(hashes, 1), Prefixes(hashes, 2)
                 n, tag = end - start, np.uint64(0xA5A5A5A5)
                 low, high = (n - 1) // 2, n // 2
+                half = lambda x: pa.array(signed(x), mask=n < MIN_WORDS)
                 yield record_batch(schema, [
                     part.column("doc_id").take(pa.array(owner)), number, signed(one.run(start, end)), signed(two.run(start, end)),
-                    signed(one.run(start, start + low)), signed(one.run(start, start + high)),
-                    signed(one.run(end - low, end) ^ tag), signed(one.run(end - high, end) ^ tag)])
+                    half(one.run(start, start + low)), half(one.run(start, start + high)),
+                    half(one.run(end - low, end) ^ tag), half(one.run(end - high, end) ^ tag)])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
@@ -105,7 +108,7 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
 
 def may_have_neighbours(lines: DataFrame) -> DataFrame:
     """(h, h2, first) of the lines that share a half with another line."""
-    keys = lines.select("h", "h2", "first", F.explode(F.array_distinct(F.array("a0", "a1", "b0", "b1"))).alias("half"))
+    keys = lines.where("a0 is not null").select("h", "h2", "first", F.explode(F.array_distinct(F.array("a0", "a1", "b0", "b1"))).alias("half"))
     shared = keys.groupBy(F.col("half").alias("s")).agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
     return keys.join(shared, F.col("half") == F.col("s"), "left_semi").select("h", "h2", "first").distinct()
 
@@ -191,9 +194,14 @@ def within_one(left: np.ndarray, right: np.ndarray) -> bool:
     return head + tail >= max(n, m) - 1
 
 
-def copies(docs: DataFrame) -> DataFrame:
+def all_copies(docs: DataFrame) -> DataFrame:
     """doc_id, line, first_doc, first_line, distance for every line to drop."""
-    rows = stored(line_rows(docs), "lines")
+    return copies(docs, 1)
+
+
+def copies(docs: DataFrame, shortest: int = MIN_WORDS) -> DataFrame:
+    """As all_copies, among lines of at least `shortest` words."""
+    rows = stored(line_rows(docs, shortest), "lines")
     lines = stored(distinct_lines(rows), "distinct")
     narrow = stored(may_have_neighbours(lines), "narrow")
     words = line_words(docs, bloom(narrow, "h")).groupBy(F.col("h").alias("_h"), F.col("h2").alias("_h2")).agg(
@@ -233,7 +241,7 @@ def copies(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents with their copied lines taken out of the text."""
-    gone = copies(docs).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line").alias("_gone"))
+    gone = all_copies(docs).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line").alias("_gone"))
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i.cast("long")))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -121,7 +121,7 @@ from captures left join best using (rid)
 
 @query
 def op4_line_dedup(spark, d):
-    return lines.copies(table(spark, d, "documents"))
+    return lines.all_copies(table(spark, d, "documents"))
 
 
 SQL["op4_line_dedup"] = r"""
