@@ -101,6 +101,29 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.clean(docs, items.limit(0)).count() == len(ROWS)
 
 
+def test_rows_without_or_with_a_shared_doc_id_are_decided_by_their_own_text(spark):
+    """Three rows without a doc_id and two that share one: of each, one leaks, is a near copy or has a copied line."""
+    near = ITEM.split()
+    clean = "nothing of that kind stands in this text\nit only has lines of its own"
+    rows = [(None, f"Before it. {ITEM} after it."), (None, clean), (4, f"Say: {ITEM}"), (4, "four has this clean text as well")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert sorted(r.text for r in decontaminate.clean(d, items).collect()) == sorted([clean, rows[3][1]])
+
+    copies = [(None, " ".join(near * 3)), (None, " ".join(near * 3 + ["more"])), (None, clean), (None, clean), (None, None),
+              (7, clean + " but for these"), (8, "eight keeps its text"), (8, " ".join(near * 3 + ["still", "more"])),
+              (9, "a text that only nine has"), (None, "a text that only nine has")]
+    kept = jaccard.one_of_each(spark.createDataFrame(copies, "doc_id long, text string").repartition(3))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame(
+        [copies[i] for i in (2, 4, 5, 6, 7, 8)], "doc_id long, text string").collect()))
+
+    lined = [(None, "one line that two of them have\nsome unshared words stand here"),
+             (None, "the second has this line alone\none line that two of them have"), (3, "three\none line that two of them have")]
+    out = lines.deduplicated(spark.createDataFrame(lined, "doc_id long, text string")).collect()
+    left = sorted(x for r in out for x in r.text.split("\n"))
+    assert left == sorted({x for _, t in lined for x in t.split("\n")})
+
+
 def test_mixing(docs, none):
     got = by_id(mixing.mix(docs))
     assert sum(map(len, got.values())) == len(ROWS)

@@ -12,7 +12,7 @@ benchmark's hashes is sent to all tasks. A benchmark too large for it lets more
 Equal items (after normalisation) are one class, reported by its smallest item_id and its number of items. Edge cases:
 null and empty texts have no words and leak nothing; repeated rows, and rows that share a doc_id, give one row per
 (doc_id, item_id); null ids are ids of their own; empty tables give an empty result; further columns are ignored by
-`leaks` and kept by `clean`.
+`leaks` and kept by `clean`, which decides every row by its own text, whatever doc_id it has or shares.
 """
 
 from itertools import combinations
@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..ship import ship
-from .tables import join_small, stored
+from .tables import join_small, stored, text_key
 from .words import hash_words, mixed, record_batch, signed, slices, window_hashes, word_ids
 
 SPAN, MISSES, SHORTEST = 12, 2, 5
@@ -63,6 +63,7 @@ def _rows(schema, ids, owner, starts, hashes, found):
 
 SCHEMA = pa.schema([("id", pa.int64()), ("seed", pa.int64()), ("place", pa.int64()), ("words", pa.list_(pa.int64()))])
 DDL = "id long, seed long, place long, words array<long>"
+KEYED = pa.schema([("id", pa.string()), *list(SCHEMA)[1:]])
 
 
 def item_classes(items: DataFrame) -> DataFrame:
@@ -120,10 +121,12 @@ def may_contain(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def doc_seeds(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFrame:
-    """id (document), seed, place, words of the windows whose hash may belong to the benchmark."""
-    ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def doc_seeds(texts: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFrame:
+    """texts(id, text), id a long or a string -> id, seed, place, words of the windows whose hash may belong to the benchmark."""
+    ship(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    kind = texts.schema["id"].dataType.simpleString()
+    schema, ddl = (KEYED, DDL.replace("id long", "id string", 1)) if kind == "string" else (SCHEMA, DDL)
 
     def run(batches):
         known = shared.value
@@ -137,33 +140,39 @@ def doc_seeds(docs: DataFrame, bits: np.ndarray, widths: list[int]) -> DataFrame
                     hit = may_contain(known, h)
                     found.append((h[hit], at[hit], w))
                 if sum(len(f[0]) for f in found):
-                    yield _rows(SCHEMA, part.column("id"), owner, starts, hashes, found)
+                    yield _rows(schema, part.column("id"), owner, starts, hashes, found)
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, DDL)
+    return texts.select("id", "text").mapInArrow(run, ddl)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_items, matched (most equal words in a window), first_word, end_word of the region."""
+    return _leaks(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), items).withColumnRenamed("id", "doc_id")
+
+
+def _leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """As `leaks`, of texts(id, text)."""
     classes = stored(item_classes(items), "items")
     known = stored(item_seeds(classes), "seeds")
     widths = sorted(r[0] for r in classes.select(F.size("words").alias("w")).where(
         f"w >= {SHORTEST} and w < {SPAN}").distinct().collect())  # at most 7 rows
-    found = doc_seeds(docs, bloom(known), widths)
+    found = doc_seeds(texts, bloom(known), widths)
     b = known.select(F.col("id").alias("item"), F.col("seed").alias("s"), F.col("words").alias("w"))
     pairs = join_small(found, b, F.col("seed") == F.col("s"), limit=100_000)
     same = F.aggregate(F.zip_with("words", "w", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
     width = F.size("w")
     pairs = pairs.where(F.size("words") == width).withColumn("same", same)
     pairs = pairs.where(F.col("same") >= F.when(width == SPAN, SPAN - MISSES).otherwise(width))
-    out = pairs.groupBy(F.col("id").alias("doc_id"), "item").agg(
+    out = pairs.groupBy("id", "item").agg(
         F.max("same").alias("matched"), F.min("place").alias("first_word"),
         F.max(F.col("place") + width).alias("end_word"))
     counts = classes.select(F.col("item_id"), "n_items")
     return join_small(out, counts, F.col("item").eqNullSafe(F.col("item_id"))).select(
-        "doc_id", "item_id", "n_items", "matched", "first_word", "end_word")
+        "id", "item_id", "n_items", "matched", "first_word", "end_word")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents whose doc_id leaks no item, with all their columns."""
-    ids = stored(leaks(docs, items).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return join_small(docs, ids, F.col("doc_id").eqNullSafe(F.col("_leak")), how="left_anti", limit=1_000_000)
+    """The documents whose text leaks no item, with all their columns."""
+    found = _leaks(docs.select(text_key().alias("id"), "text"), items)
+    keys = stored(found.select(F.col("id").alias("_leak")).distinct(), "leaks")
+    return join_small(docs, keys, text_key() == F.col("_leak"), how="left_anti", limit=250_000)

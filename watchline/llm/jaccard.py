@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..ship import ship
 from .decontaminate import bloom, may_contain
 from .graph import components
-from .tables import join_small, partitions, stored
+from .tables import join_small, partitions, same_row, stored, text_key
 from .words import hash_words, record_batch, signed, slices, window_hashes, word_ids
 
 SHINGLE = 5
@@ -76,9 +76,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text")
 
 
-def named_sets(docs: DataFrame) -> DataFrame:
-    """Per document a row (hot 0, doc_id, n, k, k2), and rows (hot 1, n, k) counting a task's most frequent shingles."""
-    schema = pa.schema([("hot", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("k2", pa.int64())])
+def named_sets(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """Per document a row (hot 0, doc_id, n, k, k2), and rows (hot 1, n, k) counting a task's most frequent shingles.
+
+    `keyed` adds the text's key.
+    """
+    extra = [("key", pa.string())] if keyed else []
+    schema = pa.schema([("hot", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k", pa.int64()), ("k2", pa.int64()), *extra])
 
     def run(batches):
         for batch in batches:
@@ -86,7 +90,8 @@ def named_sets(docs: DataFrame) -> DataFrame:
                 sets = list(shingle_sets(part.column("text")))
                 names = [_names(s) if len(s) else (None, None) for s in sets]
                 yield record_batch(schema, [np.zeros(len(sets), np.int32), part.column("doc_id"), [len(s) for s in sets],
-                                            [a for a, _ in names], [b for _, b in names]])
+                                            [a for a, _ in names], [b for _, b in names],
+                                            *[part.column(c) for c, _ in extra]])
                 if len(sets) >= 50:
                     every = np.sort(np.concatenate(sets))
                     first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else []
@@ -95,9 +100,11 @@ def named_sets(docs: DataFrame) -> DataFrame:
                     if often.any():
                         token = signed(every[first[often]])
                         yield record_batch(schema, [np.ones(len(token), np.int32), pa.nulls(len(token), pa.int64()),
-                                                    times[often], token, pa.nulls(len(token), pa.int64())])
+                                                    times[often], token, pa.nulls(len(token), pa.int64()),
+                                                    *[pa.nulls(len(token), t) for _, t in extra]])
 
-    return _texts(docs).mapInArrow(run, "hot int, doc_id long, n long, k long, k2 long")
+    texts = _texts(docs).select("*", *[text_key().alias(c) for c, _ in extra])
+    return texts.mapInArrow(run, "hot int, doc_id long, n long, k long, k2 long" + ", key string" * keyed)
 
 
 def _prefix_length(n):
@@ -362,8 +369,13 @@ def block_links(rows: DataFrame, tasks: int) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every document."""
+    return placed(docs).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def placed(docs: DataFrame, keyed: bool = False) -> DataFrame:
+    """doc_id, n, least (doc_id of the group), group (a set of it, null without shingles) and, if `keyed`, the text's key."""
     spark = docs.sparkSession
-    named = stored(named_sets(docs), "sets")
+    named = stored(named_sets(docs, keyed), "sets")
     often = named.where("hot = 1").groupBy("k").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k").limit(HOT_LIMIT)
     hot = np.sort(np.array([r["k"] for r in often.collect()], np.int64).view(np.uint64))
     own = named.where("hot = 0").drop("hot")
@@ -394,25 +406,30 @@ def groups(docs: DataFrame) -> DataFrame:
     tree = inside.join(root, (F.col("k") == F.col("nk")) & (F.col("k2") == F.col("nk2")), "left").select(
         F.col("k").alias("gk"), F.col("k2").alias("gk2"), "rep", F.coalesce("root", F.struct("k", "k2")).alias("group"))
     low = tree.groupBy(F.col("group").alias("_g")).agg(F.min("rep").alias("low"))
-    of_set = tree.join(low, F.col("group") == F.col("_g")).select("gk", "gk2", "low")
+    of_set = tree.join(low, F.col("group") == F.col("_g")).select("gk", "gk2", "low", "group")
     reps = sets.join(of_set, (F.col("k") == F.col("gk")) & (F.col("k2") == F.col("gk2")), "left").select(
-        F.col("k").alias("sk"), F.col("k2").alias("sk2"), F.coalesce("low", "rep").alias("least"))
-    out = own.join(reps, (F.col("k") == F.col("sk")) & (F.col("k2") == F.col("sk2")), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
-
+        F.col("k").alias("sk"), F.col("k2").alias("sk2"), F.coalesce("low", "rep").alias("least"),
+        F.coalesce("group", F.struct("k", "k2")).alias("group"))
+    return own.join(reps, (F.col("k") == F.col("sk")) & (F.col("k2") == F.col("sk2")), "left")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest doc_id, with all its columns.
 
-    Rows that share a doc_id are one document here: it goes if none of its texts heads a group, and its equal rows become
-    one. Rows without a doc_id cannot be named by a link, so only equal ones among them become one.
+    Rows are told apart by doc_id and text: equal ones become one, each other row stands for its own text, and rows without
+    a doc_id come after those with one. Ties go to the smaller key of the text; rows without words are groups of their own.
     """
-    found = stored(groups(docs).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("heads")), "heads")
-    gone = found.where("doc_id is not null and not heads").select(F.col("doc_id").alias("_gone"))
-    again = found.where("rows > 1").select(F.col("doc_id").alias("_again"))
-    left = join_small(docs, gone, F.col("doc_id") == F.col("_gone"), "left_anti", 1_000_000)
-    same = F.col("doc_id").eqNullSafe(F.col("_again"))
-    once = join_small(left, again, same, "left_anti", 1_000_000)
-    return once.unionByName(join_small(left, again, same, "left_semi", 1_000_000).dropDuplicates(["doc_id", "text"]))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    rows = stored(placed(docs, True).groupBy("doc_id", "key", "group").agg(F.count(F.lit(1)).alias("rows")), "rows")
+    heads = rows.where("group is not null").groupBy(F.col("group").alias("_g")).agg(F.min(place).alias("head"))
+    found = stored(rows.join(heads, F.col("group") == F.col("_g"), "left").select(
+        "doc_id", "key", "rows", (F.col("head").isNull() | place.eqNullSafe(F.col("head"))).alias("heads")), "heads")
+
+    def named(which):
+        return found.where(which).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
+
+    same = same_row("_d", "_k")
+    left = join_small(docs, named("not heads"), same, "left_anti", 250_000)
+    again = named("heads and rows > 1")
+    once = join_small(left, again, same, "left_anti", 250_000)
+    return once.unionByName(join_small(left, again, same, "left_semi", 250_000).dropDuplicates(["doc_id", "text"]))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..ship import ship
 from .decontaminate import bloom, may_contain
-from .tables import stored
+from .tables import same_row, stored, text_key
 from .words import hash_words, mixed, record_batch, signed, slices, word_ids
 
 MIN_WORDS = 5
@@ -240,9 +240,18 @@ def copies(docs: DataFrame, shortest: int = MIN_WORDS) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents with their copied lines taken out of the text."""
-    gone = all_copies(docs).groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line").alias("_gone"))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    """The documents with their copied lines taken out of the text.
+
+    Rows are told apart by doc_id and text, so lines of rows without a doc_id, or with a shared one, are compared with each
+    other too; among rows of one doc_id the order is that of the text keys.
+    """
+    names = docs.where("text is not null").select(F.col("doc_id").alias("_d"), text_key().alias("_k")).distinct()
+    names = stored(names.orderBy(F.col("_d").cast("long"), "_k").select(
+        "_d", "_k", F.monotonically_increasing_id().alias("_n")), "names")
+    numbered = docs.join(names, same_row("_d", "_k")).select(F.col("_n").alias("doc_id"), "text")
+    gone = all_copies(numbered).groupBy(F.col("doc_id").alias("_m")).agg(F.collect_set("line").alias("_gone"))
+    gone = names.join(gone, F.col("_n") == F.col("_m")).select("_d", "_k", "_gone")
+    out = docs.join(gone, same_row("_d", "_k"), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i.cast("long")))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return out.withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])

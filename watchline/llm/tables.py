@@ -38,4 +38,14 @@ def join_small(left: DataFrame, small: DataFrame, on, how="inner", limit=100_000
     return left.join(F.broadcast(small) if small.count() <= limit else small, on, how)
 
 
-__all__ = ["WORD", "table", "stored", "checkpointed", "partitions", "join_small"]
+def text_key(text="text"):
+    """A 128-bit name of the text, null for null: with doc_id, whether null or shared, it names a row up to equal ones."""
+    return F.md5(F.col(text))
+
+
+def same_row(doc_id: str, key: str):
+    """Condition: a row's doc_id and text are those that the two columns name."""
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & text_key().eqNullSafe(F.col(key))
+
+
+__all__ = ["WORD", "table", "stored", "text_key", "same_row", "checkpointed", "partitions", "join_small"]
