@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, langid, lines, mixing, quality, rules, sharding, urls
+from . import decontaminate, html, jaccard, langid, lines, mixing, packing, quality, rules, sharding, urls
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -249,3 +249,8 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(m.low, d.doc_i
 from d left join n using (rid)
 left join (select r.a as rid, min(e.doc_id) as low from reach r join d e on e.rid = r.b group by r.a) m using (rid)
 """
+
+
+@query
+def op13_bestfit_packing(spark, d):
+    return packing.pack(table(spark, d, "documents"))
