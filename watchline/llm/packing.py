@@ -35,7 +35,7 @@ from .words import record_batch, slices
 
 CAPACITY, CLOSING = 4096, 1
 #: (groups, share) tried in this order until a plan is within a NEAR-th of the least number possible; the best one counts.
-TRIES = ((16, 8), (8, 8), (32, 8), (16, 4), (32, 4), (64, 8), (128, 8))
+TRIES = ((16, 8), (8, 8), (32, 8), (16, 4), (32, 3), (32, 2), (64, 8))
 NEAR = 5000
 ROWS_A_PART = 100_000
 

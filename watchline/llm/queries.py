@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, langid, lines, mixing, packing, quality, rules, sharding, urls
+from . import alignment, decontaminate, html, jaccard, langid, lines, mixing, packing, quality, rules, sharding, urls
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -251,6 +251,11 @@ left join (select r.a as rid, min(e.doc_id) as low from reach r join d e on e.ri
 """
 
 
+@query
+def op11_tokenizer_alignment(spark, d):
+    return alignment.align(table(spark, d, "documents"))
+
+
 @query
 def op13_bestfit_packing(spark, d):
     return packing.pack(table(spark, d, "documents"))
