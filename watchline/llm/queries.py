@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, html, jaccard, langid, lines, mixing, packing, quality, rules, sharding, urls
+from . import alignment, decontaminate, divergence, html, jaccard, langid, lines, mixing, packing, quality, rules, sharding, urls
 from .tables import table
 
 QUERIES, SQL = {}, {}
@@ -256,6 +256,47 @@ def op11_tokenizer_alignment(spark, d):
     return alignment.align(table(spark, d, "documents"))
 
 
+@query
+def op12_source_divergence(spark, d):
+    return divergence.divergence(table(spark, d, "documents"))
+
+
+SQL["op12_source_divergence"] = r"""
+with d as (
+  select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+t as (select rid, lang, source, unnest(w) as term from d),
+kept as (select lang, term from t group by lang, term having count(distinct rid) >= 30),
+v as (select g.lang, count(k.term) as v from (select distinct lang from d) g left join kept k using (lang) group by g.lang),
+c as (select t.lang, t.source, t.term, count(*) as n from t join kept using (lang, term) group by all),
+groups as (
+  select g.lang, g.source, v.v, coalesce(sum(c.n), 0) as total
+  from (select distinct lang, source from d) g join v using (lang) left join c using (lang, source) group by all),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+         (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (g.total + 5 * g.v))::bigint as p
+  from groups g join kept k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+q as (
+  select lang, term, (1 + (1000000000::hugeint * (sum(n) + 5)) // (any_value(total) + 5 * any_value(v)))::bigint as q
+  from c join (select lang, sum(total) as total, any_value(v) as v from groups group by lang) using (lang) group by lang, term),
+pair as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(sum(abs(x.p - y.p)), 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join p x on x.lang = a.lang and x.source = a.source
+  left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  group by a.lang, a.source, b.source),
+term as (
+  select p.lang, p.source, 'term' as part, p.term as item, p.p - q.q as value
+  from p join q using (lang, term) where p.n > 0 and p.p > q.q)
+select lang, source, part, item, value, rank::int as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+      from (select * from pair union all select * from term))
+where part = 'pair' or rank <= 50
+"""
+
+
 @query
 def op13_bestfit_packing(spark, d):
     return packing.pack(table(spark, d, "documents"))
