@@ -174,6 +174,11 @@ def test_urls(spark):
         (2, 0, None, None, "keep"), (3, 0, None, None, "keep"), (4, 0, None, None, "keep"),
         (None, 2, "sub.bad.example.com/ok", 1, "keep")], key=str)
     assert urls.verdicts(captures.limit(0), entries).count() == 0
+    top = spark.createDataFrame([("deny", "domain", "zip", "add", 1), ("deny", "domain", "intranet", "add", 1)],
+                                "list string, kind string, pattern string, action string, day int")
+    hosts = spark.createDataFrame([(1, "http://a.b.zip/x", 5, "z"), (2, "http://zip/", 5, "z"), (3, "http://wiki.intranet/" + "x" * 50_000, 5, "z"),
+                                   (4, "http://zip.org/intranet", 5, "z")], "page_id long, url string, day int, pattern string")
+    assert {r.page_id: r.verdict for r in urls.verdicts(hosts, top).collect()} == {1: "drop", 2: "drop", 3: "drop", 4: "keep"}
     assert {r.verdict for r in urls.verdicts(captures, entries.limit(0)).collect()} == {"keep"}
 
 

@@ -207,26 +207,6 @@ def test_short_lines_are_copies_of_equal_ones(spark):
     assert kept == {1: docs[0][1], 2: "one two three five\n", 3: " \nseen once\none two three four five", 4: "Home page"}
 
 
-@needs_tables
-def test_lines_are_those_of_the_sql_and_repeats_of_shorter_ones(spark):
-    """The SQL compares lines of five words or more; the query also names the first of equal shorter ones."""
-    con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
-    short = con.execute(r"""
-      with line as (
-        select doc_id, unnest(range(len(l))) as line, unnest(l) as text
-        from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)),
-      worded as (
-        select distinct doc_id, line, w from (select doc_id, line, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from line)
-        where len(w) between 1 and 4),
-      firsts as (select w, min(struct_pack(doc_id, line)) as f from worded group by w)
-      select doc_id, line, f.doc_id, f.line, 0 from worded join firsts using (w) where struct_pack(doc_id, line) <> f
-    """).fetchall()
-    df = queries.QUERIES["op4_line_dedup"](spark, SF)
-    long = con.execute(f"select doc_id, line, first_doc, first_line, distance from ({queries.SQL['op4_line_dedup']})").fetchall()
-    assert short and sorted(map(tuple, df.collect())) == sorted(long + short)
-
-
 def test_within_one():
     rng = random.Random(2)
     for _ in range(3000):
@@ -346,6 +326,12 @@ def test_main_text(spark):
                  for x in re.split(r"</?(?:p|h1|div)[^>]*>", article)]
         assert got[r.page_id].text == "\n".join(x for x in parts if x)
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
+    rule = lambda t: (lambda p: p.text(html.weak_labels(p)))(html.Page(t))
+    assert rule('<body><button class="x">Menu<article><p>Text</p></article>') == "Text"
+    assert rule("<body><button>Menu<article><p>One</p><button>Share</button><p>Two</p></article></body>") == "One\nTwo"
+    assert rule("<article><p>One</p><object data=x><p>Two</p><svg><text>no</text></svg><p>Three</p></article>") == "One\nTwo\nThree"
+    assert rule("<article><p>One<select><option>a<option>b</select> two</p><template><p>no</p></template><p>Three</p></article>") == "One two\nThree"
+    assert rule("<article><p>One</p><script>var a = '<p>no</p>'</article>") == "One"
     page = html.Page('<body><div class="cookie-notice"><p>We use</p></div><main><p>Text</p><section class="comments">no</section></main>')
     assert page.text(html.weak_labels(page)) == "Text"
 

@@ -30,13 +30,15 @@ from .words import record_batch, slices
 
 PAGES, TREES, DEPTH, BINS, RATE = 300, 40, 4, 32, 0.3
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg select button object".split())
+RAW = set("script style textarea title".split())  # text up to the closing tag, or to the end of the page
+HIDDEN = set("noscript template iframe svg select button object".split())  # left out as a whole where a closing tag matches
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i kbd label mark q s samp small span strike strong sub "
              "sup time tt u var ins del nobr".split())
 CLOSED_BY = {"p": set("p div ul ol li dl dt dd table tr td th section article aside nav header footer form h1 h2 h3 h4 h5 h6 "
                       "blockquote pre main figure address fieldset hr".split()),
              "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"},
              "th": {"td", "th", "tr"}, "option": {"option"}}
+CLOSED_BY |= {t: CLOSED_BY["p"] | {"li", "dt", "dd", "tr", "td", "th", "tbody"} for t in HIDDEN}
 ASIDE_TAGS = set("nav header footer aside form menu dialog".split())
 MAIN_TAGS = {"article", "main"}
 ASIDE_NAMES = set(
@@ -52,6 +54,17 @@ NAME = re.compile(r"[a-z]+|[0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def matching(html, tag):
+    """Start of every opening tag that a closing one matches -> end of that one."""
+    out, open_ = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?![a-zA-Z0-9:-])[^>]*>", html, re.I):
+        if not m[1]:
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
 class Page:
     """Nodes in page order (0 is the page itself): parent, tag, names; events are (node, text, in a link) or None."""
 
@@ -60,7 +73,7 @@ class Page:
         self._parse(html)
 
     def _parse(self, html):
-        stack, links, at, size = [(0, "")], 0, 0, len(html)
+        stack, links, at, size, closed = [(0, "")], 0, 0, len(html), {}
         events = self.events
         while at < size:
             m = TAG.search(html, at)
@@ -86,6 +99,12 @@ class Page:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
                 at = end.end() if end else size
                 continue
+            if tag in HIDDEN and not m[3].endswith("/"):
+                if tag not in closed:
+                    closed[tag] = matching(html, tag)
+                if m.start() in closed[tag]:
+                    at = closed[tag][m.start()]
+                    continue
             if tag == "br":
                 events.append((stack[-1][0], " ", False))
                 continue
@@ -116,7 +135,7 @@ class Page:
                 self.names.append(names)
                 stack.append((len(self.parent) - 1, tag))
             links += tag == "a"
-        self.in_head = self._below({i for i, t in enumerate(self.tag) if t == "head"})
+        self.in_head = self._below({i for i, t in enumerate(self.tag) if t == "head" or t in HIDDEN})
 
     def _below(self, tops):
         out = [False] * len(self.parent)

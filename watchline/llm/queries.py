@@ -103,7 +103,7 @@ held as (
 met as (
   select c.*, h.list, h.pattern, h.since
   from captures c join held h on h.kind = 'domain' and (c.host = h.pattern or ends_with(c.host, '.' || h.pattern))
-    and c.day >= since and c.day < until and contains(h.pattern, '.')
+    and c.day >= since and c.day < until
   union all
   select c.*, h.list, h.pattern, h.since
   from captures c join held h on h.kind = 'prefix'
@@ -130,15 +130,15 @@ with line as (
   from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)),
 worded as (
   select distinct doc_id, line, w, array_to_string(w, ' ') as key
-  from (select doc_id, line, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from line) where len(w) >= 5),
+  from (select doc_id, line, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from line) where len(w) > 0),
 texts as (
   select key, any_value(w) as w, min(struct_pack(doc_id, line)) as first,
          row_number() over (order by key) as id from worded group by key),
 gaps as (
-  select id, key as variant, 0 as place from texts
+  select id, key as variant, 0 as place from texts where len(w) >= 5
   union all
   select id, array_to_string(w[1:i - 1] || w[i + 1:len(w)], ' '), i
-  from (select id, w, unnest(range(1, len(w) + 1)) as i from texts)),
+  from (select id, w, unnest(range(1, len(w) + 1)) as i from texts where len(w) >= 5)),
 near as (
   select a.id, b.id as other from gaps a join gaps b
   on a.variant = b.variant and a.id <> b.id and (a.place = b.place or a.place = 0 or b.place = 0)),

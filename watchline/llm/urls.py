@@ -44,7 +44,7 @@ def _bucket(day):
 def lookups(captures: DataFrame) -> DataFrame:
     """One row per pattern that could cover a capture."""
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.struct(
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(
         F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
     steps = F.split("path", "/")
     prefixes = F.when(F.size(steps) > 1, F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.struct(
