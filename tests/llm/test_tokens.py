@@ -45,7 +45,7 @@ def test_pieces_encode_as_whole_texts_do():
         mine = listed[start:end]
         assert "".join(mine) == " " + text
         a = [i for p in mine for i in pair.a.encode(p, add_special_tokens=False).ids]
-        b = [i for x in pair._b(mine) for i in x.tolist() if i >= 0]
+        b = [i for i in pair._b(mine)[0].tolist() if i >= 0]
         assert a == pair.a.encode(" " + text, add_special_tokens=False).ids and b == pair.b.encode(text), repr(text)
         start = end
 

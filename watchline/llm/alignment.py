@@ -94,12 +94,9 @@ class Aligner:
         filled = pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0)
         rows = np.flatnonzero(filled.to_numpy(zero_copy_only=False))
         pieces, piece_ends = spaced_pieces(texts.filter(filled))
-        coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         kept, sides = np.ones(len(rows), bool), []
         for cached in (pair.pieces_a, pair.pieces_b):
-            ids, ends = expand(codes, piece_ends, *cached.of(distinct))
+            ids, ends = expand(pieces, piece_ends, cached)
             changed = np.concatenate([[0], np.cumsum(ids < 0)])
             starts = np.concatenate([[0], ends])[:-1]
             kept &= (ends > starts) & (changed[ends] == changed[starts])

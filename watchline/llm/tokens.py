@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from .words import split_words
 
-CACHE = 300_000
+CACHE = 1_000_000
 LETTER = np.array([chr(b).isalpha() and b < 0x80 for b in range(256)])
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 MARK = np.array([0x21 <= b < 0x7F and not chr(b).isalnum() and chr(b) != "|" for b in range(256)])
@@ -32,20 +32,35 @@ def tokenizer_path(name, folder=None):
 
 
 class Pieces:
-    """Ids of distinct pieces of text, each encoded once and remembered until the table is full."""
+    """Ids of distinct pieces of text in one growing array, each piece encoded once until the table is full."""
 
     def __init__(self, encode, limit=CACHE):
-        self.encode, self.limit, self.known = encode, limit, {}
+        self.encode, self.limit = encode, limit
+        self._clear()
+
+    def _clear(self):
+        self.place, self.n = {}, 0
+        self.ids, self.starts = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
 
     def of(self, pieces):
-        """(ids, ends) of a list of distinct pieces: all ids in order, and the index after each piece's last one."""
-        if len(self.known) + len(pieces) > self.limit:
-            self.known = {}
-        new = [p for p in pieces if p not in self.known]
-        self.known.update(zip(new, self.encode(new)))
-        found = [self.known[p] for p in pieces]
-        ends = np.cumsum([len(x) for x in found], dtype=np.int64)
-        return (np.concatenate(found) if found else np.zeros(0, np.int32)), ends
+        """Place of each piece of a list in `starts`; its ids are ids[starts[place]:starts[place + 1]]."""
+        if len(self.place) + len(pieces) > self.limit:
+            self._clear()
+        new = [p for p in pieces if p not in self.place]
+        if new:
+            ids, sizes = self.encode(new)
+            first = len(self.place)
+            self.place.update(zip(new, range(first, first + len(new))))
+            self.ids, self.starts = _room(self.ids, self.n + len(ids)), _room(self.starts, first + len(new) + 1)
+            self.ids[self.n:self.n + len(ids)] = ids
+            self.starts[first + 1:first + len(new) + 1] = self.n + np.cumsum(sizes)
+            self.n += len(ids)
+        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+
+
+def _room(x, n):
+    """The array, or a copy of twice the size if it holds fewer than n entries."""
+    return x if len(x) >= n else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
 def _bpe(path, plain_specials):
@@ -75,21 +90,22 @@ class Words:
         self.closes[[i for s, i in entries.items() if s.endswith("</w>")]] = True
 
     def encode(self, pieces):
+        """(ids of all pieces in order, how many each has)."""
         letters = np.array([LETTERS(p) is not None for p in pieces], bool)
-        out = [None] * len(pieces)
-        at = np.flatnonzero(letters)
+        at, rest = np.flatnonzero(letters), np.flatnonzero(~letters)
+        sizes = np.zeros(len(pieces), np.int64)
         joined = [" ".join([pieces[i] for i in at[k:k + self.together]]) for k in range(0, len(at), self.together)]
-        if joined:
-            ids = np.concatenate([np.array(e.ids, np.int32) for e in self.t.encode_batch_fast(joined, add_special_tokens=False)])
-            stops = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            assert len(stops) == len(at)
-            start = 0
-            for i, stop in zip(at.tolist(), stops):
-                out[i], start = ids[start:stop], stop
-        rest = np.flatnonzero(~letters).tolist()
-        for i, e in zip(rest, self.t.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
-            out[i] = np.array(e.ids, np.int32)
-        return out
+        plain = [np.array(e.ids, np.int32) for e in self.t.encode_batch_fast(joined, add_special_tokens=False)]
+        plain = np.concatenate(plain) if plain else np.zeros(0, np.int32)
+        ends = np.flatnonzero(self.closes[plain]) + 1
+        sizes[at] = np.diff(ends, prepend=0)
+        others = [e.ids for e in self.t.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
+        sizes[rest] = [len(x) for x in others]
+        ids = np.zeros(sizes.sum(), np.int32)
+        starts = np.cumsum(sizes) - sizes
+        ids[spread(starts[at], sizes[at])] = plain
+        ids[spread(starts[rest], sizes[rest])] = [i for x in others for i in x]
+        return ids, sizes
 
 
 def spread(starts, counts):
@@ -99,12 +115,20 @@ def spread(starts, counts):
     return np.arange(total) + np.repeat(starts - (ends - counts), counts)
 
 
-def expand(codes, code_ends, ids, ends):
-    """Ids of rows that are runs of coded pieces: (ids, index after each row's last one)."""
-    starts = np.concatenate([[0], ends])[:-1].astype(np.int64)
-    sizes = (ends - starts)[codes]
+def expand(column, ends, cached):
+    """Ids of rows that are runs of pieces (an Arrow column and the index after each row's last): (ids, same index)."""
+    coded = column.dictionary_encode()
+    place = cached.of(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+    starts = cached.starts[place]
+    sizes = cached.starts[place + 1] - starts
     before = np.concatenate([[0], np.cumsum(sizes)])
-    return ids[spread(starts[codes], sizes)], before[code_ends]
+    return cached.ids[spread(starts, sizes)], before[ends]
+
+
+def _merged(left, right):
+    """Distinct values of two increasing arrays, in order."""
+    both = np.sort(np.concatenate([left, right]).astype(np.int32), kind="stable")
+    return both[np.diff(both, prepend=-1) != 0]
 
 
 def word_pieces(texts):
@@ -125,7 +149,7 @@ def word_pieces(texts):
     cut = LETTER[last] | ((last >= 0x80) & (last < 0xC0) & (data[:-2] == 0xC3)
                           & (last != 0x97) & (last != 0xB7))  # not the signs for times and divided by
     cut &= MARK[now]
-    starts = np.union1d(np.flatnonzero(cut) + 2, offsets[:-1]).astype(np.int32)
+    starts = _merged(np.flatnonzero(cut) + 2, offsets[:-1])
     bounds = np.concatenate([starts, offsets[-1:]]).astype(np.int32)
     pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), words.buffers()[2])
     return pieces, np.searchsorted(starts, np.append(offsets[:-1], offsets[-1])[word_ends])
@@ -133,10 +157,7 @@ def word_pieces(texts):
 
 def word_tokens(texts, path):
     """(ids, ends) of an Arrow text column by a tokenizer that drops white space; null texts have none."""
-    pieces, piece_ends = word_pieces(texts)
-    coded = pieces.dictionary_encode()
-    ids, ends = word_encoder(path).of(coded.dictionary.to_pylist())
-    return expand(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), piece_ends, ids, ends)
+    return expand(*word_pieces(texts), word_encoder(path))
 
 
 def spaced_pieces(texts):
@@ -150,8 +171,7 @@ def spaced_pieces(texts):
     cut = (last > 0x20) & (last < 0x7F)
     cut |= (last >= 0x80) & (last < 0xC0) & (data[:-2] >= 0xC3) & (data[:-2] <= 0xC9)
     cut &= data[2:] == 0x20
-    starts = np.union1d(np.flatnonzero(cut) + 2, offsets[:-1])
-    starts = starts[starts < offsets[-1]].astype(np.int32) if len(data) else np.zeros(0, np.int32)
+    starts = _merged(np.flatnonzero(cut) + 2, offsets[:-1])
     bounds = np.concatenate([starts, offsets[-1:]]).astype(np.int32)
     pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), full.buffers()[2])
     return pieces, np.searchsorted(starts, offsets[1:])
@@ -180,18 +200,23 @@ class Pair:
         self.pieces_a, self.pieces_b = Pieces(self._a), Pieces(self._b)
 
     def _a(self, pieces):
-        return [_checked(e.ids, self.bytes_a, p) for e, p in zip(self.a.encode_batch(pieces, add_special_tokens=False), pieces)]
+        return _flat([_checked(e.ids, self.bytes_a, p)
+                      for e, p in zip(self.a.encode_batch_fast(pieces, add_special_tokens=False), pieces)])
 
     def _b(self, pieces):
         # The second tokenizer puts the space in front itself, but not in front of nothing.
         ids = self.b.encode([p[1:] for p in pieces], num_threads=1)
-        return [_checked(x if p != " " else [self.space], self.bytes_b, p) for x, p in zip(ids, pieces)]
+        return _flat([_checked(x if p != " " else [self.space], self.bytes_b, p) for x, p in zip(ids, pieces)])
 
 
 def _checked(ids, table, piece):
     """The ids, with -1 in front if their bytes are not those of the piece."""
     same = b"".join([table[i] for i in ids]) == piece.encode()
-    return np.array(ids if same else [-1, *ids], np.int32)
+    return ids if same else [-1, *ids]
+
+
+def _flat(lists):
+    return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
 
 
 def pair_of(path_a, path_b):
