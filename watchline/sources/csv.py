@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.verdicts import normalize_label
+from ..storage import checkpointed
+from .records import csv_records
 
 # Column names per role, first match wins, compared trimmed and lower-cased.
 LABEL_NAMES = ("label", "labels", "class", "target", "attack", "attack_type", "category", "malicious", "outcome", "y", "x")
@@ -23,13 +25,43 @@ def find_column(columns, names):
     return next((by_name[n] for n in names if n in by_name), None)
 
 
+def header_names(fields) -> list:
+    """Column names of a header: an empty one is named by its place, a repeated one gets its place at the end."""
+    names = [f"_c{i}" if f is None else f for i, f in enumerate(fields)]
+    names = [n.lstrip("\ufeff") for n in names]
+    return [f"{n}{i}" if names.count(n) > 1 else n for i, n in enumerate(names)]
+
+
+def _columns(records: DataFrame, index: str = None):
+    """(rows as string columns in the order of the first file's header, header); `index` numbers rows over all files."""
+    header = records.where("record = 0").orderBy("file").first()
+    if header is None:
+        raise ValueError("no header, the file is empty")
+    names = header_names(header.fields)
+    n = F.size("fields")
+    good = F.assert_true(n == len(names), F.concat(F.lit("Malformed CSV record "), F.col("record"), F.lit(" of "), F.col("file"),
+                                                   F.lit(": "), n, F.lit(f" fields, the header has {len(names)}"))).isNull()
+    rows = records.where((F.col("record") > 0) & good)
+    columns = [F.get("fields", F.lit(i)).alias(c) for i, c in enumerate(names)]
+    if index is None:
+        return rows.select(*columns), names
+    before = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    shift = records.groupBy(F.col("file").alias("f")).agg(F.max("record").alias("n")).select(
+        "f", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    rows = rows.join(shift, F.col("file") == F.col("f"))
+    return rows.select(*columns, (F.col("record") - 1 + F.col("shift")).alias(index)), names
+
+
 def read_raw_csv(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
     """All columns as strings, so 1 stays "1" and labels keep their spelling.
 
-    Quoted fields may hold newlines; pass multiline=False for large files known to hold none, which Spark can then split.
-    A row with more or fewer fields than the header fails the read instead of moving values into other columns.
+    Quoted fields may hold newlines, and every file is cut into byte ranges that are read at once. A row with more or fewer
+    fields than the header fails the read instead of moving values into other columns. multiline=False reads files known
+    to hold no such newlines in one pass.
     """
-    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+    if multiline:
+        return _columns(csv_records(spark, path))[0]
+    reader = spark.read.option("header", True).option("escape", '"')
     return reader.option("mode", "FAILFAST").csv(path)
 
 
@@ -58,6 +90,7 @@ def normalize_training(df: DataFrame) -> DataFrame:
 
 
 def read_labeled_csv(spark: SparkSession, path, multiline: bool = True) -> DataFrame:
+    """Training rows of one labelled file or a folder of files with one header."""
     return normalize_training(read_raw_csv(spark, path, multiline))
 
 
@@ -102,18 +135,18 @@ def pair_by_row_index(left: DataFrame, right: DataFrame, name: str = "row_idx")
     return left.filter(same).join(right.filter(same), name)
 
 
-def read_paired_csv(spark: SparkSession, features, labels, multiline: bool = True) -> DataFrame:
-    feats, labs = read_raw_csv(spark, features, multiline), read_raw_csv(spark, labels, multiline)
-    label = paired_label_column(labs.columns)
-    left = with_row_index(feats, [c for c in feats.columns if c.lower() != "label"])
-    right = with_row_index(labs, [label]).select("row_idx", quoted(label).alias("label"))
+def read_paired_csv(spark: SparkSession, features, labels) -> DataFrame:
+    """Row i of the features beside row i of the labels, normalised."""
+    left, names = _columns(csv_records(spark, features), "row_idx")
+    right, label_names = _columns(csv_records(spark, labels), "row_idx")
+    label = paired_label_column(label_names)
+    left = left.select("row_idx", *[quoted(c) for c in names if c.lower() != "label"])
+    right = right.select("row_idx", quoted(label).alias("label"))
     return normalize_training(pair_by_row_index(left, right).drop("row_idx"))
 
 
-def discover_sources(spark: SparkSession, root: str) -> DataFrame:
-    """(kind, dataset, labels): features/labels pairs and single CSVs under a folder; lone label files are skipped."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-             .load(root).select("path"))
+def match_sources(files: DataFrame) -> DataFrame:
+    """(kind, dataset, labels) of files (path): features/labels pairs and single CSVs; lone label files are skipped."""
     named = files.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"),
                          F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
     labels = named.filter(F.col("name").endswith("_labels.csv")).select(
@@ -132,17 +165,78 @@ def discover_sources(spark: SparkSession, root: str) -> DataFrame:
     return found.select(kind.alias("kind"), F.col("path").alias("dataset"), "labels")
 
 
+def discover_sources(spark: SparkSession, root: str) -> DataFrame:
+    """(kind, dataset, labels) of the CSV files under a folder."""
+    return match_sources(spark.read.format("binaryFile").option("recursiveFileLookup", True)
+                         .option("pathGlobFilter", "*.csv").load(root).select("path"))
+
+
+def _role(names: str, candidates):
+    """Index of the first candidate among trimmed, lower-cased names, null if there is none."""
+    lowered = F.transform(names, lambda n: F.lower(F.trim(F.coalesce(n, F.lit("")))))
+    return F.coalesce(*[F.nullif(F.array_position(lowered, F.lit(c)), F.lit(0).cast("long")) for c in candidates]) - 1
+
+
+def _paired_role(names: str):
+    """As paired_label_column: a label-named column, else the only one, else the only one that is not an index."""
+    at = F.sequence(F.lit(0), F.size(names) - 1)
+    usable = F.filter(at, lambda i: ~F.coalesce(F.lower(F.get(names, i)).rlike("^(unnamed|_c)"), F.lit(True)))
+    return F.coalesce(_role(names, LABEL_NAMES), F.when(F.size(names) == 1, F.lit(0).cast("long")),
+                      F.when(F.size(usable) == 1, F.get(usable, F.lit(0)).cast("long")))
+
+
+def training_sources(records: DataFrame) -> DataFrame:
+    """A row for each source: kind, dataset, labels, names, the places of its roles, and its problem (null: usable)."""
+    rows = records.join(records.where("record = 0").select(F.col("file").alias("f"), F.col("fields").alias("names")),
+                        F.col("file") == F.col("f"))
+    files = rows.groupBy("file").agg(
+        F.any_value("names").alias("names"), F.max("record").alias("n"),
+        F.min(F.when(F.size("fields") != F.size("names"), F.col("record"))).alias("ragged"))
+    files = checkpointed(files)
+    sources = match_sources(files.select(F.col("file").alias("path")))
+    own = files.select(F.col("file").alias("dataset"), "names", "n", "ragged")
+    side = files.select(F.col("file").alias("labels"), F.col("names").alias("label_names"), F.col("n").alias("label_n"),
+                        F.col("ragged").alias("label_ragged"))
+    found = sources.join(own, "dataset").join(side, "labels", "left")
+    paired = F.col("kind") == "paired_csv"
+    found = found.withColumn("label_at", F.when(paired, _paired_role("label_names")).otherwise(_role("names", LABEL_NAMES)))
+    for role, candidates in (("text_at", TEXT_NAMES), ("ip_at", IP_NAMES), ("host_at", HOST_NAMES), ("service_at", SERVICE_NAMES)):
+        found = found.withColumn(role, _role("names", candidates))
+    bad = lambda c: F.concat(F.lit("record "), F.col(c), F.lit(" has another number of fields than the header"))
+    return found.withColumn("problem", F.when(F.col("label_at").isNull(), "no label column")
+                            .when(F.col("ragged").isNotNull(), bad("ragged")).when(F.col("label_ragged").isNotNull(), bad("label_ragged"))
+                            .when(paired & (F.col("n") != F.col("label_n")), "features and labels have different numbers of rows"))
+
+
 def read_training_sources(spark: SparkSession, root: str):
-    """(training rows of every readable source, messages about skipped ones)."""
-    out, skipped = None, []
-    for row in discover_sources(spark, root).orderBy("kind", "dataset").toLocalIterator():
-        try:
-            part = (read_paired_csv(spark, row.dataset, row.labels) if row.kind == "paired_csv"
-                    else read_labeled_csv(spark, row.dataset))
-        except ValueError as exc:
-            skipped.append(f"{row.dataset}: {exc}")
-            continue
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    """(training rows of every usable source under a folder, messages about skipped ones).
+
+    One plan reads all files, whatever their columns: records are parsed once and stored, a source with a broken record, no
+    label or a labels file of another length is reported, and the others go on.
+    """
+    records = csv_records(spark, root, recursive=True)
+    sources = checkpointed(training_sources(records))
+    skipped = [f"{r.dataset}: {r.problem}" for r in sources.where("problem is not null").orderBy("dataset").collect()]
+    usable = sources.where("problem is null")
+    if usable.isEmpty():
         raise ValueError(f"no usable training data under {root}: {skipped}")
-    return out, skipped
+    rows = records.where("record > 0")
+    single = rows.join(usable.where("kind = 'single_csv'"), F.col("file") == F.col("dataset")).withColumn(
+        "raw", F.get("fields", F.col("label_at").cast("int"))).withColumn("own", F.col("label_at"))
+    pairs = usable.where("kind = 'paired_csv'")
+    right = rows.join(pairs.select(F.col("labels").alias("l"), F.col("dataset").alias("d"), F.col("label_at").alias("a")),
+                      F.col("file") == F.col("l")).select("d", F.col("record").alias("r"), F.get("fields", F.col("a").cast("int")).alias("raw"))
+    paired = rows.join(pairs, F.col("file") == F.col("dataset")).join(
+        right, (F.col("file") == F.col("d")) & (F.col("record") == F.col("r"))).drop("d", "r").withColumn("own", F.lit(-1).cast("long"))
+    both = single.unionByName(paired.select(*single.columns))
+    value = lambda x: F.coalesce(x, F.lit(""))
+    places = F.sequence(F.lit(0), F.size("fields") - 1)
+    shown = F.filter(places, lambda i: (i != F.col("own")) & (value(F.get("names", i)) != "label"))
+    pairs_text = F.array_join(F.transform(shown, lambda i: F.concat(
+        F.coalesce(F.get("names", i), F.concat(F.lit("_c"), i)), F.lit("="), value(F.get("fields", i)))), " ")
+    at = lambda c: F.get("fields", F.col(c).cast("int"))
+    context = lambda c: F.coalesce(at(c), F.lit("unknown"))
+    out = both.select(F.when(F.col("text_at").isNotNull(), value(at("text_at"))).otherwise(pairs_text).alias("text"),
+                      normalize_label(F.col("raw")).alias("label"), context("ip_at").alias("source_ip"),
+                      context("host_at").alias("hostname"), context("service_at").alias("service"))
+    return out.filter(F.col("label").isNotNull()), skipped

@@ -40,3 +40,10 @@ def release(spark: SparkSession) -> int:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
     return len(made)
+
+
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """Written to a fresh folder and read back: cuts the lineage and keeps column pruning."""
+    folder = new_folder(df.sparkSession, kind)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
