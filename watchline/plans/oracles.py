@@ -452,3 +452,11 @@ oracle("stream_consensus", ["detections"], """select start_us, source_ip, malici
  from (select start_us, source_ip, count(*) filter (bad) as malicious_votes, count(*) filter (not bad) as suspicious_votes from per group by all)""",
        """sent as (select *, unnest(range(0, 10)) as k from detections where predicted_label <> 'benign' and confidence >= 0.75),
 per as (select (cast(floor(ts_us / 30000000) as bigint) - k) * 30000000 as start_us, source_ip, sniffer_id, bool_or(predicted_label = 'malicious') as bad from sent group by all)""")
+
+CSV = """said as (select event_id, source_ip, hostname, service, message || chr(10) || '"' || hostname || '", ' || service as message, predicted_label as label from detections),
+single as (select message as text, label, source_ip, hostname, service from said),
+paired as (select 'number=' || event_id || ' source_ip=' || source_ip || ' note=' || message as text,
+ case when label = 'benign' then 'benign' else 'malicious' end as label, source_ip, 'unknown' as hostname, 'unknown' as service from said)"""
+oracle("labeled_csv", ["detections"], "select * from single", CSV)
+oracle("paired_csv", ["detections"], "select * from paired", CSV)
+oracle("training_sources", ["detections"], "select * from single union all select * from paired", CSV)

@@ -221,6 +221,7 @@ def dos_flood(spark, d):
 from ..operators import (balance, catalog, classify, fusion, gateway, hybrid, immune, metrics, profiler, protocol,  # noqa: E402
                          routing, trust, votes)
 from ..sources import csv as csv_sources, events as event_sources  # noqa: E402
+from ..storage import new_folder  # noqa: E402
 
 
 @query
@@ -629,6 +630,66 @@ def paired_rows(spark, d):
     return csv_sources.pair_by_row_index(left, right)
 
 
+def _csv_parts(spark, rows, folder, suffix):
+    """One CSV file with header for each value of `part`, rows by event_id: folder/s<part><suffix>.csv."""
+    made = new_folder(spark, "parts")
+    (rows.repartition("part").sortWithinPartitions("part", "event_id").drop("event_id").write.partitionBy("part")
+     .option("header", True).option("escape", '"').csv(made))
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    fs = path(folder).getFileSystem(conf)
+    fs.mkdirs(path(folder))
+    for found in fs.globStatus(path(f"{made}/part=*/part-*.csv")):
+        part = found.getPath().getParent().getName().split("=")[1]
+        fs.rename(found.getPath(), path(f"{folder}/s{part}{suffix}.csv"))
+
+
+def _csv_events(spark, d):
+    """Labelled events whose messages hold newlines, quotes and commas, dealt to as many parts as shuffles have."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    message = F.concat("message", F.lit('\n"'), "hostname", F.lit('", '), "service")
+    return view(spark, d, "detections").select(
+        "event_id", "source_ip", "hostname", "service", message.alias("message"), F.col("predicted_label").alias("label"),
+        F.pmod(F.hash("event_id"), F.lit(parts)).alias("part"))
+
+
+@query
+def labeled_csv(spark, d):
+    """Events written as CSV files and read as training rows."""
+    folder = new_folder(spark, "csv")
+    _csv_parts(spark, _csv_events(spark, d), folder, "")
+    return csv_sources.read_labeled_csv(spark, folder)
+
+
+def _csv_pairs(spark, d, folder):
+    rows = _csv_events(spark, d)
+    _csv_parts(spark, rows.select("event_id", "part", F.col("event_id").alias("number"), "source_ip", F.col("message").alias("note")),
+               folder, "_dataset")
+    marks = F.when(F.col("label") == "benign", "0").otherwise("1").alias("x")
+    _csv_parts(spark, rows.select("event_id", "part", F.col("event_id").alias("Unnamed: 0"), marks), folder, "_labels")
+
+
+@query
+def paired_csv(spark, d):
+    """Feature files beside label files, put together by row over all files."""
+    folder = new_folder(spark, "csv")
+    _csv_pairs(spark, d, folder)
+    return csv_sources.read_paired_csv(spark, f"{folder}/s*_dataset.csv", f"{folder}/s*_labels.csv")
+
+
+@query
+def training_sources(spark, d):
+    """All sources of a folder: pairs, single files, a file without labels and one with a broken record."""
+    folder = new_folder(spark, "csv")
+    _csv_pairs(spark, d, f"{folder}/pairs")
+    rows = _csv_events(spark, d)
+    _csv_parts(spark, rows, f"{folder}/single", "")
+    _csv_parts(spark, rows.drop("label"), f"{folder}/unlabelled", "")
+    broken = rows.select("event_id", "part", F.concat("message", F.lit(",x\n,y,")).alias("message,label"))
+    _csv_parts(spark, broken.where(F.col("part") == 0), f"{folder}/broken", "")
+    out, skipped = csv_sources.read_training_sources(spark, folder)
+    return out
+
+
 @query
 def live_sources(spark, d):
     ev = view(spark, d, "log_events")
@@ -703,7 +764,6 @@ def hybrid_model(spark, d):
 # ---- streams: a table replayed as files in time order, and what the stream wrote ----------------
 
 from ..sources import sinks  # noqa: E402
-from ..storage import new_folder  # noqa: E402
 from ..streaming import alerting, folds, windows  # noqa: E402
 
 END = "end-of-replay"
