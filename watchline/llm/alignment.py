@@ -95,8 +95,7 @@ class Aligner:
         rows = np.flatnonzero(filled.to_numpy(zero_copy_only=False))
         pieces, piece_ends = spaced_pieces(texts.filter(filled))
         kept, sides = np.ones(len(rows), bool), []
-        for cached in (pair.pieces_a, pair.pieces_b):
-            ids, ends = expand(pieces, piece_ends, cached)
+        for ids, ends in expand(pieces, piece_ends, pair.pieces):
             changed = np.concatenate([[0], np.cumsum(ids < 0)])
             starts = np.concatenate([[0], ends])[:-1]
             kept &= (ends > starts) & (changed[ends] == changed[starts])

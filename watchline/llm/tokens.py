@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from .words import split_words
 
-CACHE = 1_000_000
+CACHE = 400_000
 LETTER = np.array([chr(b).isalpha() and b < 0x80 for b in range(256)])
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 MARK = np.array([0x21 <= b < 0x7F and not chr(b).isalnum() and chr(b) != "|" for b in range(256)])
@@ -32,29 +32,30 @@ def tokenizer_path(name, folder=None):
 
 
 class Pieces:
-    """Ids of distinct pieces of text in one growing array, each piece encoded once until the table is full."""
+    """Ids of distinct pieces of text by one tokenizer or more, in growing arrays; each piece is encoded once until the table is full."""
 
-    def __init__(self, encode, limit=CACHE):
-        self.encode, self.limit = encode, limit
+    def __init__(self, *encoders, limit=CACHE):
+        self.encoders, self.limit = encoders, limit
         self._clear()
 
     def _clear(self):
-        self.place, self.n = {}, 0
-        self.ids, self.starts = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.place, n = {}, len(self.encoders)
+        self.ids, self.starts = [np.zeros(1 << 16, np.int32) for _ in range(n)], [np.zeros(1 << 14, np.int64) for _ in range(n)]
 
     def of(self, pieces):
-        """Place of each piece of a list in `starts`; its ids are ids[starts[place]:starts[place + 1]]."""
+        """Place of each piece of a list: its ids by tokenizer k are ids[k][starts[k][place]:starts[k][place + 1]]."""
         if len(self.place) + len(pieces) > self.limit:
             self._clear()
         new = [p for p in pieces if p not in self.place]
         if new:
-            ids, sizes = self.encode(new)
             first = len(self.place)
             self.place.update(zip(new, range(first, first + len(new))))
-            self.ids, self.starts = _room(self.ids, self.n + len(ids)), _room(self.starts, first + len(new) + 1)
-            self.ids[self.n:self.n + len(ids)] = ids
-            self.starts[first + 1:first + len(new) + 1] = self.n + np.cumsum(sizes)
-            self.n += len(ids)
+            for k, encode in enumerate(self.encoders):
+                ids, sizes = encode(new)
+                at = int(self.starts[k][first])
+                self.ids[k], self.starts[k] = _room(self.ids[k], at + len(ids)), _room(self.starts[k], first + len(new) + 1)
+                self.ids[k][at:at + len(ids)] = ids
+                self.starts[k][first + 1:first + len(new) + 1] = at + np.cumsum(sizes)
         return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
 
 
@@ -116,13 +117,15 @@ def spread(starts, counts):
 
 
 def expand(column, ends, cached):
-    """Ids of rows that are runs of pieces (an Arrow column and the index after each row's last): (ids, same index)."""
+    """Ids of rows that are runs of pieces (an Arrow column and the index after each row's last): [(ids, same index)]."""
     coded = column.dictionary_encode()
     place = cached.of(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
-    starts = cached.starts[place]
-    sizes = cached.starts[place + 1] - starts
-    before = np.concatenate([[0], np.cumsum(sizes)])
-    return cached.ids[spread(starts, sizes)], before[ends]
+    out = []
+    for ids, bounds in zip(cached.ids, cached.starts):
+        starts = bounds[place]
+        sizes = bounds[place + 1] - starts
+        out.append((ids[spread(starts, sizes)], np.concatenate([[0], np.cumsum(sizes)])[ends]))
+    return out
 
 
 def _merged(left, right):
@@ -157,7 +160,7 @@ def word_pieces(texts):
 
 def word_tokens(texts, path):
     """(ids, ends) of an Arrow text column by a tokenizer that drops white space; null texts have none."""
-    return expand(*word_pieces(texts), word_encoder(path))
+    return expand(*word_pieces(texts), word_encoder(path))[0]
 
 
 def spaced_pieces(texts):
@@ -197,7 +200,7 @@ class Pair:
         assert not any("▁" in p.lstrip("▁") for p in pieces)
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.pieces_a, self.pieces_b = Pieces(self._a), Pieces(self._b)
+        self.pieces = Pieces(self._a, self._b)
 
     def _a(self, pieces):
         return _flat([_checked(e.ids, self.bytes_a, p)
