@@ -460,3 +460,28 @@ paired as (select 'number=' || event_id || ' source_ip=' || source_ip || ' note=
 oracle("labeled_csv", ["detections"], "select * from single", CSV)
 oracle("paired_csv", ["detections"], "select * from paired", CSV)
 oracle("training_sources", ["detections"], "select * from single union all select * from paired", CSV)
+
+
+def _spread(weight):
+    """Every event in order, with the scores of its whole component as a list; `weight` of an edge e between n and m."""
+    return TRUST + f""",
+everyone as (select source_ip as ip from detections union select src from edges),
+reach as (select ip as a, ip as b from everyone union select r.a, e.dst from reach r join edges e on e.src = r.b),
+node as (select a as ip, min(b) as root from reach group by a),
+placed as (select n.*, c.cluster_id, row_number() over (partition by root order by n.ip) as k from node n left join clusters c on c.source_ip = n.ip),
+near as (select n.root, n.k, list(case when e.src is null then 0::double else {weight} end order by m.k) as ws
+ from placed n join placed m on m.root = n.root left join edges e on e.src = n.ip and e.dst = m.ip group by n.root, n.k),
+moves as (select d.event_id, n.root, n.k, n.ip, case predicted_label when 'malicious' then -0.25::double when 'suspicious' then -0.1::double else 0.02::double end as move,
+ row_number() over (partition by n.root order by d.ts_us, d.event_id) as rn from detections d join placed n on n.ip = d.source_ip),
+walk as (select root, cast(0 as bigint) as rn, cast(null as bigint) as event_id, cast(null as varchar) as ip, cast(null as double) as x,
+  list(0.7::double order by k) as scores from placed group by root
+ union all select root, rn, event_id, ip, x, list_transform(range(1, len(scores) + 1), lambda i:
+   case when i = k then x else greatest(0::double, scores[i] - greatest(0::double, 0.7::double - x) * ws[i]) end)
+ from (select w.root, m.rn, m.event_id, m.ip, m.k, w.scores, n.ws, least(1::double, greatest(0::double, w.scores[m.k] + m.move)) as x
+  from walk w join moves m on m.root = w.root and m.rn = w.rn + 1 join near n on n.root = m.root and n.k = m.k))"""
+
+
+oracle("trust_neighbours", ["detections"], """select p.ip, round(w.scores[p.k], 6) as score from placed p
+ join (select root, arg_max(scores, rn) as scores from walk group by root) w on w.root = p.root""", _spread("0.3::double"))
+oracle("trust_neighbours_path", ["detections"], "select ip as source_ip, event_id, round(x, 6) as score from walk where event_id is not null",
+       _spread("case when n.cluster_id = m.cluster_id then 0.4::double else 0.1::double end"))

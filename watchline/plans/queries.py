@@ -218,8 +218,8 @@ def dos_flood(spark, d):
 
 # ---- routing, profiling, gateways -------------------------------------------------------------
 
-from ..operators import (balance, catalog, classify, fusion, gateway, hybrid, immune, metrics, profiler, protocol,  # noqa: E402
-                         routing, trust, votes)
+from ..operators import (balance, catalog, classify, dissemination, fusion, gateway, hybrid, immune, metrics,  # noqa: E402
+                         profiler, protocol, routing, trust, votes)
 from ..sources import csv as csv_sources, events as event_sources  # noqa: E402
 from ..storage import new_folder  # noqa: E402
 
@@ -343,6 +343,20 @@ def trust_rounds(spark, d):
     return out.select("ip", F.round("score", 6).alias("score"))
 
 
+@query
+def trust_neighbours(spark, d):
+    """Every event pushes at once; scores after the last one."""
+    out = dissemination.trust_with_neighbours(view(spark, d, "detections"), _edges(spark, d))
+    return out.select("ip", F.round("score", 6).alias("score"))
+
+
+@query
+def trust_neighbours_path(spark, d):
+    """Every event pushes at once, more inside a cluster; the score of its source after each event."""
+    out = dissemination.trust_path_with_neighbours(view(spark, d, "detections"), _edges(spark, d), "cntd", _clusters(spark, d))
+    return out.select("source_ip", "event_id", F.round("score", 6).alias("score"))
+
+
 @query
 def severity_multiplier(spark, d):
     det = view(spark, d, "detections")
