@@ -391,12 +391,14 @@ agg as (select *, max(n) over () as mx, min(n) over () as mn, count(*) over () a
 plan as (select label, n, greatest(n, greatest(mn, cast(floor(mx * 0.5) as bigint))) as target, least(5, mn - 1) as k from agg where c >= 2 and mn >= 10 and n < mx),
 nn as (select a.id, a.label, b.id as neighbour_id, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) ** 2))) as distance from rows a join rows b on a.label = b.label and a.id <> b.id),
 ranked as (select *, row_number() over (partition by id order by distance, neighbour_id) as rank from nn)"""
+# Oversampling needs neighbours only in the classes that get copies.
+COPIED = SMOTE.replace("a.label = b.label and", "a.label = b.label and a.label in (select label from plan where target > n) and")
 oracle("smote_plan", [], "select * from plan", SMOTE)
 oracle("nearest_same_class", [], "select id, neighbour_id, rank, round(distance, 6) as distance from ranked where rank <= 3", SMOTE)
 oracle("smote_rows", [], """select j.label, j.id as base_id, r.neighbour_id, j.copy, round(u.u, 6) as u, round(a.v[1] + u.u * (b.v[1] - a.v[1]), 6) as first,
  round(list_sum(a.v) + u.u * (list_sum(b.v) - list_sum(a.v)), 5) as total
  from jobs j join ranked r on r.id = j.id and r.rank = j.copy % j.k + 1 join rows a on a.id = j.id join rows b on b.id = r.neighbour_id
- join us u on u.id = j.id and u.neighbour_id = r.neighbour_id and u.copy = j.copy""", SMOTE + """,
+ join us u on u.id = j.id and u.neighbour_id = r.neighbour_id and u.copy = j.copy""", COPIED + """,
 dealt as (select r.id, r.label, p.n, p.k, p.target - p.n as need, row_number() over (partition by r.label order by r.id) - 1 as rk from rows r join plan p on p.label = r.label where p.target > p.n),
 jobs as (select id, label, k, unnest(range(0, need // n + case when rk < need % n then 1 else 0 end)) as copy from dealt),
 us as (select j.id, r.neighbour_id, j.copy, ('0x' || substring(md5(j.id::varchar || '|' || r.neighbour_id::varchar || '|' || j.copy::varchar), 1, 6))::bigint / 16777216.0::double as u
