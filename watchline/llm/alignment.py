@@ -6,7 +6,7 @@ the A end in the middle is looked up among the B ends by bisection, then those a
 are divided again. An interval without a common end inside is a group. All intervals of one depth, of all texts of a slice,
 are handled together.
 
-How many documents hold an id pair linked is counted over the whole corpus. Texts are read once, in slices of 2 MB; a slice
+How many documents hold an id pair linked is counted over the whole corpus. Texts are read once, in slices of 1 MB; a slice
 is stored with the links of its documents as numbers of pairs, and a list of its distinct pairs. Only these lists are
 shuffled: counted by pair (combined before the shuffle), joined with the counts, and sent back to their slice, where the
 documents' sums are taken. Nothing that grows with the corpus is broadcast; the highest count of each A id has as many rows as
@@ -30,7 +30,8 @@ from .tables import stored
 from .tokens import expand, pair_of, spaced_pieces, spread, tokenizer_path
 from .words import record_batch, slices
 
-LINKS = 2_000_000
+LINKS = 1_000_000
+SLICE = 1 << 20  # bytes of text that are aligned at once
 NO_HASH = ""
 
 
@@ -195,7 +196,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         table = marked_ids(pair)
         block = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 x = Aligner(part.column("text"), pair)
                 row, a, b, times = x.links()
                 key, index, n = np.unique((a << 32) | b, return_inverse=True, return_counts=True)
@@ -274,7 +275,7 @@ def groups(docs: DataFrame, path_a: str = None, path_b: str = None) -> DataFrame
     def run(batches):
         pair = pair_of(path_a, path_b)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 x = Aligner(part.column("text"), pair)
                 if not len(x.rows):
                     continue

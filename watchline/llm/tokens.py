@@ -200,7 +200,7 @@ class Pair:
         assert not any("▁" in p.lstrip("▁") for p in pieces)
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
-        self.pieces = Pieces(self._a, self._b)
+        self.pieces = Pieces(self._a, self._b, limit=CACHE // 2)
 
     def _a(self, pieces):
         return _flat([_checked(e.ids, self.bytes_a, p)
