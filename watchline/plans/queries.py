@@ -768,13 +768,26 @@ def model_detections(spark, d):
 
 @query
 def hybrid_model(spark, d):
+    """Both stages with all hashed features and trees of full depth."""
     rows = _event_training(spark, d)
-    model = hybrid.hybrid_fit(rows, dims=2 ** 10, max_depth=8)
-    texts = classify.training_text(rows)
-    out = hybrid.hybrid_predict(texts, model)
+    out = hybrid.hybrid_predict(classify.training_text(rows), hybrid.hybrid_fit(rows))
     return out.groupBy("stage", "label", "predicted_label").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def hybrid_eval(spark, d):
+    """Scores of the two-stage model on all rows held out of its fit."""
+    train, test = classify.holdout_split(_event_training(spark, d))
+    return rounded(hybrid.hybrid_eval(test, hybrid.hybrid_fit(train)), "value")
+
+
+@query
+def hybrid_oversampled(spark, d):
+    """The same with the small classes filled up by synthetic rows before the fit."""
+    train, test = classify.holdout_split(_event_training(spark, d))
+    return rounded(hybrid.hybrid_eval(test, hybrid.hybrid_fit(train, oversampled=True)), "value")
+
+
 # ---- streams: a table replayed as files in time order, and what the stream wrote ----------------
 
 from ..sources import sinks  # noqa: E402
