@@ -219,7 +219,7 @@ def dos_flood(spark, d):
 # ---- routing, profiling, gateways -------------------------------------------------------------
 
 from ..operators import (balance, catalog, classify, dissemination, fusion, gateway, hybrid, immune, metrics,  # noqa: E402
-                         profiler, protocol, routing, trust, votes)
+                         online, profiler, protocol, routing, trust, votes)
 from ..sources import csv as csv_sources, events as event_sources  # noqa: E402
 from ..storage import new_folder  # noqa: E402
 
@@ -753,6 +753,16 @@ def text_classifier(spark, d):
     return rounded(classify.holdout_report(rows), "value")
 
 
+@query
+def online_classifier(spark, d):
+    """Held-out scores of the classifier that learns in batches."""
+    train, test = classify.holdout_split(csv_sources.normalize_training(_labelled(spark, d)))
+    model = online.learn_in_batches(train, 4)
+    pairs = online.predict(classify.training_text(test), model).select(
+        F.col("label").alias("y_true"), F.col("predicted_label").alias("y_pred"))
+    return rounded(metrics.model_report(pairs), "value")
+
+
 def _event_training(spark, d):
     return view(spark, d, "detections").select("event_id", "source_ip", "hostname", "service", "message",
                                                F.col("predicted_label").alias("label"))
