@@ -59,7 +59,7 @@ def trust_scores(detections: DataFrame, cfg=DEFAULTS, key: str = "source_ip") ->
     return last.select(key, (F.col("state") / F.lit(float(UNIT))).alias("score"))
 
 
-def _clamped_sums(moves, lengths, entry):
+def clamped_sums(moves, lengths, entry):
     """Running sums of the moves of each slice from its entry score, clamped to [0, UNIT] after each move.
 
     Every move is a function min(high, max(low, x + shift)); prefixes of them are composed in steps of doubling length.
@@ -95,7 +95,7 @@ def trust_path(detections: DataFrame, cfg=DEFAULTS, key: str = "source_ip",
 
     def scores(moves: pa.Array, entry: pa.Array) -> pa.Array:
         lengths = pc.list_value_length(moves).to_numpy(zero_copy_only=False).astype(np.int64)
-        path = _clamped_sums(moves.flatten().to_numpy(zero_copy_only=False), lengths, entry.to_numpy(zero_copy_only=False))
+        path = clamped_sums(moves.flatten().to_numpy(zero_copy_only=False), lengths, entry.to_numpy(zero_copy_only=False))
         ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
         return pa.ListArray.from_arrays(ends, pa.array(path / UNIT))
 

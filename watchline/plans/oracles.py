@@ -487,3 +487,6 @@ oracle("trust_neighbours", ["detections"], """select p.ip, round(w.scores[p.k],
  join (select root, arg_max(scores, rn) as scores from walk group by root) w on w.root = p.root""", _spread("0.3::double"))
 oracle("trust_neighbours_path", ["detections"], "select ip as source_ip, event_id, round(x, 6) as score from walk where event_id is not null",
        _spread("case when n.cluster_id = m.cluster_id then 0.4::double else 0.1::double end"))
+oracle("stream_amof", ["log_events"], "select node as source_ip, tick, min(tick) over (partition by node) as first_anomalous_tick from sa where bad",
+       """node_ticks as (select source_ip as node, cast(floor(ts_us / 5000000) as bigint) as tick, count(*) as packet_count from log_events group by all),
+""" + SLOPES.replace("0.25", "0.2537"))

@@ -902,8 +902,20 @@ def stream_protocol_violations(spark, d):
 def stream_motion(spark, d):
     moved = view(spark, d, "motion").select("event_id", F.lit(True).alias("moved"))
     both = view(spark, d, "log_events").join(moved, "event_id", "left").select("event_id", "ts_us", "moved")
-    out = drained(spark, both, lambda s: folds.with_last_motion(s, s.filter("moved")))
-    return out.select("event_id", "motion_ts_us")
+    out = drained(spark, both, lambda s: folds.with_last_motion(s, s.filter("moved")), closing={"event_id": -1, "moved": True})
+    return out.where("event_id >= 0").select("event_id", "motion_ts_us")
+
+
+#: Short ticks have simple fractions as slopes; no sum of them is near this threshold.
+STREAM_AMOF = replace(DEFAULTS, amof_threshold=0.2537)
+
+
+@query
+def stream_amof(spark, d):
+    """Profiles of a stream's ticks, chained behind the windowed count."""
+    out = drained(spark, view(spark, d, "log_events"), lambda s: windows.amof(s, 5.0, cfg=STREAM_AMOF, delay="0 seconds"),
+                  closing={"source_ip": END})
+    return out.where(F.col("source_ip") != END).select("source_ip", "tick", "first_anomalous_tick")
 
 
 @query

@@ -1,5 +1,6 @@
 """Classify a stream of events and keep its alerts."""
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -29,16 +30,15 @@ def detections_stream(scored: DataFrame, cfg=DEFAULTS, delay: str = "10 minutes"
     window = micros(cfg.dedup_window_s) + 1
     rest = [f for f in done.schema.fields if f.name not in keys]
 
-    def step(memory, key, peers):
-        out = []
-        for r in peers:
-            repeat = False if key[-1] else not folds.may_fire(memory, "until", r["ts_us"], window)
-            out.append((*key, *[r[f.name] for f in rest], repeat))
-        return out
+    def step(state, key, rows):
+        starts = np.ones(len(rows), bool)
+        if not key[-1]:
+            state, starts = folds.anchored(state, rows, window)
+        return state, [rows[f.name].to_numpy() for f in rest] + [~starts]
 
     schema = T.StructType([done.schema[k] for k in keys] + rest
                                 + [T.StructField("deduplicated", T.BooleanType())])
-    return folds.fold(done, keys, schema, dict, step, cfg.dedup_window_s, delay)
+    return folds.fold(done, keys, schema, "until long", (None,), step, cfg.dedup_window_s, delay)
 
 
 def run_alerts(detections: DataFrame, alerts: str, checkpoint: str, outbox: str = None, cfg=DEFAULTS,

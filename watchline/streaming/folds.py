@@ -1,11 +1,11 @@
 """Per-key stateful streams. Each has a batch twin in watchline.operators with the same meaning.
 
 Rows are taken in (ts_us, event_id) order inside a micro-batch and in arrival order between micro-batches; rows
-older than the watermark are dropped. State is one small record per key and expires by event time.
+older than the watermark are dropped (`late` keeps them). State is one typed record per key here, lists in `stateful`; both
+expire by event time.
 """
 
-import json
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -13,72 +13,74 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..config import DEFAULTS, micros
 from ..operators import gateway, protocol, trust
 from ..ship import ship
-
-_STATE = T.StructType([T.StructField("json", T.StringType())])
-
+from . import stateful
 
 def event_timed(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream.withColumn("event_time", F.timestamp_micros("ts_us")).withWatermark("event_time", delay)
 
 
-def fold(stream: DataFrame, keys, schema: str, init, step, idle_s: float, delay: str = "10 minutes") -> DataFrame:
-    """Run `step(state dict, rows of one instant) -> output tuples` over each key; state is a JSON record.
+def timed(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    return stream if "event_time" in stream.columns else event_timed(stream, delay)
+
 
-    A key idle for idle_s (event time) is forgotten.
+def fold(stream: DataFrame, keys, schema, state: str, first: tuple, step, idle_s: float, delay: str = "10 minutes") -> DataFrame:
+    """Run `step(state, key, rows) -> (state, output columns after the key)` over each key and micro-batch.
+
+    The state is one typed record of fixed size; rows come as a frame in (ts_us, event_id) order and columns go out as
+    sequences of equal length. A key idle for idle_s (event time) is forgotten.
     """
     ship(stream.sparkSession)
-    timed = stream if "event_time" in stream.columns else event_timed(stream, delay)
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    names = fields.names
+    names, n_keys = fields.names, len(keys)
 
-    def run(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
+    def run(key, frames, memory):
+        if memory.hasTimedOut:
+            memory.remove()
             return
         rows = pd.concat(list(frames)).sort_values(["ts_us", "event_id"], kind="stable")
-        memory = json.loads(state.get[0]) if state.exists else init()
-        out = []
-        for _, peers in rows.groupby("ts_us", sort=False):
-            out.extend(step(memory, key, peers.to_dict("records")))
-        state.update((json.dumps(memory),))
-        last = int(rows["ts_us"].max()) // 1000 + int(idle_s * 1000) + 1
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=names)
+        now, columns = step(memory.get if memory.exists else first, key, rows)
+        memory.update(tuple(now))
+        last = int(rows["ts_us"].iloc[-1]) // 1000 + int(idle_s * 1000) + 1
+        memory.setTimeoutTimestamp(max(last, memory.getCurrentWatermarkMs() + 1))
+        size = len(columns[0]) if columns else 0
+        made = {n: pd.Series([k] * size, dtype=object) for n, k in zip(names, key)}
+        yield pd.DataFrame(made | dict(zip(names[n_keys:], columns)), columns=names)
 
-    return timed.groupBy(*keys).applyInPandasWithState(
-        run, fields, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return timed(stream, delay).groupBy(*keys).applyInPandasWithState(
+        run, fields, T._parse_datatype_string(state), "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _typed(df_schema, keys, more):
     return T.StructType([df_schema[k] for k in keys] + T._parse_datatype_string(more).fields)
 
 
-def may_fire(memory, name, ts, quiet_us):
-    """True when `name` may fire at ts; then its quiet period starts."""
-    until = memory.get(name)
-    if until is not None and ts < until:
-        return False
-    memory[name] = ts + quiet_us
-    return True
+def anchored(state, rows, quiet_us):
+    """(state, whether each row starts a quiet time); the state is the end of the last one."""
+    ts = rows["ts_us"].to_numpy(np.int64)
+    at, until = stateful.fires(ts, np.arange(len(ts)), state[0], quiet_us)
+    starts = np.zeros(len(ts), bool)
+    starts[at] = True
+    return (until,), starts
 
 
 def dedup(stream: DataFrame, keys=("source_ip", "hostname", "service", "message"), cfg=DEFAULTS, **kw) -> DataFrame:
     """Adds deduplicated to (keys, event_id, ts_us)."""
     window = micros(cfg.dedup_window_s) + 1
 
-    def step(memory, key, peers):
-        return [(*key, r["event_id"], r["ts_us"], not may_fire(memory, "until", r["ts_us"], window)) for r in peers]
+    def step(state, key, rows):
+        state, starts = anchored(state, rows, window)
+        return state, [rows["event_id"].to_numpy(), rows["ts_us"].to_numpy(), ~starts]
 
     schema = _typed(stream.schema, keys, "event_id long, ts_us long, deduplicated boolean")
-    return fold(stream, keys, schema, dict, step, cfg.dedup_window_s, **kw)
+    return fold(stream, keys, schema, "until long", (None,), step, cfg.dedup_window_s, **kw)
 
 
 def patterns(stream: DataFrame, specs, key: str = "source_ip", cfg=DEFAULTS, **kw) -> DataFrame:
     """Event-pattern alerts (key, pattern_name, event_id, ts_us, matched_count, severity)."""
     marked = stream
     for i, p in enumerate(specs):
-        marked = marked.withColumn(f"_c{i}", F.coalesce(p.candidate, F.lit(False))).withColumn(
-            f"_v{i}", (p.distinct if p.distinct is not None else F.lit(None)).cast("string"))
+        marked = marked.withColumn(f"candidate_{i}", F.coalesce(p.candidate, F.lit(False))).withColumn(
+            f"value_{i}", (p.distinct if p.distinct is not None else F.lit(None)).cast("string"))
     spec = [(p.name, micros(p.window_s), p.min_count, p.severity, p.distinct is not None, tuple(p.requires)) for p in specs]
     # Patterns that others need are evaluated before them, so one event can complete a whole chain.
     order, placed = [], set()
@@ -90,74 +92,40 @@ def patterns(stream: DataFrame, specs, key: str = "source_ip", cfg=DEFAULTS, **k
         placed |= {spec[i][0] for i in ready}
     quiet = micros(cfg.pattern_cooldown_s)
 
-    def step(memory, k, peers):
-        out, now = [], peers[0]["ts_us"]
-        counts = {}
-        for i, (name, width, least, severity, distinct, needs) in enumerate(spec):
-            if distinct:
-                seen = {v: t for v, t in memory.get(f"seen:{name}", {}).items() if now - t <= width}
-                seen.update({r[f"_v{i}"]: now for r in peers if r[f"_c{i}"] and r[f"_v{i}"] is not None})
-                memory[f"seen:{name}"], counts[i] = seen, len(seen)
-            else:
-                hits = [t for t in memory.get(f"hits:{name}", []) if now - t <= width]
-                hits += [now for r in peers if r[f"_c{i}"]]
-                memory[f"hits:{name}"], counts[i] = hits, len(hits)
-        for r in peers:
-            for i in order:
-                name, width, least, severity, distinct, needs = spec[i]
-                ready = all(memory.get(f"fired:{n}") is not None and now - memory[f"fired:{n}"] <= width for n in needs)
-                if counts[i] >= least and ready and may_fire(memory, f"until:{name}", now, quiet):
-                    memory[f"fired:{name}"] = now
-                    out.append((*k, name, r["event_id"], now, counts[i], severity))
-        return out
-
     schema = _typed(stream.schema, [key], "pattern_name string, event_id long, ts_us long, matched_count long, severity string")
-    return fold(marked, [key], schema, dict, step, cfg.pattern_idle_s, **kw)
+    processor = stateful.Patterns(spec, order, quiet, micros(cfg.pattern_idle_s), schema.names)
+    return stateful.with_state(timed(marked, **kw), [key], processor, schema)
 
 
 def flood(stream: DataFrame, key: str = "source_ip", cfg=DEFAULTS, **kw) -> DataFrame:
     """(key, event_id, ts_us, flag): dos_flood_detected / dos_flood_ongoing."""
-    window, quiet = micros(cfg.flood_window_s), micros(cfg.flood_cooldown_s)
-    need = cfg.flood_rate * cfg.flood_window_s - 1e-9
-
-    def step(memory, k, peers):
-        out = []
-        for r in peers:
-            now = r["ts_us"]
-            if now < memory.get("until", now):
-                out.append((*k, r["event_id"], now, "dos_flood_ongoing"))
-                continue
-            recent = [t for t in memory.get("recent", []) if now - t <= window] + [now]
-            memory["recent"] = recent
-            if len(recent) >= need:
-                memory["until"] = now + quiet
-                out.append((*k, r["event_id"], now, "dos_flood_detected"))
-        return out
-
     schema = _typed(stream.schema, [key], "event_id long, ts_us long, flag string")
-    return fold(stream, [key], schema, dict, step, cfg.flood_cooldown_s + cfg.flood_window_s, **kw)
+    return stateful.with_state(timed(stream, **kw), [key], stateful.flood_processor(schema, cfg), schema)
 
 
 def gateway_sprt(stream: DataFrame, cfg=DEFAULTS, idle_s: float = 30 * 86400.0, **kw) -> DataFrame:
     """(gateway_id, event_id, ts_us, sprt_statistic, estimated_pdp, observation_count) per alert."""
-    def init():
-        return {"stat": 0.0, "last": None, "n": 0, "f": 0, "d": 0}
-
-    def step(m, k, peers):
-        out = []
-        for r in peers:
-            f, d = int(r["forwarded"]), int(r["dropped"])
-            m["n"], m["f"], m["d"] = m["n"] + 1, m["f"] + f, m["d"] + d
-            m["stat"], m["last"], hit = gateway.advance(m["stat"], m["last"], r["ts_us"], f, d, m["n"], cfg)
+    def step(state, k, rows):
+        stat, last, n, f, d = state
+        forwarded, dropped = (rows[c].to_numpy(np.int64) for c in ("forwarded", "dropped"))
+        ts = rows["ts_us"].to_numpy(np.int64)
+        all_f, all_d = f + np.cumsum(forwarded), d + np.cumsum(dropped)
+        hits, stats = [], []
+        for i, (t, a, b) in enumerate(zip(ts.tolist(), forwarded.tolist(), dropped.tolist())):
+            stat, last, hit = gateway.advance(stat, last, t, a, b, n + i + 1, cfg)
             if hit is not None:
-                total = m["f"] + m["d"]
-                out.append((*k, r["event_id"], r["ts_us"], hit, m["d"] / total if total else 0.0,
-                            m["n"] if cfg.sprt_window is None else min(m["n"], cfg.sprt_window)))
-        return out
+                hits.append(i)
+                stats.append(hit)
+        at = np.array(hits, np.int64)
+        total, count = all_f[at] + all_d[at], n + at + 1
+        pdp = np.divide(all_d[at], total, out=np.zeros(len(at)), where=total > 0)
+        shown = count if cfg.sprt_window is None else np.minimum(count, cfg.sprt_window)
+        return (stat, last, n + len(ts), int(all_f[-1]), int(all_d[-1])), [
+            rows["event_id"].to_numpy()[at], ts[at], np.array(stats, float), pdp, shown]
 
     schema = _typed(stream.schema, [gateway.KEY],
                     "event_id long, ts_us long, sprt_statistic double, estimated_pdp double, observation_count long")
-    return fold(stream, [gateway.KEY], schema, init, step, idle_s, **kw)
+    return fold(stream, [gateway.KEY], schema, "stat double, last long, n long, f long, d long", (0.0, None, 0, 0, 0), step, idle_s, **kw)
 
 
 def trust_path(stream: DataFrame, key: str = "source_ip", cfg=DEFAULTS, **kw) -> DataFrame:
@@ -166,15 +134,13 @@ def trust_path(stream: DataFrame, key: str = "source_ip", cfg=DEFAULTS, **kw) ->
     units = {k: int(round(v * trust.UNIT)) for k, v in moves.items()}
     other, first = int(round(cfg.trust_benign * trust.UNIT)), int(round(cfg.trust_initial * trust.UNIT))
 
-    def step(m, k, peers):
-        out = []
-        for r in peers:
-            m["x"] = min(trust.UNIT, max(0, m["x"] + units.get(r["predicted_label"], other)))
-            out.append((*k, r["event_id"], r["ts_us"], m["x"] / trust.UNIT))
-        return out
+    def step(state, k, rows):
+        move = rows["predicted_label"].map(units).fillna(other).to_numpy(np.int64)
+        path = trust.clamped_sums(move, np.array([len(move)]), np.array([state[0]]))
+        return (int(path[-1]),), [rows["event_id"].to_numpy(), rows["ts_us"].to_numpy(), path / trust.UNIT]
 
     schema = _typed(stream.schema, [key], "event_id long, ts_us long, score double")
-    return fold(stream, [key], schema, lambda: {"x": first}, step, cfg.trust_ttl_s, **kw)
+    return fold(stream, [key], schema, "x long", (first,), step, cfg.trust_ttl_s, **kw)
 
 
 def protocol_violations(stream: DataFrame, transitions=protocol.DEFAULT_TRANSITIONS, idle_s: float = 86400.0,
@@ -184,38 +150,40 @@ def protocol_violations(stream: DataFrame, transitions=protocol.DEFAULT_TRANSITI
     tidy = (stream.withColumn("protocol", F.lower("protocol")).withColumn("event_state", F.upper("event_state"))
             .withColumn("next_state", F.upper("next_state")))
 
-    def step(m, k, peers):
-        out, allowed = [], edges.get(k[1], set())
-        for r in peers:
-            m["state"], bad = protocol.follow(m["state"], r["event_state"], r["next_state"], allowed)
+    def step(state, k, rows):
+        now, allowed, at, was = state[0], edges.get(k[1], set()), [], []
+        nexts = rows["next_state"].astype(object).where(rows["next_state"].notna(), None)
+        for i, (event, following) in enumerate(zip(rows["event_state"].tolist(), nexts.tolist())):
+            now, bad = protocol.follow(now, event, following, allowed)
             if bad is not None:
-                out.append((*k, r["event_id"], r["ts_us"], bad, r["next_state"]))
-        return out
+                at.append(i)
+                was.append(bad)
+        return (now,), [rows["event_id"].to_numpy()[at], rows["ts_us"].to_numpy()[at], was, nexts.to_numpy()[at]]
 
     keys = ["source_ip", "protocol"]
     schema = _typed(tidy.schema, keys, "event_id long, ts_us long, from_state string, to_state string")
-    return fold(tidy, keys, schema, lambda: {"state": protocol.UNSEEN}, step, idle_s, **kw)
+    return fold(tidy, keys, schema, "state string", (protocol.UNSEEN,), step, idle_s, **kw)
 
 
-def with_last_motion(detections: DataFrame, motion: DataFrame, cfg=DEFAULTS, salts: int = 8, **kw) -> DataFrame:
-    """(event_id, ts_us, motion_ts_us): the latest motion that arrived at or before the event, if recent enough.
+def with_last_motion(detections: DataFrame, motion: DataFrame, cfg=DEFAULTS, delay: str = "10 minutes", salts: int = None) -> DataFrame:
+    """(event_id, ts_us, motion_ts_us): the latest motion at or before the event, if recent enough.
 
-    Both streams meet in one keyed stream; events are spread over salts and every salt is told of each motion.
+    An outer interval join of two watermarked streams: events meet the motions of their time bucket and the one before. Events of
+    a bucket are spread over as many salts as the session has shuffle partitions; motions are few and go to all of them. An
+    event comes out when the watermark has passed it, with the latest of its motions or none.
     """
+    salts = salts or int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     window = micros(cfg.motion_window_s)
-    left = detections.select("event_id", "ts_us", F.pmod(F.hash("event_id"), F.lit(salts)).alias("salt"),
-                             F.lit(False).alias("motion"))
-    right = motion.select("event_id", "ts_us", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-                          F.lit(True).alias("motion"))
-
-    def step(m, k, peers):
-        now = peers[0]["ts_us"]
-        if any(r["motion"] for r in peers):
-            m["last"] = now
-        last = m.get("last")
-        near = last if last is not None and now - last <= window else None
-        return [(r["event_id"], now, near) for r in peers if not r["motion"]]
-
-    return fold(left.unionByName(right), ["salt"], "event_id long, ts_us long, motion_ts_us long", dict, step,
-                cfg.motion_window_s, **kw)
-
+    bucket = F.floor(F.col("ts_us") / window)
+    left = timed(detections, delay).select("event_id", "ts_us", F.col("event_time"), bucket.alias("bucket"),
+                                           F.pmod(F.hash("event_id"), F.lit(salts)).alias("salt"))
+    right = timed(motion, delay).select(
+        F.col("ts_us").alias("motion_ts_us"), F.col("event_time").alias("motion_time"),
+        F.explode(F.array(bucket, bucket + 1)).alias("motion_bucket"), F.lit(salts).alias("n")).select(
+        "motion_ts_us", "motion_time", "motion_bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("motion_salt"))
+    near = ((F.col("bucket") == F.col("motion_bucket")) & (F.col("salt") == F.col("motion_salt"))
+            & (F.col("motion_time") <= F.col("event_time"))
+            & (F.col("motion_time") >= F.col("event_time") - F.expr(f"INTERVAL '{cfg.motion_window_s:g}' SECOND")))
+    met = left.join(right, near, "leftOuter")
+    return met.groupBy("event_time", "event_id", "ts_us").agg(F.max("motion_ts_us").alias("motion_ts_us")).select(
+        "event_id", "ts_us", "motion_ts_us")

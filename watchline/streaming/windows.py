@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import DEFAULTS
 from ..operators import profiler, routing, votes
+from . import stateful
 from .folds import event_timed
 
 
@@ -44,6 +45,11 @@ def blackhole_on_ticks(path: str, key: str = "source_ip", cfg=DEFAULTS):
     return on_ticks(lambda ticks, k: routing.blackhole(ticks, k, cfg), path, key, cfg.blackhole_history)
 
 
+def amof(stream: DataFrame, tick_s: float, key: str = "source_ip", cfg=DEFAULTS, delay: str = "10 minutes") -> DataFrame:
+    """(key, tick, slope, first_anomalous_tick) from a stream of events, with a bounded state for each node."""
+    return stateful.profiled(tick_counts(stream, tick_s, key, delay), key, cfg)
+
+
 def amof_on_ticks(path: str, key: str = "source_ip", cfg=DEFAULTS):
     return on_ticks(lambda ticks, k: profiler.amof(ticks, k, cfg), path, key)
 
