@@ -490,3 +490,6 @@ oracle("trust_neighbours_path", ["detections"], "select ip as source_ip, event_i
 oracle("stream_amof", ["log_events"], "select node as source_ip, tick, min(tick) over (partition by node) as first_anomalous_tick from sa where bad",
        """node_ticks as (select source_ip as node, cast(floor(ts_us / 5000000) as bigint) as tick, count(*) as packet_count from log_events group by all),
 """ + SLOPES.replace("0.25", "0.2537"))
+oracle("stream_late_rows", ["log_events"], """select operator, count(*) as late from log_events, top,
+ (values ('patterns', 600000000::bigint), ('ticks', 0::bigint)) as o(operator, delay) where event_id % 50 = 0 and ts_us <= top_us // 1000 * 1000 - delay group by operator""",
+       "top as (select max(ts_us) as top_us from log_events where event_id % 50 <> 0)")

@@ -801,7 +801,7 @@ def hybrid_oversampled(spark, d):
 # ---- streams: a table replayed as files in time order, and what the stream wrote ----------------
 
 from ..sources import sinks  # noqa: E402
-from ..streaming import alerting, folds, windows  # noqa: E402
+from ..streaming import alerting, folds, late, windows  # noqa: E402
 
 END = "end-of-replay"
 
@@ -822,6 +822,7 @@ def replay(spark, rows, start, parts=3, closing=None):
     for stretch in stretches:
         stretch.write.mode("append").parquet(folder)
         start(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
+    return folder
 
 
 def drained(spark, rows, build, **how):
@@ -918,6 +919,26 @@ def stream_amof(spark, d):
     return out.where(F.col("source_ip") != END).select("source_ip", "tick", "first_anomalous_tick")
 
 
+@query
+def stream_late_rows(spark, d):
+    """Every fiftieth event comes after all others; how many of those each of two operators is too late for."""
+    rows = view(spark, d, "log_events").select("event_id", "ts_us", "source_ip")
+    delayed = F.col("event_id") % 50 == 0
+    path = new_folder(spark, "late")
+
+    def start(stream):
+        sides = [late.dead_letters(stream, path, name, delay).trigger(availableNow=True).start()
+                 for name, delay in (("patterns", 600.0), ("ticks", 0.0))]
+        for side in sides[1:]:
+            side.awaitTermination()
+        return sides[0]
+
+    folder = replay(spark, rows.where(~delayed), start)
+    rows.where(delayed).write.mode("append").parquet(folder)
+    start(spark.readStream.schema(rows.schema).parquet(folder)).awaitTermination()
+    return late.late_counts(spark, path, rows)
+
+
 @query
 def stream_ticks(spark, d):
     """One-minute ticks of every source."""
