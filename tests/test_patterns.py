@@ -133,6 +133,34 @@ def test_custom_sequence_and_udf_candidate(spark):
     assert {(r.source_ip, r.pattern_name, r.event_id) for r in got} == {("a", "first", 0), ("a", "then", 1)}
 
 
+def test_strict_order_against_a_loop(spark):
+    """Three steps in order, each after the one before and all inside the window, on random alerts with ties."""
+    rng = random.Random(11)
+    rows = [(f"s{rng.randrange(6)}", i, rng.randrange(0, 400) * SECOND, "h", "web", rng.choice("abcxyz")) for i in range(700)]
+    m = F.col("message")
+    steps = [P.Pattern(n, m == n, 5.0, 1) for n in "abc"]
+    last = P.Pattern("last", m == "x", 60.0, 1, requires=("a", "b", "c"), strict_order=True)
+    free = P.Pattern("free", m == "x", 60.0, 1, requires=("a", "b", "c"))
+    got = P.PatternSet([*steps, last, free]).alerts(spark.createDataFrame(rows, SCHEMA)).collect()
+    fired = {(r.source_ip, r.pattern_name): [] for r in got}
+    for r in got:
+        fired[r.source_ip, r.pattern_name].append(r.ts_us)
+    want = set()
+    for source in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == source), key=lambda r: (r[2], r[1]))
+        until = None
+        for r in mine:
+            now, width = r[2], 60 * SECOND
+            a, b, c = (fired.get((source, n), []) for n in "abc")
+            chain = any(x < y < z < now and now - x <= width for x in a for y in b for z in c)
+            recent = any(q[5] == "x" and now - width <= q[2] <= now for q in mine)
+            if chain and recent and (until is None or now >= until):
+                want.add((source, r[1]))
+                until = now + 30 * SECOND
+    assert {(r.source_ip, r.event_id) for r in got if r.pattern_name == "last"} == want and want
+    assert sum(r.pattern_name == "free" for r in got) > len(want)
+
+
 def test_recent_matches_keeps_last_ten(spark):
     rows = [("a", i, i * SECOND, "h", "ssh", "Failed password for root") for i in range(40)]
     df = spark.createDataFrame(rows, SCHEMA)

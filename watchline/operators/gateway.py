@@ -88,15 +88,10 @@ def _resolved(obs: DataFrame, cfg, chunk_rows: int) -> DataFrame:
 
     Chunks start from a guess (statistic 0, no alert); a chunk whose predecessor ends otherwise is run again from that
     end until nothing changes. Resets make runs from different starts meet quickly, so few chunks are run twice.
-    A gateway that fits one chunk needs none of this.
     """
     ship(obs.sparkSession)
     start = (F.lit(0.0).alias("in_stat"), F.lit(None).cast("long").alias("in_last"))
-    chunks = _chunked(obs, chunk_rows)
-    largest = obs.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= chunk_rows:
-        return _scanned(chunks.select("*", *start), cfg)
-    chunks = checkpointed(chunks)
+    chunks = checkpointed(_chunked(obs, chunk_rows))
     done = checkpointed(_scanned(chunks.select("*", *start), cfg))
     order = Window.partitionBy(KEY).orderBy("chunk")
     while True:

@@ -15,7 +15,8 @@ from .sliding import Sliding, sliding_counts
 @dataclass(frozen=True)
 class Pattern:
     """A named threshold. `candidate` and `distinct` are columns over event fields (Python UDF columns work too);
-    `requires` names patterns that must have alerted for the same source within this window."""
+    `requires` names patterns that must have alerted for the same source within this window, in any order; with `strict_order`
+    they must have alerted one after the other in the order given, all before the event."""
     name: str
     candidate: Column = field(compare=False)
     window_s: float = 60.0
@@ -24,6 +25,7 @@ class Pattern:
     description: str = ""
     distinct: Optional[Column] = field(default=None, compare=False)
     requires: tuple = ()
+    strict_order: bool = False
 
 
 def builtin_patterns() -> list:
@@ -94,7 +96,7 @@ class PatternSet:
         specs, work = {}, events
         for p in ready:
             specs[p.name] = Sliding(p.candidate, micros(p.window_s), p.distinct)
-            for r in p.requires:
+            for r in () if p.strict_order else p.requires:
                 flag = f"_fired_{r}"
                 if flag not in work.columns:
                     work = work.join(done[r].select("event_id", F.lit(True).alias(flag)), "event_id", "left")
@@ -103,16 +105,49 @@ class PatternSet:
         hits = []
         for p in ready:
             ok = F.col(f"`{p.name}`") >= p.min_count
-            for r in p.requires:
+            for r in () if p.strict_order else p.requires:
                 ok = ok & (F.col(f"`{p.name}~{r}`") > 0)
             hits.append(F.when(ok, F.struct(F.lit(p.name).alias("pattern_name"),
                                             F.col(f"`{p.name}`").alias("matched_count"))))
         long = (counted.select(key, "event_id", "ts_us", F.explode(F.array(*hits)).alias("h"))
                 .filter("h is not null").select(key, "event_id", "ts_us", "h.*"))
+        for p in ready:
+            if p.strict_order and p.requires:
+                long = long.filter(F.col("pattern_name") != p.name).unionByName(
+                    _after_chain(long.filter(F.col("pattern_name") == p.name), chains(p, done, key), micros(p.window_s), key))
         return first_per_window(long, [key, "pattern_name"], micros(self.cfg.pattern_cooldown_s),
                                 inclusive=False, carry=("matched_count",))
 
 
+def chains(pattern: Pattern, done: dict, key: str) -> DataFrame:
+    """(key, start_us, end_us): alerts of the last required pattern with the latest start of a chain through all of them.
+
+    Step i of a chain is an alert of requirement i after one of requirement i - 1. The latest start that has reached a step
+    is a running maximum over the alerts of a source, which cooldowns keep few.
+    """
+    fires = None
+    for i, name in enumerate(pattern.requires):
+        part = done[name].select(key, "ts_us", F.lit(i).alias("step"))
+        fires = part if fires is None else fires.unionByName(part)
+    earlier = Window.partitionBy(key).orderBy("ts_us").rangeBetween(Window.unboundedPreceding, -1)
+    fires = fires.withColumn("reached", F.when(F.col("step") == 0, F.col("ts_us")))
+    for i in range(1, len(pattern.requires)):
+        best = F.max(F.when(F.col("step") == i - 1, F.col("reached"))).over(earlier)
+        fires = fires.withColumn("best", best).withColumn(
+            "reached", F.when(F.col("step") == i, F.col("best")).otherwise(F.col("reached"))).drop("best")
+    return fires.filter((F.col("step") == len(pattern.requires) - 1) & F.col("reached").isNotNull()).select(
+        key, F.col("reached").alias("start_us"), F.col("ts_us").alias("end_us"))
+
+
+def _after_chain(hits: DataFrame, found: DataFrame, window: int, key: str) -> DataFrame:
+    """Hits after a chain that began at most a window before them; they meet by source and time bucket."""
+    first, last = F.floor(F.col("end_us") / window), F.floor((F.col("start_us") + window) / window)
+    there = found.filter(F.col("end_us") - F.col("start_us") <= window).select(
+        F.col(key).alias("_k"), "start_us", "end_us", F.explode(F.sequence(first, last)).alias("_b"))
+    return hits.join(there, (F.col(key) == F.col("_k")) & (F.floor(F.col("ts_us") / window) == F.col("_b"))
+                     & (F.col("ts_us") > F.col("end_us")) & (F.col("ts_us") - F.col("start_us") <= window), "left_semi")
+
+
 def recent_matches(events: DataFrame, alerts: DataFrame, pattern: Pattern, k: int = 10,
                    key: str = "source_ip") -> DataFrame:
     """Each alert of one pattern with its last k candidate events as an array."""

@@ -493,3 +493,9 @@ oracle("stream_amof", ["log_events"], "select node as source_ip, tick, min(tick)
 oracle("stream_late_rows", ["log_events"], """select operator, count(*) as late from log_events, top,
  (values ('patterns', 600000000::bigint), ('ticks', 0::bigint)) as o(operator, delay) where event_id % 50 = 0 and ts_us <= top_us // 1000 * 1000 - delay group by operator""",
        "top as (select max(ts_us) as top_us from log_events where event_id % 50 <> 0)")
+oracle("strict_sequence", ["log_events"], "select source_ip, event_id, ts_us, matched_count from a_takeover",
+       COUNTS.replace(frame(120), frame(300)) + ",\n" + pattern_ctes("port_scan", 5) + ",\n" + pattern_ctes("lateral_movement", 4) + """,
+q_takeover as (select c.source_ip, c.event_id, c.ts_us, c.logins as matched_count from counted c where c.logins >= 1 and exists (
+  select 1 from a_port_scan s join a_lateral_movement m on s.source_ip = m.source_ip and s.ts_us < m.ts_us
+  where s.source_ip = c.source_ip and m.ts_us < c.ts_us and c.ts_us - s.ts_us <= 300000000)),
+""" + thin("a_takeover", "q_takeover", ["source_ip"], COOLDOWN, "matched_count"))

@@ -191,6 +191,16 @@ def custom_pattern(spark, d):
     return found.select("source_ip", "event_id", "matched_count", "severity", "description")
 
 
+@query
+def strict_sequence(spark, d):
+    """Logins after a port scan and then lateral movement, in this order, within five minutes."""
+    scan, move = (p for p in P.builtin_patterns() if p.name in ("port_scan", "lateral_movement"))
+    taken = P.Pattern("takeover", X.is_successful_login(F.col("message")), 300.0, 1, "critical",
+                      requires=("port_scan", "lateral_movement"), strict_order=True)
+    found = P.PatternSet([scan, move, taken]).alerts(view(spark, d, "log_events"))
+    return found.filter("pattern_name = 'takeover'").select("source_ip", "event_id", "ts_us", "matched_count")
+
+
 @query
 def recent_matches(spark, d):
     ev = view(spark, d, "log_events")
@@ -277,7 +287,7 @@ def amof_state(spark, d):
 
 @query
 def gateway_sprt(spark, d):
-    out = gateway.gateway_alerts(view(spark, d, "gateway_obs"))
+    out = gateway.gateway_alerts(view(spark, d, "gateway_obs"), chunk_rows=2_000)
     return out.select("gateway_id", "event_id", F.round("sprt_statistic", 6).alias("sprt_statistic"),
                       F.round("estimated_pdp", 6).alias("estimated_pdp"),
                       F.col("observation_count").cast("long").alias("observation_count"))
