@@ -4,7 +4,8 @@ Words are lower-cased and reduced to letters and digits. A document leaks an ite
 agrees with a window of the other in all but MISSES words, at equal places. Fixed masks find such windows: the places of a
 window fall into four interleaved classes (place modulo 4), and each of the six masks reads two classes and ignores two.
 Two substitutions touch at most two classes, so one mask reads none of them: no window is missed. Hits on equal hashes are
-verified word by word. Items of 5 to 11 words must occur whole; shorter ones say too little and are never found.
+verified word by word. Items of fewer words are windows of their own: of 8 to 11 words with one substitution, under two masks
+that read every other place; of 5 to 7 words whole; of fewer words only where they are a document's whole text.
 
 Only places whose hash may belong to the benchmark leave a scanning task: a Bloom filter of fixed size (2^25 bits) over the
 benchmark's hashes is sent to all tasks. A benchmark too large for it lets more places pass to the join, and no fewer.
@@ -26,7 +27,7 @@ from ..ship import ship
 from .tables import join_small, stored, text_key
 from .words import hash_words, mixed, record_batch, signed, slices, window_hashes, word_ids
 
-SPAN, MISSES, SHORTEST = 12, 2, 5
+SPAN, MISSES, ONE_MISS, SHORTEST = 12, 2, 8, 5
 MASKS = tuple(tuple(i for i in range(SPAN) if i % 4 in two) for two in combinations(range(4), 2))
 BLOOM_BITS = 25
 
@@ -40,13 +41,36 @@ def tokens(texts: pa.Array):
     return hash_words(plain)[ids[full]], before[ends]
 
 
+def masks_of(width):
+    """(number, offsets that count, None for all) of the masks for windows of this width.
+
+    Four residues of which two count leave one mask untouched by MISSES changed words; two residues, by one; all, by none.
+    """
+    if width == SPAN:
+        return list(enumerate(MASKS))
+    if width >= ONE_MISS:
+        return [(40 + r, tuple(range(r, width, 2))) for r in range(2)]
+    return [(63, None)]
+
+
+def misses(width):
+    """Changed words that are tolerated in a window of this width, as a column."""
+    return F.when(width == SPAN, MISSES).when(width >= ONE_MISS, 1).otherwise(0)
+
+
 def seeds(hashes, ends, widths=()):
-    """Yield (seed hash, first word, width) arrays: SPAN-wide windows under each mask, whole windows of other widths."""
-    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    for width, keep in [(SPAN, m) for m in MASKS] + [(w, None) for w in widths]:
+    """Yield (seed hash, first word, width) arrays: windows of SPAN words and of the other widths, under each of their masks.
+
+    Windows of fewer than SHORTEST words are whole texts.
+    """
+    sizes = np.diff(ends, prepend=0)
+    owner = np.repeat(np.arange(len(ends)), sizes)
+    for width, number, keep in [(w, i, m) for w in (SPAN, *widths) for i, m in masks_of(w)]:
         n = max(0, len(hashes) - width + 1)
         at = np.flatnonzero(owner[:n] == owner[width - 1:]) if n else np.zeros(0, np.int64)
-        tag = np.uint64(width * 64 + (MASKS.index(keep) if keep else 63))
+        if width < SHORTEST:
+            at = at[sizes[owner[at]] == width]
+        tag = np.uint64(width * 64 + number)
         yield mixed(window_hashes(hashes, width, keep)[at] ^ mixed(np.full(1, tag))), at, width
 
 
@@ -93,7 +117,7 @@ def item_seeds(classes: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(ends)), ends - starts)
             lengths = ends - starts
             found = [(h, at, w) if w == SPAN else (h[lengths[owner[at]] == w], at[lengths[owner[at]] == w], w)
-                     for h, at, w in seeds(hashes, ends, range(SHORTEST, SPAN))]
+                     for h, at, w in seeds(hashes, ends, range(1, SPAN))]
             yield _rows(SCHEMA, batch.column("item_id"), owner, starts, hashes, found)
 
     return classes.select("item_id", "words").mapInArrow(run, DDL)
@@ -155,14 +179,14 @@ def _leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
     classes = stored(item_classes(items), "items")
     known = stored(item_seeds(classes), "seeds")
     widths = sorted(r[0] for r in classes.select(F.size("words").alias("w")).where(
-        f"w >= {SHORTEST} and w < {SPAN}").distinct().collect())  # at most 7 rows
+        f"w >= 1 and w < {SPAN}").distinct().collect())  # at most 11 rows
     found = doc_seeds(texts, bloom(known), widths)
     b = known.select(F.col("id").alias("item"), F.col("seed").alias("s"), F.col("words").alias("w"))
     pairs = join_small(found, b, F.col("seed") == F.col("s"), limit=100_000)
     same = F.aggregate(F.zip_with("words", "w", lambda x, y: (x == y).cast("int")), F.lit(0), lambda a, x: a + x)
     width = F.size("w")
     pairs = pairs.where(F.size("words") == width).withColumn("same", same)
-    pairs = pairs.where(F.col("same") >= F.when(width == SPAN, SPAN - MISSES).otherwise(width))
+    pairs = pairs.where(F.col("same") >= width - misses(width))
     out = pairs.groupBy("id", "item").agg(
         F.max("same").alias("matched"), F.min("place").alias("first_word"),
         F.max(F.col("place") + width).alias("end_word"))
