@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from watchline.llm import decontaminate, graph, html, jaccard, langid, lines, mixing, quality, queries, rules, sharding, urls
+from watchline.llm import decontaminate, graph, html, jaccard, langid, lines, mixing, quality, queries, rules, sharding, tables, urls
 from watchline.storage import new_folder
 
 SF = "/root/testdata/sf0.001"
@@ -160,6 +160,19 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == sorted(set(range(150)) - {i for i, _ in want})
 
 
+def test_lowest_of_each_group(spark):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 700 == 1, "few").otherwise(F.lit(None)).alias("g"), "id",
+        F.xxhash64("id").alias("h"))
+    got = tables.lowest(rows, "g", "h", 100).collect()
+    everything = rows.collect()
+    for g in ("a", "few", None):
+        want = sorted(r.h for r in everything if r.g == g)[:100]
+        mine = sorted(r.h for r in got if r.g == g)
+        assert mine[:100] == want and len(mine) <= 600
+    assert tables.lowest(rows.limit(0), "g", "h", 100).count() == 0
+
+
 def test_masks_miss_nothing():
     for width in range(8, 12):
         for bad in range(width):

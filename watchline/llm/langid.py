@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..ship import ship
+from .tables import lowest
 from .words import record_batch, slices
 
 WINDOW, HIDDEN = 64, 8
@@ -35,8 +36,9 @@ def sample(labelled: DataFrame, pieces: int = PIECES) -> DataFrame:
     """lang, h, piece: the bounded fitting sample of (doc_id, text, lang); h is the place in the hash order."""
     h = _order()
     room = F.greatest(F.length("text") - PIECE, F.lit(0)) + 1
-    rows = labelled.where("lang is not null and length(text) > 0").select(
-        "lang", h.alias("h"), F.substr("text", (F.pmod(F.xxhash64(h), room) + 1).cast("int"), F.lit(PIECE)).alias("piece"))
+    rows = labelled.where("lang is not null and length(text) > 0").select("lang", h.alias("h"), "text")
+    rows = lowest(rows, "lang", "h", pieces).select("lang", "h", F.substr(
+        "text", (F.pmod(F.xxhash64("h"), room) + 1).cast("int"), F.lit(PIECE)).alias("piece"))
     n = F.row_number().over(Window.partitionBy("lang").orderBy("h", "piece"))
     return rows.withColumn("n", n).where(F.col("n") <= pieces).select("lang", "h", "piece")
 

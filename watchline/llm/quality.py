@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..ship import ship
+from .tables import lowest
 from .words import hash_words, mixed, record_batch, slices, window_hashes, word_ids
 
 SAMPLE = 1500  # labelled documents of each class
@@ -60,7 +61,8 @@ def sampled(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> list
     """(doc_id, quality, features as bytes) of the bounded sample."""
     clear = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("quality").alias("_high")).where("quality = _high")
-    n = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    n = F.row_number().over(Window.partitionBy("quality").orderBy("_h", "doc_id"))
+    clear = lowest(clear.select("doc_id", "quality", F.xxhash64("doc_id").alias("_h")), "quality", "_h", per_class)
     chosen = clear.withColumn("_n", n).where(F.col("_n") <= per_class).select(F.col("doc_id").alias("id"), "quality")
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("found", pa.binary())])

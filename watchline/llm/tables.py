@@ -38,6 +38,19 @@ def join_small(left: DataFrame, small: DataFrame, on, how="inner", limit=100_000
     return left.join(F.broadcast(small) if small.count() <= limit else small, on, how)
 
 
+def lowest(rows: DataFrame, group: str, h: str, n: int) -> DataFrame:
+    """The rows that can be among the n lowest of their group by a 64-bit hash column, and a few times n at most.
+
+    Hashes are spread evenly, so a bound follows from the size of the group: four times n are expected below it. Sizes are counted
+    first, with partial sums, and no task sees a whole group.
+    """
+    counts = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_size"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * n) / F.col("_size"))
+    bound = F.when(share >= 1, F.lit(2 ** 63 - 1)).otherwise((share * F.lit(2.0 ** 64) - F.lit(2.0 ** 63)).cast("long"))
+    counts = stored(counts.select("_g", bound.alias("_bound")), "bounds")
+    return join_small(rows, counts, F.col(group).eqNullSafe(F.col("_g"))).where(F.col(h) <= F.col("_bound")).drop("_g", "_bound")
+
+
 def text_key(text="text"):
     """A 128-bit name of the text, null for null: with doc_id, whether null or shared, it names a row up to equal ones."""
     return F.md5(F.col(text))
@@ -48,4 +61,4 @@ def same_row(doc_id: str, key: str):
     return F.col("doc_id").eqNullSafe(F.col(doc_id)) & text_key().eqNullSafe(F.col(key))
 
 
-__all__ = ["WORD", "table", "stored", "text_key", "same_row", "checkpointed", "partitions", "join_small"]
+__all__ = ["WORD", "lowest", "table", "stored", "text_key", "same_row", "checkpointed", "partitions", "join_small"]
