@@ -3,7 +3,9 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.verdicts import normalize_label
-from ..sources.csv import (LABEL_NAMES, discover_sources, find_column, paired_label_column, quoted, read_raw_csv)
+from ..sources.csv import quoted, training_sources
+from ..sources.records import csv_records
+from ..storage import checkpointed
 
 SAMPLE_ROWS = 5
 MAX_COLUMNS = 12
@@ -53,43 +55,37 @@ def profile(df: DataFrame, by: str, order: str, label: Column = None, columns=No
     return out.join(dist, by)
 
 
-def _csv_profile(spark, name, kind, paths, label_column, labels: DataFrame, notes):
-    data = read_raw_csv(spark, paths[0])
-    columns = data.columns
-    rows = data.withColumn("_file", F.lit(paths[0])).withColumn("_at", F.monotonically_increasing_id())
-    one = profile(rows, "_file", "_at", None, columns).drop("label_distribution")
-    if label_column is not None:
-        dist = label_distribution(labels.withColumn("_file", F.lit(paths[0])), quoted(label_column), ["_file"])
-        dist = dist.groupBy("_file").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n"))))
-                                         .alias("label_distribution"))
-        one = one.join(dist, "_file", "left")
-    else:
-        one = one.withColumn("label_distribution", F.lit(None).cast("map<string,bigint>"))
-    return one.select(
-        F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.array(*[F.lit(p) for p in paths]).alias("paths"), "rows",
-        "columns", F.lit(label_column).cast("string").alias("label_column"), "label_distribution", "sample_rows",
-        F.array(*[F.lit(n) for n in notes]).cast("array<string>").alias("notes"))
+def csv_catalogue(records: DataFrame) -> DataFrame:
+    """One row per CSV source of a table of records (file, record, fields), whatever columns the files have: one plan for all."""
+    sources = training_sources(records)
+    named = lambda c: F.transform(c, lambda n, i: F.when(
+        n.isNull() | (F.size(F.filter(c, lambda m: m.eqNullSafe(n))) > 1), F.concat(F.coalesce(n, F.lit("_c")), i)).otherwise(n))
+    few = lambda c: F.when(F.size(c) <= MAX_COLUMNS, c).otherwise(F.concat(
+        F.slice(c, 1, MAX_COLUMNS - 1), F.slice(c, -1, 1)))
+    sources = checkpointed(sources.withColumn("columns", named(F.col("names"))).withColumn(
+        "label_file", F.coalesce("labels", "dataset")).withColumn(
+        "label_column", F.get(named(F.when(F.col("kind") == "paired_csv", F.col("label_names")).otherwise(F.col("names"))),
+                              F.col("label_at").cast("int"))))
+    first = records.where((F.col("record") >= 1) & (F.col("record") <= SAMPLE_ROWS)).join(
+        sources.select(F.col("dataset").alias("file"), "columns"), "file").where(F.size("fields") == F.size("columns"))
+    sample = F.to_json(F.map_from_arrays(few(F.col("columns")), F.transform(few(F.col("fields")), sample_text)))
+    samples = first.groupBy(F.col("file").alias("dataset")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("record", sample.alias("s")))), lambda x: x["s"]).alias("sample_rows"))
+    marked = records.where("record > 0").join(
+        sources.where("label_at is not null").select(F.col("label_file").alias("file"), "dataset", "label_at"), "file")
+    dist = label_distribution(marked, F.get("fields", F.col("label_at").cast("int")), ["dataset"]).groupBy("dataset").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("label_distribution"))
+    stem = F.regexp_extract("dataset", r"([^/]*)\.csv$", 1)
+    return sources.join(samples, "dataset", "left").join(dist, "dataset", "left").select(
+        F.when(F.col("kind") == "paired_csv", F.regexp_replace(stem, "_dataset$", "")).otherwise(stem).alias("name"), "kind",
+        F.array_compact(F.array("dataset", "labels")).alias("paths"), F.col("n").cast("long").alias("rows"), "columns", "label_column",
+        "label_distribution", F.coalesce("sample_rows", F.array().cast("array<string>")).alias("sample_rows"),
+        F.array_compact(F.array("problem")).alias("notes"))
 
 
 def scan_datasets(spark: SparkSession, root: str) -> DataFrame:
-    """Catalogue of every CSV source and text log under a folder; one plan per file, rows are counted by parsing."""
-    out = None
-    for row in discover_sources(spark, root).orderBy("kind", "dataset").toLocalIterator():
-        stem = row.dataset.rsplit("/", 1)[-1][:-len(".csv")]
-        notes, label, labels = [], None, None
-        if row.kind == "paired_csv":
-            labels, stem, paths = read_raw_csv(spark, row.labels), stem[:-len("_dataset")], [row.dataset, row.labels]
-            try:
-                label = paired_label_column(labels.columns)
-            except ValueError as exc:
-                notes.append(str(exc))
-        else:
-            labels, paths = read_raw_csv(spark, row.dataset), [row.dataset]
-            label = find_column(labels.columns, LABEL_NAMES)
-            if label is None:
-                notes.append("No label column found. Expected one of: " + ", ".join(LABEL_NAMES))
-        part = _csv_profile(spark, stem, row.kind, paths, label, labels, notes)
-        out = part if out is None else out.unionByName(part)
+    """Catalogue of every CSV source and text log under a folder; rows are counted by parsing, all files in one plan."""
+    out = csv_catalogue(csv_records(spark, root, recursive=True))
     logs = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{log,txt}").text(root)
             .withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
             .filter("value <> ''").withColumnRenamed("value", "line"))
@@ -98,4 +94,4 @@ def scan_datasets(spark: SparkSession, root: str) -> DataFrame:
         F.array("_file").alias("paths"), "rows", F.array().cast("array<string>").alias("columns"),
         F.lit(None).cast("string").alias("label_column"), "label_distribution", "sample_rows",
         F.array().cast("array<string>").alias("notes"))
-    return log_part if out is None else out.unionByName(log_part)
+    return out.unionByName(log_part)

@@ -7,12 +7,14 @@ from ..functions.text import names_where
 from ..functions.verdicts import escalate
 
 
-def with_last_motion(detections: DataFrame, motion: DataFrame, cfg=DEFAULTS, salts: int = 8) -> DataFrame:
+def with_last_motion(detections: DataFrame, motion: DataFrame, cfg=DEFAULTS, salts: int = None) -> DataFrame:
     """Adds motion_ts_us: the latest motion at or before the event and at most the motion window old (else null).
 
     Motion has no source key, so the as-of match is done per time bucket of the window's length, each split by a
-    salt; distinct motion times are copied to their own and the next bucket of every salt.
+    salt, as many as the session has shuffle partitions; distinct motion times are copied to their own and the next bucket
+    of every salt.
     """
+    salts = salts or int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     window = micros(cfg.motion_window_s)
     bucket = F.floor(F.col("ts_us") / window)
     left = detections.withColumn("_b", bucket).withColumn("_salt", F.pmod(F.hash("event_id"), F.lit(salts)))
@@ -48,6 +50,7 @@ def fuse(detections: DataFrame, motion: DataFrame, cfg=DEFAULTS) -> DataFrame:
 
 def notices(fused: DataFrame) -> DataFrame:
     """SMS texts for critical detections with motion."""
+    # Fixed value: the text of the message.
     text = F.format_string("[IDS CRITICAL] %s from %s on %s. Physical motion also detected. Conf=%.2f",
                            F.upper("predicted_label"), F.col("source_ip"), F.col("hostname"), F.col("confidence"))
     return fused.filter("gsm_alert_sent").select("event_id", "ts_us", text.alias("sms"))

@@ -112,6 +112,7 @@ def gateway_alerts(obs: DataFrame, cfg=DEFAULTS, chunk_rows: int = 200_000) -> D
     total = F.col("total_forwarded") + F.col("total_dropped")
     pdp = F.when(total > 0, F.col("total_dropped").cast("double") / total).otherwise(0.0)
     normal, attack = [f"{p:.1%}".replace("%", "%%") for p in (cfg.sprt_p0, cfg.sprt_p1)]
+    # Fixed value: the text of the alert.
     text = F.format_string(
         f"Gateway %s packet-drop probability %.1f%% exceeds SPRT threshold (normal={normal}, attack={attack})",
         F.col(KEY), F.col("estimated_pdp") * 100)
