@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SECOND
 from watchline.config import DEFAULTS
 from watchline.operators import alerts, fusion, profiler, routing, votes
+from watchline.plans.queries import QUERIES
 
 
 def test_wormhole_needs_the_reverse_claim_first(spark):
@@ -87,6 +88,16 @@ def test_consensus_and_threats(spark):
     assert strict == {"a": "suspicious", "b": None, "c": None, "d": "malicious"}
 
 
+def test_active_threats_can_be_written(spark, tmp_path):
+    rows = [(i, 1_704_067_200 + i, i % 3, "error", 1.0, '{"k": 12}') for i in range(25, 50)]
+    df = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string")
+    df.selectExpr("event_id", "cast(timestamp_seconds(s) as timestamp_ntz) as ts", "user_id * 5 as user_id", "event_type", "value", "props").write.parquet(
+        str(tmp_path / "events.parquet"))
+    QUERIES["active_threats"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    got = {r.source_ip: (r.verdict, r.sniffer_count) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {f"10.0.0.{u}": ("suspicious", 1) for u in (0, 5, 10)}
+
+
 def test_vote_depth(spark):
     rows = [(i, "a", "s", "malicious" if i == 0 else "suspicious", 0.9, i * SECOND) for i in range(51)]
     df = spark.createDataFrame(rows, "event_id long, source_ip string, sniffer_id string, predicted_label string, confidence double, ts_us long")

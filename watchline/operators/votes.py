@@ -63,10 +63,13 @@ def active_threats(detections: DataFrame, now=None, registered: DataFrame = None
 
     window_s changes which votes are counted, not which ones decide.
     """
-    now = latest(detections) if now is None else now
+    sent = kept_votes(forwarded_votes(detections, cfg), cfg)
+    if now is None:
+        # Joined as a row: Spark 4.1 cannot write a plan whose aggregate compares with the scalar subquery over the same rows.
+        sent, now = sent.crossJoin(F.broadcast(detections.agg(F.max("ts_us").alias("_now")))), F.col("_now")
     age = now - F.col("ts_us")
     deciding, counted = age <= micros(cfg.vote_window_s), age <= micros(window_s or cfg.vote_window_s)
-    per = kept_votes(forwarded_votes(detections, cfg), cfg).groupBy("source_ip", "sniffer_id").agg(
+    per = sent.groupBy("source_ip", "sniffer_id").agg(
         F.count_if(deciding).alias("recent"),
         F.count_if(deciding & (F.col("predicted_label") == "malicious")).alias("malicious"),
         F.count_if(counted).alias("n"), F.max(F.when(counted, F.col("ts_us"))).alias("last"))
