@@ -53,6 +53,23 @@ def test_dedup(spark, tmp_path):
     assert got == {r.event_id for r in detect.dedup_anchors(batch).collect()}
 
 
+def state_rows(spark, tmp_path, df):
+    """The rows that the last micro-batch with rows left in the state of each operator."""
+    query = (df.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+             .start(str(tmp_path / "out")))
+    query.awaitTermination(300)
+    return max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress)
+
+
+def test_state_is_kept_by_group_and_not_by_key(spark, tmp_path):
+    rows = [(f"k{i}", i, (1000 + i) * SECOND, "h", None if i % 2 else "s", "m") for i in range(1500)]
+    stream, _ = files(spark, tmp_path, rows, BASE + ", hostname string, service string, message string", parts=1)
+    out = folds.dedup(stream, **DELAY)
+    assert 0 < state_rows(spark, tmp_path, out) <= folds.GROUPS
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.source_ip, r.service, r.event_id, r.deduplicated) for r in got} == {(r[0], r[4], r[1], False) for r in rows}
+
+
 def test_patterns(spark, tmp_path):
     stream, batch = files(spark, tmp_path, events(seed=8, keys=20), EVENT_SCHEMA)
     got = drain(spark, tmp_path, folds.patterns(stream, P.builtin_patterns(), **DELAY))

@@ -231,7 +231,7 @@ def dos_flood(spark, d):
 from ..operators import (balance, catalog, classify, dissemination, fusion, gateway, hybrid, immune, metrics,  # noqa: E402
                          online, profiler, protocol, routing, trust, votes)
 from ..sources import csv as csv_sources, events as event_sources  # noqa: E402
-from ..storage import new_folder  # noqa: E402
+from ..storage import new_folder, written  # noqa: E402
 
 
 @query
@@ -823,6 +823,7 @@ def replay(spark, rows, start, parts=3, closing=None):
     row of any row, a day later, so that every window closes; its values mark it for removal.
     """
     folder = new_folder(spark, "replay")
+    rows = written(rows, "replayed")  # made once, not for each stretch
     low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
     part = F.floor((F.col("ts_us") - F.lit(low)) * parts / F.lit(high - low + 1))
     stretches = [rows.filter(part == i) for i in range(parts)]

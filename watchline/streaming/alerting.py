@@ -31,14 +31,14 @@ def detections_stream(scored: DataFrame, cfg=DEFAULTS, delay: str = "10 minutes"
     rest = [f for f in done.schema.fields if f.name not in keys]
 
     def step(state, key, rows):
-        starts = np.ones(len(rows), bool)
+        starts = np.ones(len(rows["ts_us"]), bool)
         if not key[-1]:
             state, starts = folds.anchored(state, rows, window)
-        return state, [rows[f.name].to_numpy() for f in rest] + [~starts]
+        return state, np.arange(len(starts)), {"deduplicated": (~starts).tolist()}
 
     schema = T.StructType([done.schema[k] for k in keys] + rest
                                 + [T.StructField("deduplicated", T.BooleanType())])
-    return folds.fold(done, keys, schema, "until long", (None,), step, cfg.dedup_window_s, delay)
+    return folds.fold(done, keys, schema, None, step, cfg.dedup_window_s, delay, passed=[f.name for f in rest])
 
 
 def run_alerts(detections: DataFrame, alerts: str, checkpoint: str, outbox: str = None, cfg=DEFAULTS,

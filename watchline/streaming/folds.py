@@ -1,10 +1,12 @@
 """Per-key stateful streams. Each has a batch twin in watchline.operators with the same meaning.
 
 Rows are taken in (ts_us, event_id) order inside a micro-batch and in arrival order between micro-batches; rows
-older than the watermark are dropped (`late` keeps them). State is one typed record per key here, lists in `stateful`; both
-expire by event time.
+older than the watermark are dropped (`late` keeps them). A group of Spark holds many keys, dealt by hash, so that a micro-batch
+pays for groups and rows and not for each key; its state is one record with an entry for each key, which expires by event time.
 """
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -23,31 +25,65 @@ def timed(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream if "event_time" in stream.columns else event_timed(stream, delay)
 
 
-def fold(stream: DataFrame, keys, schema, state: str, first: tuple, step, idle_s: float, delay: str = "10 minutes") -> DataFrame:
-    """Run `step(state, key, rows) -> (state, output columns after the key)` over each key and micro-batch.
+#: Groups that the keys of a stream are dealt to; fixed, since stored state is found by the number of its group.
+GROUPS = 256
+
 
-    The state is one typed record of fixed size; rows come as a frame in (ts_us, event_id) order and columns go out as
-    sequences of equal length. A key idle for idle_s (event time) is forgotten.
+def fold(stream: DataFrame, keys, schema, first, step, idle_s: float, delay: str = "10 minutes", needs=(),
+         passed=("event_id", "ts_us")) -> DataFrame:
+    """Run `step(state, key, rows) -> (state, at, columns)` over each key and micro-batch.
+
+    `rows` has an array for each of ts_us and `needs`, in (ts_us, event_id) order. A row goes out for each place in `at`: the key,
+    the `passed` columns there, and those of `columns` (name -> values). States are plain Python values. A key idle for idle_s
+    (event time) is forgotten.
     """
     ship(stream.sparkSession)
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    names, n_keys = fields.names, len(keys)
-
-    def run(key, frames, memory):
-        if memory.hasTimedOut:
+    names, idle_ms = fields.names, int(idle_s * 1000)
+    wanted = ["ts_us", *needs]
+
+    def left(held, memory):
+        """Keep what has not expired; the group wakes up when the next of its keys does."""
+        now = memory.getCurrentWatermarkMs()
+        held = {k: v for k, v in held.items() if v[1] >= now}
+        if not held:
             memory.remove()
             return
-        rows = pd.concat(list(frames)).sort_values(["ts_us", "event_id"], kind="stable")
-        now, columns = step(memory.get if memory.exists else first, key, rows)
-        memory.update(tuple(now))
-        last = int(rows["ts_us"].iloc[-1]) // 1000 + int(idle_s * 1000) + 1
-        memory.setTimeoutTimestamp(max(last, memory.getCurrentWatermarkMs() + 1))
-        size = len(columns[0]) if columns else 0
-        made = {n: pd.Series([k] * size, dtype=object) for n, k in zip(names, key)}
-        yield pd.DataFrame(made | dict(zip(names[n_keys:], columns)), columns=names)
+        memory.update((pickle.dumps(list(held.items())),))
+        memory.setTimeoutTimestamp(max(min(v[1] for v in held.values()), now + 1))
 
-    return timed(stream, delay).groupBy(*keys).applyInPandasWithState(
-        run, fields, T._parse_datatype_string(state), "append", GroupStateTimeout.EventTimeTimeout)
+    def run(group, frames, memory):
+        held = dict(pickle.loads(memory.get[0])) if memory.exists else {}
+        if memory.hasTimedOut:
+            left(held, memory)
+            return
+        frame = pd.concat(list(frames), ignore_index=True)
+        code = np.zeros(len(frame), np.int64)
+        for k in keys:
+            one, _ = pd.factorize(frame[k], use_na_sentinel=False)
+            code = np.unique(code * (int(one.max()) + 1) + one, return_inverse=True)[1]
+        frame = frame.assign(_code=code).sort_values(["_code", "ts_us", "event_id"], kind="stable", ignore_index=True)
+        code = frame["_code"].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1, [len(code)]]).tolist()
+        heads = zip(*[frame[k].iloc[cuts[:-1]].astype(object).where(lambda x: x.notna(), None).tolist() for k in keys])
+        values = {c: frame[c].to_numpy() for c in wanted}
+        now, places, made = memory.getCurrentWatermarkMs(), [], {n: [] for n in names if n not in (*keys, *passed)}
+        for key, a, b in zip(heads, cuts, cuts[1:]):
+            state, at, columns = step(held[key][0] if key in held else first, key, {c: v[a:b] for c, v in values.items()})
+            held[key] = state, max(int(values["ts_us"][b - 1]) // 1000 + idle_ms + 1, now + 1)
+            if len(at):
+                places.append(np.asarray(at, np.int64) + a)
+                for n, v in columns.items():
+                    made[n].extend(v)
+        left(held, memory)
+        at = np.concatenate(places) if places else np.zeros(0, np.int64)
+        kept = {n: frame[n].iloc[at].reset_index(drop=True) for n in (*keys, *passed)}
+        yield pd.DataFrame(kept | {n: pd.Series(v, dtype=None if v else object) for n, v in made.items()}, columns=names)
+
+    rows = timed(stream, delay)
+    used = dict.fromkeys([*keys, "event_id", "ts_us", "event_time", *needs, *passed])
+    return rows.select(F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).alias("_group"), *used).groupBy("_group").applyInPandasWithState(
+        run, fields, T._parse_datatype_string("held binary"), "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _typed(df_schema, keys, more):
@@ -56,11 +92,14 @@ def _typed(df_schema, keys, more):
 
 def anchored(state, rows, quiet_us):
     """(state, whether each row starts a quiet time); the state is the end of the last one."""
-    ts = rows["ts_us"].to_numpy(np.int64)
-    at, until = stateful.fires(ts, np.arange(len(ts)), state[0], quiet_us)
+    ts = rows["ts_us"].astype(np.int64)
+    if len(ts) == 1:
+        start = state is None or int(ts[0]) >= state
+        return int(ts[0]) + quiet_us if start else state, np.array([start])
+    at, until = stateful.fires(ts, np.arange(len(ts)), state, quiet_us)
     starts = np.zeros(len(ts), bool)
     starts[at] = True
-    return (until,), starts
+    return until, starts
 
 
 def dedup(stream: DataFrame, keys=("source_ip", "hostname", "service", "message"), cfg=DEFAULTS, **kw) -> DataFrame:
@@ -69,10 +108,10 @@ def dedup(stream: DataFrame, keys=("source_ip", "hostname", "service", "message"
 
     def step(state, key, rows):
         state, starts = anchored(state, rows, window)
-        return state, [rows["event_id"].to_numpy(), rows["ts_us"].to_numpy(), ~starts]
+        return state, np.arange(len(starts)), {"deduplicated": (~starts).tolist()}
 
     schema = _typed(stream.schema, keys, "event_id long, ts_us long, deduplicated boolean")
-    return fold(stream, keys, schema, "until long", (None,), step, cfg.dedup_window_s, **kw)
+    return fold(stream, keys, schema, None, step, cfg.dedup_window_s, **kw)
 
 
 def patterns(stream: DataFrame, specs, key: str = "source_ip", cfg=DEFAULTS, **kw) -> DataFrame:
@@ -93,22 +132,23 @@ def patterns(stream: DataFrame, specs, key: str = "source_ip", cfg=DEFAULTS, **k
     quiet = micros(cfg.pattern_cooldown_s)
 
     schema = _typed(stream.schema, [key], "pattern_name string, event_id long, ts_us long, matched_count long, severity string")
-    processor = stateful.Patterns(spec, order, quiet, micros(cfg.pattern_idle_s), schema.names)
-    return stateful.with_state(timed(marked, **kw), [key], processor, schema)
+    processor = stateful.Patterns(spec, order, quiet)
+    needs = [f"{c}_{i}" for i in range(len(spec)) for c in ("candidate", "value")]
+    return fold(marked, [key], schema, processor.first, processor.step, cfg.pattern_idle_s, needs=needs, **kw)
 
 
 def flood(stream: DataFrame, key: str = "source_ip", cfg=DEFAULTS, **kw) -> DataFrame:
     """(key, event_id, ts_us, flag): dos_flood_detected / dos_flood_ongoing."""
     schema = _typed(stream.schema, [key], "event_id long, ts_us long, flag string")
-    return stateful.with_state(timed(stream, **kw), [key], stateful.flood_processor(schema, cfg), schema)
+    processor = stateful.flood_processor(cfg)
+    return fold(stream, [key], schema, processor.first, processor.step, cfg.flood_cooldown_s + cfg.flood_window_s, **kw)
 
 
 def gateway_sprt(stream: DataFrame, cfg=DEFAULTS, idle_s: float = 30 * 86400.0, **kw) -> DataFrame:
     """(gateway_id, event_id, ts_us, sprt_statistic, estimated_pdp, observation_count) per alert."""
     def step(state, k, rows):
         stat, last, n, f, d = state
-        forwarded, dropped = (rows[c].to_numpy(np.int64) for c in ("forwarded", "dropped"))
-        ts = rows["ts_us"].to_numpy(np.int64)
+        forwarded, dropped, ts = (rows[c].astype(np.int64) for c in ("forwarded", "dropped", "ts_us"))
         all_f, all_d = f + np.cumsum(forwarded), d + np.cumsum(dropped)
         hits, stats = [], []
         for i, (t, a, b) in enumerate(zip(ts.tolist(), forwarded.tolist(), dropped.tolist())):
@@ -120,12 +160,12 @@ def gateway_sprt(stream: DataFrame, cfg=DEFAULTS, idle_s: float = 30 * 86400.0,
         total, count = all_f[at] + all_d[at], n + at + 1
         pdp = np.divide(all_d[at], total, out=np.zeros(len(at)), where=total > 0)
         shown = count if cfg.sprt_window is None else np.minimum(count, cfg.sprt_window)
-        return (stat, last, n + len(ts), int(all_f[-1]), int(all_d[-1])), [
-            rows["event_id"].to_numpy()[at], ts[at], np.array(stats, float), pdp, shown]
+        return (stat, last, n + len(ts), int(all_f[-1]), int(all_d[-1])), at, {
+            "sprt_statistic": stats, "estimated_pdp": pdp.tolist(), "observation_count": shown.tolist()}
 
     schema = _typed(stream.schema, [gateway.KEY],
                     "event_id long, ts_us long, sprt_statistic double, estimated_pdp double, observation_count long")
-    return fold(stream, [gateway.KEY], schema, "stat double, last long, n long, f long, d long", (0.0, None, 0, 0, 0), step, idle_s, **kw)
+    return fold(stream, [gateway.KEY], schema, (0.0, None, 0, 0, 0), step, idle_s, needs=("forwarded", "dropped"), **kw)
 
 
 def trust_path(stream: DataFrame, key: str = "source_ip", cfg=DEFAULTS, **kw) -> DataFrame:
@@ -135,12 +175,12 @@ def trust_path(stream: DataFrame, key: str = "source_ip", cfg=DEFAULTS, **kw) ->
     other, first = int(round(cfg.trust_benign * trust.UNIT)), int(round(cfg.trust_initial * trust.UNIT))
 
     def step(state, k, rows):
-        move = rows["predicted_label"].map(units).fillna(other).to_numpy(np.int64)
-        path = trust.clamped_sums(move, np.array([len(move)]), np.array([state[0]]))
-        return (int(path[-1]),), [rows["event_id"].to_numpy(), rows["ts_us"].to_numpy(), path / trust.UNIT]
+        move = np.array([units.get(label, other) for label in rows["predicted_label"]], np.int64)
+        path = trust.clamped_sums(move, np.array([len(move)]), np.array([state]))
+        return int(path[-1]), np.arange(len(path)), {"score": (path / trust.UNIT).tolist()}
 
     schema = _typed(stream.schema, [key], "event_id long, ts_us long, score double")
-    return fold(stream, [key], schema, "x long", (first,), step, cfg.trust_ttl_s, **kw)
+    return fold(stream, [key], schema, first, step, cfg.trust_ttl_s, needs=("predicted_label",), **kw)
 
 
 def protocol_violations(stream: DataFrame, transitions=protocol.DEFAULT_TRANSITIONS, idle_s: float = 86400.0,
@@ -151,18 +191,19 @@ def protocol_violations(stream: DataFrame, transitions=protocol.DEFAULT_TRANSITI
             .withColumn("next_state", F.upper("next_state")))
 
     def step(state, k, rows):
-        now, allowed, at, was = state[0], edges.get(k[1], set()), [], []
-        nexts = rows["next_state"].astype(object).where(rows["next_state"].notna(), None)
-        for i, (event, following) in enumerate(zip(rows["event_state"].tolist(), nexts.tolist())):
+        now, allowed, at, was, became = state, edges.get(k[1], set()), [], [], []
+        nexts = [x if isinstance(x, str) else None for x in rows["next_state"]]
+        for i, (event, following) in enumerate(zip(rows["event_state"].tolist(), nexts)):
             now, bad = protocol.follow(now, event, following, allowed)
             if bad is not None:
                 at.append(i)
                 was.append(bad)
-        return (now,), [rows["event_id"].to_numpy()[at], rows["ts_us"].to_numpy()[at], was, nexts.to_numpy()[at]]
+                became.append(following)
+        return now, at, {"from_state": was, "to_state": became}
 
     keys = ["source_ip", "protocol"]
     schema = _typed(tidy.schema, keys, "event_id long, ts_us long, from_state string, to_state string")
-    return fold(tidy, keys, schema, "state string", (protocol.UNSEEN,), step, idle_s, **kw)
+    return fold(tidy, keys, schema, protocol.UNSEEN, step, idle_s, needs=("event_state", "next_state"), **kw)
 
 
 def with_last_motion(detections: DataFrame, motion: DataFrame, cfg=DEFAULTS, delay: str = "10 minutes", salts: int = None) -> DataFrame:

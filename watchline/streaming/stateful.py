@@ -1,15 +1,13 @@
-"""Streams whose state per key is lists and typed records in a state store, kept to what a window can still need.
+"""What streams keep of a key: lists of hits, kept to what a window can still need, and the state of chained profiles.
 
-Hits are appended to list state; what has left its window is taken out when at least half of a list is old, so a batch rewrites
-little and a list never holds more than about two windows. A hit list has one entry for each instant (or each distinct
-value), not one for each event. One timer a key forgets the key after it has been idle. The rows of a key in a micro-batch are evaluated
-as arrays; only alerts are handled one by one.
+A hit list has one entry for each instant (or each distinct value), not one for each event, and loses what has left its window
+with every micro-batch. The rows of a key in a micro-batch are evaluated as arrays; only alerts are handled one by one.
 """
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..config import DEFAULTS, micros
 from ..ship import ship
@@ -26,42 +24,6 @@ def with_state(timed: DataFrame, keys, processor: StatefulProcessor, fields: T.S
                                                            timeMode=mode)
 
 
-class Keyed(StatefulProcessor):
-    """Holds the time of a key's last row and forgets the key when it has been idle."""
-
-    idle_us = 0
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "last long")
-        self.open(handle)
-
-    def handleInputRows(self, key, rows, timerValues):
-        frame = pd.concat(list(rows)).sort_values(["ts_us", "event_id"], kind="stable")
-        last = int(frame["ts_us"].iloc[-1])
-        if self.seen.exists():
-            last = max(last, self.seen.get()[0])
-        self.seen.update((last,))
-        if not list(self.handle.listTimers()):
-            self._wake(last, timerValues)
-        yield pd.DataFrame(self.rows(key, frame), columns=self.names)
-
-    def _wake(self, last, timerValues):
-        self.handle.registerTimer(max((last + self.idle_us) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        last = self.seen.get()[0] if self.seen.exists() else None
-        if last is not None and (last + self.idle_us) // 1000 + 1 > expiredTimerInfo.getExpiryTimeInMs():
-            self._wake(last, timerValues)
-        else:
-            self.seen.clear()
-            self.forget()
-        yield pd.DataFrame([], columns=self.names)
-
-    def close(self) -> None:
-        pass
-
-
 def fires(ts, eligible, until, quiet):
     """Rows of `eligible` (increasing) that fire when each starts a quiet time, and the end of the last one."""
     out, at = [], 0
@@ -91,29 +53,24 @@ def distinct_in_window(now, hits, values, width):
     return np.searchsorted(np.sort(hits), now, side="right") - np.searchsorted(np.sort(ends), now)
 
 
-class Patterns(Keyed):
-    """Event-pattern alerts; spec: (name, window, least, severity, distinct, needs) with columns candidate_<i> and value_<i>."""
-
-    def __init__(self, spec, order, quiet, idle_us, names):
-        self.spec, self.order, self.quiet, self.idle_us, self.names = spec, order, quiet, idle_us, names
+class Patterns:
+    """Event-pattern alerts; spec: (name, window, least, severity, distinct, needs) with columns candidate_<i> and value_<i>.
 
-    def open(self, handle):
-        self.hits = [handle.getListState(f"hits{i}", "ts long, n long, value string") for i in range(len(self.spec))]
-        self.fired = handle.getListState("fired", "pattern int, ts long")
+    The state of a key: a list of hits (ts, n, value) for each pattern, and when each last fired.
+    """
 
-    def forget(self):
-        for state in (*self.hits, self.fired):
-            state.clear()
+    def __init__(self, spec, order, quiet):
+        self.spec, self.order, self.quiet = spec, order, quiet
+        self.first = (((),) * len(spec), {})
 
-    def _counts(self, i, frame, ts):
-        """Counts at every row; the hits that can still matter are left in the list."""
+    def _counts(self, i, rows, ts, held):
+        """Counts at every row, and the hits that can still matter."""
         _, width, _, _, distinct, _ = self.spec[i]
-        new = frame[f"candidate_{i}"].to_numpy(dtype=bool)
-        held = list(self.hits[i].get()) if self.hits[i].exists() else []
+        new = rows[f"candidate_{i}"].astype(bool)
         if not new.any() and not held:
-            return np.zeros(len(ts), np.int64)
+            return np.zeros(len(ts), np.int64), ()
         if distinct:
-            value = frame[f"value_{i}"].to_numpy(dtype=object)
+            value = rows[f"value_{i}"].astype(object)
             new &= np.array([v is not None and v == v for v in value], bool)
             latest = dict(zip(value[new].tolist(), ts[new].tolist()))
             fresh = [(t, 1, v) for v, t in latest.items()]
@@ -127,22 +84,17 @@ class Patterns(Keyed):
             counted = in_window(ts, hits[by_time], counts[by_time], width)
         oldest = int(ts[-1]) - width
         replaced = {v for _, _, v in fresh} if distinct else ()
-        kept = [tuple(h) for h in held if h[0] >= oldest and not (distinct and h[2] in replaced)]
-        fresh = [h for h in fresh if h[0] >= oldest]
-        if 2 * len(kept) <= len(held) and held:
-            self.hits[i].put(kept + fresh) if kept or fresh else self.hits[i].clear()
-        elif fresh:
-            self.hits[i].appendList(fresh)
-        return counted
-
-    def rows(self, key, frame):
-        ts, ids = frame["ts_us"].to_numpy(np.int64), frame["event_id"].to_numpy()
-        before = {p: t for p, t in (self.fired.get() if self.fired.exists() else ())}
+        kept = [h for h in held if h[0] >= oldest and not (distinct and h[2] in replaced)]
+        return counted, kept + [h for h in fresh if h[0] >= oldest]
+
+    def step(self, state, key, rows):
+        ts = rows["ts_us"].astype(np.int64)
+        held, before = state
         found, last = {}, dict(before)
         place = {i: n for n, i in enumerate(self.order)}
         index = {s[0]: i for i, s in enumerate(self.spec)}
         out = []
-        counts = {i: self._counts(i, frame, ts) for i in range(len(self.spec))}
+        counts, hits = zip(*[self._counts(i, rows, ts, held[i]) for i in range(len(self.spec))])
         for i in self.order:
             name, width, least, severity, _, needs = self.spec[i]
             ready = counts[i] >= least
@@ -158,37 +110,32 @@ class Patterns(Keyed):
             found[i], _ = fires(ts, np.flatnonzero(ready), until, self.quiet)
             if found[i]:
                 last[i] = int(ts[found[i][-1]])
-            out += [(r, place[i], (*key, name, int(ids[r]), int(ts[r]), int(counts[i][r]), severity)) for r in found[i]]
-        if last != before:
-            self.fired.put(list(last.items()))
-        return [row for _, _, row in sorted(out, key=lambda x: x[:2])]
+            out += [(r, place[i], name, int(counts[i][r]), severity) for r in found[i]]
+        out.sort(key=lambda x: x[:2])
+        return (hits, last), [x[0] for x in out], dict(zip(("pattern_name", "matched_count", "severity"), list(zip(*out))[2:]))
 
 
-class Flood(Keyed):
-    """Flags of a rate over a window: one detection, then ongoing rows until the quiet time has passed."""
+class Flood:
+    """Flags of a rate over a window: one detection, then ongoing rows until the quiet time has passed.
 
-    def __init__(self, window, quiet, need, idle_us, names):
-        self.window, self.quiet, self.need, self.idle_us, self.names = window, quiet, need, idle_us, names
+    The state of a key: its recent hits (ts, n) and the end of the quiet time.
+    """
 
-    def open(self, handle):
-        self.recent = handle.getListState("recent", "ts long, n long")
-        self.until = handle.getValueState("until", "ts long")
+    first = ((), None)
 
-    def forget(self):
-        self.recent.clear()
-        self.until.clear()
+    def __init__(self, window, quiet, need):
+        self.window, self.quiet, self.need = window, quiet, need
 
-    def rows(self, key, frame):
-        ts, ids = frame["ts_us"].to_numpy(np.int64), frame["event_id"].to_numpy()
-        held = list(self.recent.get()) if self.recent.exists() else []
+    def step(self, state, key, rows):
+        ts = rows["ts_us"].astype(np.int64)
+        held, until = state
         hits = np.array([h[0] for h in held], np.int64)
         counts = np.array([h[1] for h in held], np.int64)
-        until = self.until.get()[0] if self.until.exists() else None
         out, at = [], 0
         while at < len(ts):
             if until is not None:
                 stop = max(at, int(np.searchsorted(ts, until)))
-                out += [(*key, int(ids[r]), int(ts[r]), "dos_flood_ongoing") for r in range(at, stop)]
+                out += [(r, "dos_flood_ongoing") for r in range(at, stop)]
                 at, until = stop, until if stop == len(ts) else None
                 continue
             rest = ts[at:]
@@ -200,16 +147,12 @@ class Flood(Keyed):
             now, n = np.unique(ts[at:stop], return_counts=True)
             hits, counts = np.append(hits, now), np.append(counts, n)
             if len(hit):
-                out.append((*key, int(ids[stop - 1]), int(ts[stop - 1]), "dos_flood_detected"))
+                out.append((stop - 1, "dos_flood_detected"))
                 until = int(ts[stop - 1]) + self.quiet
             at = stop
         live = hits >= ts[-1] - self.window
-        if live.any():
-            self.recent.put(list(zip(hits[live].tolist(), counts[live].tolist())))
-        elif held:
-            self.recent.clear()
-        self.until.update((until,)) if until is not None else self.until.clear()
-        return out
+        state = list(zip(hits[live].tolist(), counts[live].tolist())), until
+        return state, [r for r, _ in out], {"flag": [flag for _, flag in out]}
 
 
 class Profile(StatefulProcessor):
@@ -261,6 +204,5 @@ def profiled(ticks: DataFrame, key: str = "source_ip", cfg=DEFAULTS) -> DataFram
     return with_state(ticks, [key], Profile(key, cfg, fields.names), fields, "None")
 
 
-def flood_processor(fields, cfg):
-    return Flood(micros(cfg.flood_window_s), micros(cfg.flood_cooldown_s), cfg.flood_rate * cfg.flood_window_s - 1e-9,
-                 micros(cfg.flood_cooldown_s + cfg.flood_window_s), fields.names)
+def flood_processor(cfg):
+    return Flood(micros(cfg.flood_window_s), micros(cfg.flood_cooldown_s), cfg.flood_rate * cfg.flood_window_s - 1e-9)
