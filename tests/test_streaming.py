@@ -125,6 +125,21 @@ def test_motion(spark, tmp_path):
     assert any(r.motion_ts_us for r in want)
 
 
+def test_dense_motion_keeps_one_row_per_bucket_and_salt(spark, tmp_path):
+    """Join state held every row and met each event of a bucket with each motion in it."""
+    rows = [("k", i, 1_000_000_000 * SECOND + i * 100, i % 3 == 0) for i in range(3000)] + [("k", None, 1_000_000_000 * SECOND + 50, False)]
+    stream, batch = files(spark, tmp_path, [r for r in rows if r[1] is not None], BASE + ", moved boolean", parts=1)
+    spark.createDataFrame(rows[-1:], BASE + ", moved boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    end = [("zz-end", 10 ** 9, 2_000_000_000 * SECOND, m) for m in (True, False)]
+    out = folds.with_last_motion(stream.filter("not moved"), stream.filter("moved"), delay="0 seconds")
+    assert 0 < state_rows(spark, tmp_path, out) <= 2 * folds.SALTS
+    spark.createDataFrame(end, BASE + ", moved boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    state_rows(spark, tmp_path, out)
+    got = {(r.event_id, r.motion_ts_us) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(i, t // 300 * 300) for _, i, t, moved in rows[:-1] if not moved for t in [i * 100]}
+    assert got == {(i, 1_000_000_000 * SECOND + t) for i, t in want} | {(None, 1_000_000_000 * SECOND)}
+
+
 def far_future(rows, shape):
     """A last row that moves the watermark past every window."""
     return rows + [("zz-end", 10 ** 9, max(r[2] for r in rows) + 10 * 86400 * SECOND, *shape)]

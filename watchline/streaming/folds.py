@@ -206,25 +206,50 @@ def protocol_violations(stream: DataFrame, transitions=protocol.DEFAULT_TRANSITI
     return fold(tidy, keys, schema, protocol.UNSEEN, step, idle_s, needs=("event_state", "next_state"), **kw)
 
 
-def with_last_motion(detections: DataFrame, motion: DataFrame, cfg=DEFAULTS, delay: str = "10 minutes", salts: int = None) -> DataFrame:
+#: Parts of a time bucket that hold its events; each has a copy of the bucket's motions.
+SALTS = 8
+
+
+def with_last_motion(detections: DataFrame, motion: DataFrame, cfg=DEFAULTS, delay: str = "10 minutes", salts: int = SALTS) -> DataFrame:
     """(event_id, ts_us, motion_ts_us): the latest motion at or before the event, if recent enough.
 
-    An outer interval join of two watermarked streams: events meet the motions of their time bucket and the one before. Events of
-    a bucket are spread over as many salts as the session has shuffle partitions; motions are few and go to all of them. An
-    event comes out when the watermark has passed it, with the latest of its motions or none.
+    Events and motions of two watermarked streams meet by time bucket: an event lies in its own, a motion in its own and the next
+    one. A bucket keeps its rows until the watermark has passed its end; then they are sorted and each event takes the last motion
+    before it, so the work is linear in the rows however dense a bucket is. Events of a bucket are spread over salts.
     """
-    salts = salts or int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ship(detections.sparkSession)
     window = micros(cfg.motion_window_s)
     bucket = F.floor(F.col("ts_us") / window)
-    left = timed(detections, delay).select("event_id", "ts_us", F.col("event_time"), bucket.alias("bucket"),
-                                           F.pmod(F.hash("event_id"), F.lit(salts)).alias("salt"))
-    right = timed(motion, delay).select(
-        F.col("ts_us").alias("motion_ts_us"), F.col("event_time").alias("motion_time"),
-        F.explode(F.array(bucket, bucket + 1)).alias("motion_bucket"), F.lit(salts).alias("n")).select(
-        "motion_ts_us", "motion_time", "motion_bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("motion_salt"))
-    near = ((F.col("bucket") == F.col("motion_bucket")) & (F.col("salt") == F.col("motion_salt"))
-            & (F.col("motion_time") <= F.col("event_time"))
-            & (F.col("motion_time") >= F.col("event_time") - F.expr(f"INTERVAL '{cfg.motion_window_s:g}' SECOND")))
-    met = left.join(right, near, "leftOuter")
-    return met.groupBy("event_time", "event_id", "ts_us").agg(F.max("motion_ts_us").alias("motion_ts_us")).select(
-        "event_id", "ts_us", "motion_ts_us")
+    left = timed(detections, delay).where("ts_us is not null").select(
+        bucket.alias("bucket"), F.pmod(F.hash("event_id"), F.lit(salts)).alias("salt"), "event_time", "ts_us",
+        F.coalesce("event_id", F.lit(0)).cast("long").alias("event_id"), F.when(F.col("event_id").isNull(), 2).otherwise(1).alias("kind"))
+    right = timed(motion, delay).where("ts_us is not null").select(
+        F.explode(F.array(bucket, bucket + 1)).alias("bucket"), "event_time", "ts_us").select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "event_time", "ts_us", F.lit(0).cast("long").alias("event_id"),
+        F.lit(0).alias("kind"))
+
+    def run(key, frames, memory):
+        held = np.frombuffer(memory.get[0], np.int64).reshape(-1, 3) if memory.exists else np.zeros((0, 3), np.int64)
+        closed = memory.hasTimedOut
+        if not closed:
+            held = np.concatenate([held, *[f[["ts_us", "kind", "event_id"]].to_numpy(np.int64) for f in frames]])
+            held = np.unique(held, axis=0)
+            end, now = (int(key[0]) + 1) * window // 1000, memory.getCurrentWatermarkMs()
+            closed = end < now
+        if not closed:
+            memory.update((held.tobytes(),))
+            memory.setTimeoutTimestamp(end)
+            return
+        if memory.exists:
+            memory.remove()
+        is_motion = held[:, 1] == 0
+        moved, events = held[is_motion, 0], held[~is_motion]
+        at = np.searchsorted(moved, events[:, 0], side="right") - 1
+        last = moved[np.maximum(at, 0)] if len(moved) else np.zeros(len(events), np.int64)
+        near = (at >= 0) & (events[:, 0] - last <= window)
+        yield pd.DataFrame({"event_id": pd.array(events[:, 2], "Int64"), "ts_us": events[:, 0], "motion_ts_us": pd.array(last, "Int64")}).assign(
+            event_id=lambda x: x["event_id"].mask(events[:, 1] == 2), motion_ts_us=lambda x: x["motion_ts_us"].mask(~near))
+
+    return left.union(right).groupBy("bucket", "salt").applyInPandasWithState(
+        run, T._parse_datatype_string("event_id long, ts_us long, motion_ts_us long"), T._parse_datatype_string("held binary"), "append",
+        GroupStateTimeout.EventTimeTimeout)
