@@ -76,3 +76,14 @@ def test_sources_of_many_shapes_in_one_plan(spark, tmp_path):
     assert [s.rsplit("/", 1)[1].split(":")[0] for s in skipped] == ["nolabel.csv", "S_dataset.csv", "ragged.csv"]
     with pytest.raises(ValueError, match="no usable"):
         csv.read_training_sources(spark, str(tmp_path / "other"))
+
+
+def test_rows_of_pairs_are_never_broadcast(spark, tmp_path):
+    (tmp_path / "k_dataset.csv").write_text("p,q\n" + "".join(f"{i},v{i}\n" for i in range(50)))
+    (tmp_path / "k_labels.csv").write_text("x\n" + "".join(f"{i % 2}\n" for i in range(50)))
+    sources, _ = csv.read_training_sources(spark, str(tmp_path))
+    paired = csv.read_paired_csv(spark, str(tmp_path / "*_dataset.csv"), str(tmp_path / "*_labels.csv"))
+    for rows, key in ((sources, "file#"), (paired, "row_idx#")):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert any("SortMergeJoin" in line and key in line for line in plan.splitlines())
+        assert rows.count() == 50

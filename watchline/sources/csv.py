@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.verdicts import normalize_label
-from ..storage import checkpointed
+from ..storage import checkpointed, written
 from .records import csv_records
 
 # Column names per role, first match wins, compared trimmed and lower-cased.
@@ -132,7 +132,7 @@ def pair_by_row_index(left: DataFrame, right: DataFrame, name: str = "row_idx")
     """
     n_left, n_right = [df.agg(F.count(F.lit(1))).scalar() for df in (left, right)]
     same = F.assert_true(n_left == n_right, "features and labels have different numbers of rows").isNull()
-    return left.filter(same).join(right.filter(same), name)
+    return left.filter(same).join(right.filter(same).hint("merge"), name)  # whatever the sides' sizes on disk say
 
 
 def read_paired_csv(spark: SparkSession, features, labels) -> DataFrame:
@@ -215,7 +215,7 @@ def read_training_sources(spark: SparkSession, root: str):
     label or a labels file of another length is reported, and the others go on.
     """
     records = csv_records(spark, root, recursive=True)
-    sources = checkpointed(training_sources(records))
+    sources = written(training_sources(records), "sources")
     skipped = [f"{r.dataset}: {r.problem}" for r in sources.where("problem is not null").orderBy("dataset").collect()]
     usable = sources.where("problem is null")
     if usable.isEmpty():
@@ -226,8 +226,9 @@ def read_training_sources(spark: SparkSession, root: str):
     pairs = usable.where("kind = 'paired_csv'")
     right = rows.join(pairs.select(F.col("labels").alias("l"), F.col("dataset").alias("d"), F.col("label_at").alias("a")),
                       F.col("file") == F.col("l")).select("d", F.col("record").alias("r"), F.get("fields", F.col("a").cast("int")).alias("raw"))
+    # Stored records take a fraction of their size in memory, so neither side is ever sent whole by its size on disk.
     paired = rows.join(pairs, F.col("file") == F.col("dataset")).join(
-        right, (F.col("file") == F.col("d")) & (F.col("record") == F.col("r"))).drop("d", "r").withColumn("own", F.lit(-1).cast("long"))
+        right.hint("merge"), (F.col("file") == F.col("d")) & (F.col("record") == F.col("r"))).drop("d", "r").withColumn("own", F.lit(-1).cast("long"))
     both = single.unionByName(paired.select(*single.columns))
     value = lambda x: F.coalesce(x, F.lit(""))
     places = F.sequence(F.lit(0), F.size("fields") - 1)
