@@ -143,3 +143,13 @@ def test_gateway_alerts(spark, chunk_rows):
     assert {(r.gateway_id, r.event_id, round(r.sprt_statistic, 6)) for r in got} == loop_gateway(rows)
     assert got and "(normal=1.0%, attack=15.0%)" in got[0].message and "%" in got[0].message.split(" exceeds")[0]
     assert DEFAULTS.sprt_p0 == 0.01
+
+
+def test_gateway_rounds_move_no_rows(spark):
+    rows = [(f"g{i % 2}", i, i * 20 * SECOND, 1, i % 3 * 4) for i in range(600)]
+    df = spark.createDataFrame(rows, "gateway_id string, event_id long, ts_us long, forwarded long, dropped long")
+    plan = gateway.gateway_alerts(df, chunk_rows=10)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and all("BroadcastExchange" in line for line in exchanges)
+    got = gateway.gateway_alerts(df, chunk_rows=10).collect()
+    assert {(r.gateway_id, r.event_id, round(r.sprt_statistic, 6)) for r in got} == loop_gateway(rows) and got

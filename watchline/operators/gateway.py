@@ -46,7 +46,8 @@ def _chunked(obs: DataFrame, chunk_rows: int) -> DataFrame:
     slots = slots.select(KEY, "slot", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before")
                                         for c in ("n", "f", "d")])
     slots = slots.withColumn("chunk", F.floor(F.col("n_before") / chunk_rows))
-    placed = obs.withColumn("slot", F.floor(F.col("ts_us") / _SLOT_US)).join(slots, [KEY, "slot"])
+    # One plan at every size: observations that are small on disk are not sent to every task either.
+    placed = obs.withColumn("slot", F.floor(F.col("ts_us") / _SLOT_US)).join(slots.hint("merge"), [KEY, "slot"])
     return placed.groupBy(KEY, "chunk").agg(
         F.min("n_before").alias("n_before"), F.min("f_before").alias("f_before"), F.min("d_before").alias("d_before"),
         F.sort_array(F.collect_list(F.struct("ts_us", "event_id", "forwarded", "dropped"))).alias("rows"))
@@ -83,32 +84,44 @@ def _scanned(chunks: DataFrame, cfg) -> DataFrame:
         "in_stat", "in_last").alias("r"))
 
 
-def _resolved(obs: DataFrame, cfg, chunk_rows: int) -> DataFrame:
-    """Every chunk scanned from its true entry state.
+def _resolved(obs: DataFrame, cfg, chunk_rows: int):
+    """(chunks, the entry and end state of every chunk): a chunk's entry is where the one before it ends.
 
     Chunks start from a guess (statistic 0, no alert); a chunk whose predecessor ends otherwise is run again from that
-    end until nothing changes. Resets make runs from different starts meet quickly, so few chunks are run twice.
+    end until nothing changes. Resets make runs from different starts meet quickly, so few chunks are run twice. The
+    rows of the chunks are shuffled and stored once: a round sends only the states of stale chunks, at most one for
+    every chunk_rows rows, and keeps no alerts.
     """
     ship(obs.sparkSession)
     start = (F.lit(0.0).alias("in_stat"), F.lit(None).cast("long").alias("in_last"))
+    ends = lambda scanned: scanned.select(
+        KEY, "chunk", "in_stat", "in_last", F.col("r.stat").alias("stat"), F.col("r.last_alert").alias("last"))
     chunks = checkpointed(_chunked(obs, chunk_rows))
-    done = checkpointed(_scanned(chunks.select("*", *start), cfg))
+    done = checkpointed(ends(_scanned(chunks.select("*", *start), cfg)))
     order = Window.partitionBy(KEY).orderBy("chunk")
     while True:
         linked = done.select(
-            "*", F.lag("r.stat", 1, 0.0).over(order).alias("new_stat"), F.lag("r.last_alert").over(order).alias("new_last"))
+            "*", F.lag("stat", 1, 0.0).over(order).alias("new_stat"), F.lag("last").over(order).alias("new_last"))
         stale = checkpointed(linked.filter(~(F.col("in_stat").eqNullSafe(F.col("new_stat"))
                                              & F.col("in_last").eqNullSafe(F.col("new_last")))).select(
             KEY, "chunk", F.col("new_stat").alias("in_stat"), F.col("new_last").alias("in_last")))
         if stale.isEmpty():
-            return done
-        again = _scanned(chunks.join(stale, [KEY, "chunk"]), cfg)
+            return chunks, done
+        again = ends(_scanned(chunks.join(F.broadcast(stale), [KEY, "chunk"]), cfg))
         done = checkpointed(done.join(stale.select(KEY, "chunk"), [KEY, "chunk"], "left_anti").unionByName(again))
 
 
+def _replayed(obs: DataFrame, cfg, chunk_rows: int) -> DataFrame:
+    """Every chunk scanned from its true entry state; a gateway's first chunk has none to be sent."""
+    chunks, done = _resolved(obs, cfg, chunk_rows)
+    known = done.where("in_stat <> 0 or in_last is not null").select(KEY, "chunk", "in_stat", "in_last")
+    return _scanned(chunks.join(F.broadcast(known), [KEY, "chunk"], "left").withColumn(
+        "in_stat", F.coalesce("in_stat", F.lit(0.0))), cfg)
+
+
 def gateway_alerts(obs: DataFrame, cfg=DEFAULTS, chunk_rows: int = 200_000) -> DataFrame:
     """(gateway, event_id, ts_us, sprt_statistic, estimated_pdp, observation_count, message) per alert."""
-    hits = _resolved(obs, cfg, chunk_rows).select(KEY, F.explode("r.alerts").alias("a")).select(KEY, "a.*")
+    hits = _replayed(obs, cfg, chunk_rows).select(KEY, F.explode("r.alerts").alias("a")).select(KEY, "a.*")
     total = F.col("total_forwarded") + F.col("total_dropped")
     pdp = F.when(total > 0, F.col("total_dropped").cast("double") / total).otherwise(0.0)
     normal, attack = [f"{p:.1%}".replace("%", "%%") for p in (cfg.sprt_p0, cfg.sprt_p1)]
@@ -127,7 +140,7 @@ def gateway_status(obs: DataFrame, cfg=DEFAULTS, chunk_rows: int = 200_000) -> D
     totals = obs.groupBy(KEY).agg(F.sum("forwarded").alias("total_forwarded"), F.sum("dropped").alias("total_dropped"),
                                   F.least(F.count(F.lit(1)), F.lit(cfg.sprt_window).cast("long")).alias("observation_count"))
     total = F.col("total_forwarded") + F.col("total_dropped")
-    now = _resolved(obs, cfg, chunk_rows).groupBy(KEY).agg(F.max_by("r.stat", "chunk").alias("_s"))
+    now = _resolved(obs, cfg, chunk_rows)[1].groupBy(KEY).agg(F.max_by("stat", "chunk").alias("_s"))
     return totals.join(now, KEY).select(
         KEY, "total_forwarded", "total_dropped",
         F.when(total > 0, F.round(F.col("total_dropped").cast("double") / total, 4)).otherwise(0.0).alias("estimated_pdp"),
