@@ -55,6 +55,28 @@ def test_scores_are_those_of_one_loop(spark, strategy, each, benign):
     assert {r.event_id: r.score for r in got} == path and len(got) == len(events)
 
 
+@pytest.mark.parametrize("logged,strategy", [(0, "nbtd"), (2, "cntd"), (4, "nbtd")])
+def test_a_dense_slice_is_cut_and_hubs_log_their_pushes(spark, monkeypatch, logged, strategy):
+    """All events in one time slice, three hubs that share neighbours, a node that is its own neighbour."""
+    monkeypatch.setattr(dissemination, "LOGGED", logged)
+    rng = random.Random(logged)
+    edges = [(f"h{h}", f"n{i:02d}") for h in range(3) for i in range(h, 20, h + 1)] + [("h0", "h1"), ("n00", "n00"), ("h2", "h2")]
+    events = []
+    for i in range(1200):
+        ip = rng.choice(["h0", "h1", "h2"]) if rng.random() < 0.3 else f"n{rng.randrange(20):02d}"
+        events.append((rng.randrange(500), i, ip, rng.choices(["benign", "suspicious", "malicious"], [0.96, 0.03, 0.01])[0]))
+    weight = DEFAULTS.trust_neighbour_weight if strategy == "nbtd" else DEFAULTS.trust_outside_weight
+    score, path = loop(events, edges, lambda a, b: weight)
+    df = spark.createDataFrame(events, "ts_us long, event_id long, source_ip string, predicted_label string")
+    links = spark.createDataFrame(edges, "src string, dst string")
+    how = dict(strategy=strategy, events_each=100, slice_us=1_000_000)
+    assert {r.ip: r.score for r in dissemination.trust_with_neighbours(df, links, **how).collect()} == score
+    got = dissemination.trust_path_with_neighbours(df, links, **how).collect()
+    assert {r.event_id: r.score for r in got} == path and len(got) == len(events)
+    cut = dissemination._stretches(df.selectExpr("'r' as root", "ts_us", "event_id"), 100, 1_000_000)
+    assert cut.groupBy("stretch").count().agg({"count": "max"}).first()[0] < 250
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(f"a{i:03d}", f"a{i + 1:03d}") for i in range(60)] + [("hub", f"s{i}") for i in range(40)] + [("z", "z")]
