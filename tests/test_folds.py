@@ -153,3 +153,11 @@ def test_gateway_rounds_move_no_rows(spark):
     assert exchanges and all("BroadcastExchange" in line for line in exchanges)
     got = gateway.gateway_alerts(df, chunk_rows=10).collect()
     assert {(r.gateway_id, r.event_id, round(r.sprt_statistic, 6)) for r in got} == loop_gateway(rows) and got
+
+
+def test_protocol_slices_are_worked_on_in_bounded_runs():
+    import numpy as np
+
+    lengths = np.array([3, 0, 4, 9, 1, 1, 5], np.int64)
+    assert list(protocol.bounded(lengths, 7)) == [(0, 3), (3, 4), (4, 7)]
+    assert list(protocol.bounded(lengths[:0], 7)) == [(0, 0)]

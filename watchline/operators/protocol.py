@@ -19,6 +19,8 @@ DEFAULT_TRANSITIONS = (
 )
 # Entry states a slice is tried with besides the protocol's own: nothing seen yet, and any state no edge leaves.
 UNSEEN, _STUCK = "", "\x01"
+#: Messages worked on at once: a message takes a few hundred bytes then, and a batch may hold thousands of slices.
+MESSAGES = 50_000
 
 
 def edge_table(transitions) -> dict:
@@ -28,6 +30,17 @@ def edge_table(transitions) -> dict:
     return table
 
 
+def bounded(lengths, most: int = MESSAGES):
+    """(first, end) of the runs of slices that hold at most `most` messages together; a larger slice is a run of its own."""
+    first, held = 0, 0
+    for at, n in enumerate(lengths.tolist()):
+        if at > first and held + n > most:
+            yield first, at
+            first, held = at, 0
+        held += n
+    yield first, len(lengths)
+
+
 def follow(state, cur, nxt, allowed, reset_on_terminal=False):
     """(state after the message, state it was judged from or None when it is fine)"""
     if not nxt:
@@ -134,8 +147,14 @@ def protocol_violations(messages: DataFrame, transitions=DEFAULT_TRANSITIONS, sl
 
     machine = _Machine(edges, reset_on_terminal)
 
-    def summarise(protocol: pa.Array, cur: pa.Array, nxt: pa.Array) -> pa.Array:
+    def in_runs(work, cur, *columns):
         lengths = pc.list_value_length(cur).to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.concat_arrays([work(lengths[a:b], *(c.slice(a, b - a) for c in columns)) for a, b in bounded(lengths)])
+
+    def summarise(protocol: pa.Array, cur: pa.Array, nxt: pa.Array) -> pa.Array:
+        return in_runs(summary, cur, protocol, cur, nxt)
+
+    def summary(lengths, protocol, cur, nxt):
         proto, c, n = machine.flat(protocol, cur, nxt, lengths)
         ends, names = machine.ends(proto, c, n, lengths), machine.states
         rows = pa.StructArray.from_arrays([pa.array(names * len(lengths), pa.string()), pa.array(ends.ravel(), pa.string())],
@@ -144,9 +163,9 @@ def protocol_violations(messages: DataFrame, transitions=DEFAULT_TRANSITIONS, sl
 
     def entries(functions: pa.Array) -> pa.Array:
         out = []
-        for key_functions in functions.to_pylist():
+        for key_functions in functions:  # one key's slices at a time
             state, seen = UNSEEN, []
-            for f in key_functions:
+            for f in key_functions.as_py():
                 seen.append(state)
                 ends = {e["entry"]: e["end"] for e in f}
                 end = ends.get(state, ends[_STUCK])
@@ -155,7 +174,9 @@ def protocol_violations(messages: DataFrame, transitions=DEFAULT_TRANSITIONS, sl
         return pa.array(out, pa.list_(pa.string()))
 
     def judge(protocol: pa.Array, entry: pa.Array, cur: pa.Array, nxt: pa.Array) -> pa.Array:
-        lengths = pc.list_value_length(cur).to_numpy(zero_copy_only=False).astype(np.int64)
+        return in_runs(judged_run, cur, protocol, entry, cur, nxt)
+
+    def judged_run(lengths, protocol, entry, cur, nxt):
         proto, c, n = machine.flat(protocol, cur, nxt, lengths)
         bad = machine.judge(proto, c, n, lengths, np.array(entry.to_pylist(), object))
         ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
