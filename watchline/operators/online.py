@@ -19,7 +19,7 @@ from ..schemas import LABELS
 from ..ship import ship
 from ..storage import written
 from .classify import feature_stages, training_text
-from .hybrid import _entries
+from .tree import entries as _entries
 
 RATE, REG, PASSES = 0.5, 1e-6, 5
 
