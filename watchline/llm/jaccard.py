@@ -7,8 +7,10 @@ Blocks. Linked sets share one of the first n - ceil(0.8 n) + 1 shingles of each
 puts a fixed quarter of the hash space first, by rising document frequency inside it, then the rest by hash, and very
 frequent shingles (a bounded list, counted over all documents) last. So only that quarter is shuffled, frequencies in it
 are exact, and shared passages hardly ever reach a prefix. Sets that share a prefix shingle are connected into blocks;
-every linked pair lies within one block. Large blocks are cut into pieces by hash and every pair of pieces meets, so a
-task holds at most about 2 * PIECE shingles.
+every linked pair lies within one block. A large table chains most of them into one, so a block of more than PIECE shingles
+is cut by its prefix shingles: each gets a label, near copies mostly the same one, and a set goes where its labels go, so a
+linked pair meets under the label of a shingle that both have. What is still too large is cut into pieces by hash and every
+pair of pieces meets, so a task holds at most about 2 * PIECE shingles. Texts are shuffled, half as large as their shingles.
 
 Search. Inside a block, sets are looked up one by one in inverted lists: with T = required overlap, the L longest of the
 query's lists are put aside, the others are merged on a heap (by counting where they are long), and candidates with T - L or
@@ -47,6 +49,7 @@ HOT_SHARE, HOT_LIMIT = 0.01, 65_536  # very frequent shingles: share of a task's
 ROWS, PIECE = 1_500_000, 2_000_000  # rows of a task; shingles of a piece of a block
 HEAP = 512  # entries of short lists that a heap merges; more are merged by counting
 FEW = 8  # candidates probed one by one
+ROUNDS = 2  # how often labels of prefix shingles spread through the sets of a block that is too large
 SKIP = 0.0085  # weight of the longest list in the number of lists put aside
 
 
@@ -223,9 +226,30 @@ def block_edges(prefixes: DataFrame, tasks: int) -> DataFrame:
     return prefixes.repartition(tasks, "token").mapInArrow(run, "a long, b long")
 
 
+def placements(inside: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(k, n, places of (block, pieces)): where each set is searched, and into how many pieces that block is cut."""
+    def cut(rows):
+        weight = rows.groupBy(F.col("block").alias("_b")).agg(F.ceil(F.sum("n") / PIECE).alias("pieces"))
+        return rows.join(weight, F.col("block") == F.col("_b")).select("k", "n", "block", "pieces")
+
+    whole = stored(cut(inside.select("k", "n", "block").distinct()), "placed")
+    wide = whole.where("pieces > 1").select(F.col("k").alias("_k"), "n")
+    if not wide.isEmpty():
+        held = prefixes.join(wide, F.col("k") == F.col("_k")).select("token", "k", "n")
+        many = held.groupBy(F.col("token").alias("_t")).agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+        held = stored(held.join(many, F.col("token") == F.col("_t")).select("token", "k", "n"), "held")
+        labels = held.select("token", F.col("token").alias("block")).distinct()
+        for _ in range(ROUNDS):  # a shingle takes the least label of the sets that hold it, a set the least of its shingles
+            home = held.join(labels, "token").groupBy("k").agg(F.min("block").alias("block"))
+            labels = stored(held.join(home, "k").groupBy("token").agg(F.min("block").alias("block")), "labels")
+        parts = cut(held.join(labels, "token").select("k", "n", "block").distinct())
+        whole = whole.where("pieces = 1").unionByName(parts)
+    return whole.groupBy("k").agg(F.max("n").alias("n"), F.collect_set(F.struct("block", "pieces")).alias("places"))
+
+
 def set_rows(docs: DataFrame, ids: np.ndarray) -> DataFrame:
-    """(k, k2, tokens) of the documents whose doc_id may be among those of the filter `ids`, or is null."""
-    schema = pa.schema([("k", pa.int64()), ("k2", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    """(k, k2, text) of the documents whose doc_id may be among those of the filter `ids`, or is null."""
+    schema = pa.schema([("k", pa.int64()), ("k2", pa.int64()), ("text", pa.string())])
     shared = docs.sparkSession.sparkContext.broadcast(ids)
 
     def run(batches):
@@ -233,14 +257,14 @@ def set_rows(docs: DataFrame, ids: np.ndarray) -> DataFrame:
             wanted = may_contain(shared.value, batch.column("h").to_numpy().view(np.uint64))
             wanted |= batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             for part in slices(batch.filter(pa.array(wanted))):
-                sets = [s for s in shingle_sets(part.column("text")) if len(s)]
-                if sets:
-                    names = np.array([_names(s) for s in sets])
-                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
-                    yield record_batch(schema, [names[:, 0], names[:, 1],
-                                                pa.ListArray.from_arrays(offsets, signed(np.concatenate(sets)))])
+                first = {}
+                for at, s in enumerate(shingle_sets(part.column("text"))):
+                    if len(s):
+                        first.setdefault(tuple(_names(s).tolist()), at)
+                if first:
+                    yield record_batch(schema, [*zip(*first), part.column("text").take(pa.array(first.values()))])
 
-    return _texts(docs).withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "k long, k2 long, tokens array<long>")
+    return _texts(docs).withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "k long, k2 long, text string")
 
 
 def merged(lists, needed):
@@ -341,19 +365,16 @@ def linked(sets):
 
 
 def block_links(rows: DataFrame, tasks: int) -> DataFrame:
-    """Edges (a, b) between linked sets, named (k, k2); rows are (block, i, j, k, k2, tokens)."""
+    """Edges (a, b) between linked sets, named (k, k2); rows are (block, i, j, k, k2, text)."""
     schema = pa.schema([(c, pa.int64()) for c in ("ak", "ak2", "bk", "bk2")])
 
     def run(batches):
         blocks = {}
         for batch in batches:
-            b, i, j, k, k2 = (batch.column(c).to_pylist() for c in ("block", "i", "j", "k", "k2"))
-            lists = batch.column("tokens")
-            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            for row, end in enumerate(ends):
-                start = ends[row - 1] if row else 0
-                blocks.setdefault((b[row], i[row], j[row]), {})[k[row], k2[row]] = flat[start:end]
+            for part in slices(batch):
+                rows = zip(*(part.column(c).to_pylist() for c in ("block", "i", "j", "k", "k2")), shingle_sets(part.column("text")))
+                for b, i, j, k, k2, s in rows:
+                    blocks.setdefault((b, i, j), {})[k, k2] = s
         for members in blocks.values():
             names = sorted(members)
             if len(names) > 1:
@@ -385,22 +406,23 @@ def placed(docs: DataFrame, keyed: bool = False) -> DataFrame:
     shared = shared_rows(order_rows(docs, hot), tasks)
     # Every task names each of its sets once, so the edges grow with the tasks: no more of them than the rows need.
     few = max(spark.sparkContext.defaultParallelism, -(-(total // 4) // ROWS))
-    edges = block_edges(prefix_rows(shared, hot, tasks), few)
+    prefixes = stored(prefix_rows(shared, hot, tasks), "prefixes")
+    edges = block_edges(prefixes, few)
     blocks = components(edges, 4 * rows)
     blocks = blocks.unionByName(blocks.select(F.col("root").alias("node"), "root").distinct())
     inside = stored(sets.join(blocks, F.col("k") == F.col("node")).select("k", "k2", "rep", "n", F.col("root").alias("block")),
                     "blocks", rows)
-    weight = inside.groupBy("block").agg(F.ceil(F.sum("n") / PIECE).alias("pieces"))
-    moved = inside.join(weight.withColumnRenamed("block", "_b"), F.col("block") == F.col("_b")).select(
-        "k", "block", "pieces").distinct()
+    moved = stored(placements(inside, prefixes), "moved", rows)
     ids = bloom(inside.where("rep is not null").select(F.xxhash64("rep").alias("seed")))
-    found = set_rows(docs, ids).withColumnRenamed("k", "_k").dropDuplicates(["_k", "k2"])
-    held = found.join(moved, F.col("_k") == F.col("k")).drop("_k")
+    # Joined before they are made distinct, so that one shuffle by name serves both.
+    found = set_rows(docs, ids).withColumnRenamed("k", "_k").join(moved, F.col("_k") == F.col("k")).drop("_k").dropDuplicates(["k", "k2"])
     piece = F.pmod(F.xxhash64("k"), F.col("pieces"))
     meet = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda o: F.struct(
         F.least(o, F.col("piece")).alias("i"), F.greatest(o, F.col("piece")).alias("j"))))
-    spread = held.withColumn("piece", piece).withColumn("_m", meet).select("block", "_m.i", "_m.j", "k", "k2", "tokens")
-    size = inside.agg(F.sum("n")).first()[0] or 0
+    spread = found.select("k", "k2", "text", F.inline("places")).withColumn("piece", piece).withColumn("_m", meet).select(
+        "block", "_m.i", "_m.j", "k", "k2", "text")
+    sent = F.aggregate("places", F.lit(0).cast("long"), lambda s, p: s + p["pieces"])
+    size = moved.agg(F.sum(F.col("n") * sent)).first()[0] or 0
     found_links = components(block_links(spread, partitions(spark, size, 2 * ROWS)), 4 * rows)
     root = found_links.select(F.col("node.k").alias("nk"), F.col("node.k2").alias("nk2"), "root")
     tree = inside.join(root, (F.col("k") == F.col("nk")) & (F.col("k2") == F.col("nk2")), "left").select(
