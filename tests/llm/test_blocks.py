@@ -1,8 +1,9 @@
-"""Blocks of the Jaccard join that shared passages chain together."""
+"""Blocks of the Jaccard join that shared passages chain together, and what a stored table leaves on disk."""
 
 import random
+import time
 
-from watchline.llm import jaccard
+from watchline.llm import jaccard, tables
 
 
 def test_chained_blocks_are_not_sent_everywhere(spark, monkeypatch):
@@ -26,3 +27,20 @@ def test_chained_blocks_are_not_sent_everywhere(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.groups(docs).collect()}
     assert got == {i: i // 10 * 10 for i, _ in rows} | {7777: 7777, None: 0}
     assert sent[0] <= 3 * len(rows)  # ten pieces took each set before
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {f for i in range(found.size()) if (f := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    kept = tables.stored(spark.range(20_000).repartition(3, "id").groupBy("id").count(), "kept")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert kept.count() == 20_000 and spark.conf.get(tables.CLEANUP) == "false"
