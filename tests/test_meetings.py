@@ -35,11 +35,15 @@ def test_tiles_and_join_find_the_same(spark, monkeypatch, seen, dim):
     for name, value in (("SIDE", 24), ("GENES", 7), ("ANTIGENS", 5)):
         monkeypatch.setattr(meetings, name, value)
     monkeypatch.setattr(immune, "SEEN", seen)
+    monkeypatch.setattr(immune, "CHUNK", 3)
     antigens, detectors = pools(dim, dim)
     a = spark.createDataFrame(antigens, "antigen_id long, bits array<int>").repartition(3)
     d = spark.createDataFrame(detectors, "detector_id string, bits array<int>").repartition(2)
     want = [(x, y, share(g, b)) for x, b in antigens for y, g in detectors if share(g, b) >= 0.65]
-    got = [tuple(r) for r in immune.immune_screen(a, d, dim, 0.65).collect()]
+    pairs = immune.immune_screen(a, d, dim, 0.65)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert ("bit_count" in plan) == (not seen)  # pairs leave the tiles as rows
+    got = [tuple(r) for r in pairs.collect()]
     assert sorted(got, key=key) == sorted(want, key=key) and want
     genes = {tuple(g) for _, g in detectors if g}
     sums = {}
